@@ -84,7 +84,7 @@ def _select(S: np.ndarray, r_ids: np.ndarray, kk: np.ndarray):
     return rr[ok], cc[ok], s[ok]
 
 
-def _block_fn(dim: int, exclude_same_id: bool, min_score):
+def _block_fn(dim: int, exclude_same_id: bool, min_score, score_fn=None):
     def run(batches):
         for b in batches:
             lf, loff = _split(b.column("L"))
@@ -103,7 +103,10 @@ def _block_fn(dim: int, exclude_same_id: bool, min_score):
                 Rm, rid = R[ra:rb], r_ids[ra:rb]
                 for c0 in range(la, lb, CHUNK):
                     c1 = min(lb, c0 + CHUNK)
-                    S = L[c0:c1] @ Rm.T
+                    if score_fn is None:
+                        S = L[c0:c1] @ Rm.T
+                    else:
+                        S = np.asarray(score_fn(l_ids[c0:c1, None], rid[None, :]), dtype=np.float64)
                     if exclude_same_id:
                         S[l_ids[c0:c1, None] == rid[None, :]] = -np.inf
                     if min_score is not None:
@@ -121,17 +124,24 @@ def _block_fn(dim: int, exclude_same_id: bool, min_score):
     return run
 
 
-def block_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, right_id: str,
-               right_vec: str, k, *, exclude_same_id: bool = False, min_score: float | None = None,
-               rows_per_block: int | None = None) -> DataFrame:
+def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
+               right_vec: str | None, k, *, exclude_same_id: bool = False, min_score: float | None = None,
+               rows_per_block: int | None = None, score_fn=None) -> DataFrame:
     """Candidate pairs (lid, rid, score): per left row, its best ``k`` right rows.
 
     ``k`` is an int or a column of ``left`` giving a per-row count. Rows with a
     NULL vector are skipped. ``exclude_same_id`` drops lid == rid, and
     ``min_score`` keeps only scores strictly above it. The output is exact
     but not yet cut across blocks: finish with ``topk_per_key``.
+
+    ``score_fn(left_ids, right_ids) -> scores`` (numpy, broadcasting) replaces
+    the dot product for scores defined on ids alone; vectors are then unused.
     """
     kk = F.lit(int(k)) if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k)
+    if score_fn is not None:
+        left = left.withColumn("_nov", F.array(F.lit(0.0)))
+        right = right.withColumn("_nov", F.array(F.lit(0.0)))
+        left_vec = right_vec = "_nov"
     L = (left.where(F.col(left_vec).isNotNull())
          .select(F.col(left_id).cast("bigint").alias("lid"),
                  F.col(left_vec).cast("array<double>").alias("lv"),
@@ -160,12 +170,13 @@ def block_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, r
     pairs = (lb.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_r - 1).cast("bigint"))))
              .join(rb, "rb"))
     return pairs.select("L", "R").mapInArrow(
-        _block_fn(int(dim), exclude_same_id, min_score), "lid bigint, rid bigint, score double")
+        _block_fn(int(dim), exclude_same_id, min_score, score_fn), "lid bigint, rid bigint, score double")
 
 
 def exact_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, right_id: str,
                right_vec: str, k: int, *, exclude: DataFrame | None = None, exclude_same_id=False,
-               min_score=None, extra_k: Column | None = None, out=("lid", "rank", "rid", "score")) -> DataFrame:
+               min_score=None, extra_k: Column | None = None, out=("lid", "rank", "rid", "score"),
+               score_fn=None) -> DataFrame:
     """Global top-k per left row, minus ``exclude`` (lid, rid) pairs, ranked 1..k.
 
     Excluded pairs are removed before the cut: each left row over-fetches
@@ -175,10 +186,10 @@ def exact_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, r
     if extra_k is not None:
         left = left.withColumn("_kk", F.lit(k) + F.coalesce(extra_k, F.lit(0)))
         cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, "_kk",
-                          exclude_same_id=exclude_same_id, min_score=min_score)
+                          exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn)
     else:
         cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, k,
-                          exclude_same_id=exclude_same_id, min_score=min_score)
+                          exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn)
     if exclude is not None:
         cand = cand.join(exclude.select(F.col(exclude.columns[0]).alias("lid"),
                                         F.col(exclude.columns[1]).alias("rid")),
