@@ -1,20 +1,26 @@
-"""Blocked exact top-k by dot product (the all-pairs scorer, U2).
-
-Scoring every query row against every item is a dense matrix product. Rows of
-both sides are hashed into blocks of bounded size (a few thousand rows each),
-each query block is paired with each item block by an equi-join on the item
-block id, and every block pair is multiplied in numpy inside an Arrow task.
-A block pair emits only its local top-``k`` per query row, so the rows that
-leave a task grow with ``queries * item_blocks * k``, never with
-``queries * items``. A window over the survivors then keeps the global top-k.
-
-Ties are broken by the smaller item id everywhere, so the result equals a
-full sort by ``(score DESC, id ASC)``.
+"""Blocked exact top-k over all (query, item) pairs (the all-pairs scorer, U2).
+
+Scoring every query row against every item is a matrix product. Rows of both
+sides are hashed into blocks of bounded size, each query block is paired with
+each item block by an equi-join on the item block id, and every block pair is
+scored in numpy inside an Arrow task. A block pair emits only its local
+top-``k`` per query row, so the rows leaving a task grow with
+``queries * item_blocks * k``, never with ``queries * items``. A window over
+the survivors then keeps the global top-k.
+
+Pair features are dense dot products (ARRAY<DOUBLE> columns) or sparse dot
+products (STRUCT<idx ARRAY<BIGINT>, val ARRAY<DOUBLE>> columns; binary tag
+sets give set-intersection sizes). Sparse products are computed per block over
+the local vocabulary of the query chunk, so no (pair, term) row ever exists.
+
+Ties are broken by the smaller item id everywhere, so the result equals a full
+sort by ``(key DESC, id ASC)``.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,36 +29,100 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.ranking import topk_per_key
 
-# Rows per block: bounded so a block row stays a few MB and a score tile
-# (CHUNK x block rows of float64) stays near 32 MB.
 MAX_BLOCK_ROWS = 4096
 BLOCK_BYTES = 4 * 1024 * 1024
-CHUNK = 1024
+CHUNK = 1024                # query rows scored at once (dense features)
+SPARSE_CHUNK = 256          # query rows scored at once when a sparse feature is present
+TILE_CELLS = 8_000_000      # cells of one sparse densified tile
+# Scores are rounded to this many decimals before ranking, so values that are
+# equal in exact arithmetic tie (and fall back to the id order) whatever the
+# summation order of the engine that computed them.
+TIE_DECIMALS = 12
+
+
+@dataclass(frozen=True)
+class Feature:
+    """A pair feature: ``name`` = dot(left[lcol], right[rcol]); kind 'dense' or 'sparse'."""
+
+    name: str
+    kind: str
+    lcol: str
+    rcol: str
+
+
+def sparse_vector(idx: Column, val: Column | None = None) -> Column:
+    """STRUCT(idx, val) for sparse features; ``val`` defaults to 1.0 per index (a set)."""
+    i = idx.cast("array<bigint>")
+    v = val.cast("array<double>") if val is not None else F.transform(i, lambda _: F.lit(1.0))
+    return F.struct(i.alias("idx"), v.alias("val"))
 
 
-def _rows_per_block(dim: int) -> int:
-    return int(max(128, min(MAX_BLOCK_ROWS, BLOCK_BYTES // max(1, 8 * dim))))
+def _rows_per_block(bytes_per_row: int) -> int:
+    return int(max(128, min(MAX_BLOCK_ROWS, BLOCK_BYTES // max(1, bytes_per_row))))
+
+
+def _struct_fields(arr) -> dict:
+    return {arr.type.field(i).name: a for i, a in enumerate(arr.flatten())}
 
 
 def _split(list_col: pa.ListArray):
     """Flatten a list<struct> column; return (struct fields, per-row offsets)."""
     off = list_col.offsets.to_numpy()
-    flat = list_col.flatten()
-    fields = {flat.type.field(i).name: arr for i, arr in enumerate(flat.flatten())}
-    return fields, off - off[0]
+    return _struct_fields(list_col.flatten()), off - off[0]
 
 
-def _matrix(arr: pa.ListArray, dim: int) -> np.ndarray:
+def _dense(arr: pa.ListArray, dim: int) -> np.ndarray:
     vals = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return vals.reshape(-1, dim) if dim else vals.reshape(0, 0)
+    return vals.reshape(-1, dim)
+
+
+class _Sparse:
+    """CSR view (row pointers, indices, values) of a struct<idx, val> column."""
+
+    def __init__(self, arr):
+        f = _struct_fields(arr)
+        idx, val = f["idx"], f["val"]
+        off = idx.offsets.to_numpy()
+        self.ptr = off - off[0]
+        self.idx = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        self.val = val.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+    def rows(self, a: int, b: int):
+        p0, p1 = self.ptr[a], self.ptr[b]
+        counts = np.diff(self.ptr[a:b + 1])
+        return np.repeat(np.arange(b - a), counts), self.idx[p0:p1], self.val[p0:p1]
+
+
+def _sparse_dot(L: _Sparse, la: int, lb: int, R: _Sparse, ra: int, rb: int) -> np.ndarray:
+    """Dense (lb-la) x (rb-ra) matrix of sparse dot products, over the left chunk's vocabulary."""
+    lr, li, lv = L.rows(la, lb)
+    rr, ri, rv = R.rows(ra, rb)
+    out = np.zeros((lb - la, rb - ra))
+    if len(li) == 0 or len(ri) == 0:
+        return out
+    vocab = np.unique(li)
+    lpos = np.searchsorted(vocab, li)
+    rpos = np.searchsorted(vocab, ri)
+    hit = (rpos < len(vocab)) & (vocab[np.minimum(rpos, len(vocab) - 1)] == ri)
+    rr, rpos, rv = rr[hit], rpos[hit], rv[hit]
+    Lm = np.zeros((lb - la, len(vocab)))
+    np.add.at(Lm, (lr, lpos), lv)
+    step = max(1, TILE_CELLS // max(1, len(vocab)))
+    for c0 in range(0, rb - ra, step):
+        c1 = min(rb - ra, c0 + step)
+        m = (rr >= c0) & (rr < c1)
+        Rm = np.zeros((c1 - c0, len(vocab)))
+        np.add.at(Rm, (rr[m] - c0, rpos[m]), rv[m])
+        out[:, c0:c1] = Lm @ Rm.T
+    return out
 
 
 def _select(S: np.ndarray, r_ids: np.ndarray, kk: np.ndarray):
-    """Per row of S: the kk[i] best columns by (score desc, id asc), dropping -inf."""
+    """Per row of S: the kk[i] best columns by (key desc, id asc), dropping -inf."""
     n, m = S.shape
     kmax = int(min(m, kk.max(initial=0)))
     if kmax <= 0 or m == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     if kmax < m:
         cand = np.argpartition(-S, kmax - 1, axis=1)[:, :kmax]
         thr = np.take_along_axis(S, cand, 1).min(axis=1)
@@ -61,30 +131,24 @@ def _select(S: np.ndarray, r_ids: np.ndarray, kk: np.ndarray):
     else:
         cand = np.broadcast_to(np.arange(m), (n, m)).copy()
         tied = np.zeros(n, bool)
-    rows_out, cols_out = [], []
     sc = np.take_along_axis(S, cand, 1)
-    ids = r_ids[cand]
-    o1 = np.argsort(ids, axis=1, kind="stable")
+    o1 = np.argsort(r_ids[cand], axis=1, kind="stable")
     sc, cand = np.take_along_axis(sc, o1, 1), np.take_along_axis(cand, o1, 1)
     o2 = np.argsort(-sc, axis=1, kind="stable")
     cand = np.take_along_axis(cand, o2, 1)
-    keep = np.arange(kmax)[None, :] < kk[:, None]
-    keep &= ~tied[:, None]
+    keep = (np.arange(kmax)[None, :] < kk[:, None]) & ~tied[:, None]
     r, j = np.nonzero(keep)
-    rows_out.append(r)
-    cols_out.append(cand[r, j])
+    rows_out, cols_out = [r], [cand[r, j]]
     for i in np.nonzero(tied)[0]:  # rare: ties straddle the cut; sort that row fully
         order = np.lexsort((r_ids, -S[i]))[: int(kk[i])]
         rows_out.append(np.full(len(order), i))
         cols_out.append(order)
-    rr = np.concatenate(rows_out)
-    cc = np.concatenate(cols_out)
-    s = S[rr, cc]
-    ok = np.isfinite(s)
-    return rr[ok], cc[ok], s[ok]
+    rr, cc = np.concatenate(rows_out), np.concatenate(cols_out)
+    ok = np.isfinite(S[rr, cc])
+    return rr[ok], cc[ok]
 
 
-def _block_fn(dim: int, exclude_same_id: bool, min_score, score_fn=None):
+def _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key):
     def run(batches):
         for b in batches:
             lf, loff = _split(b.column("L"))
@@ -92,104 +156,142 @@ def _block_fn(dim: int, exclude_same_id: bool, min_score, score_fn=None):
             l_ids = lf["lid"].to_numpy(zero_copy_only=False)
             l_kk = lf["kk"].to_numpy(zero_copy_only=False).astype(np.int64)
             r_ids = rf["rid"].to_numpy(zero_copy_only=False)
-            L = _matrix(lf["lv"], dim)
-            R = _matrix(rf["rv"], dim)
-            out_l, out_r, out_s = [], [], []
+            lx, rx = {}, {}
+            for ft in features:
+                if ft.kind == "dense":
+                    lx[ft.name] = _dense(lf["f_" + ft.name], dims[ft.name])
+                    rx[ft.name] = _dense(rf["f_" + ft.name], dims[ft.name])
+                else:
+                    lx[ft.name] = _Sparse(lf["f_" + ft.name])
+                    rx[ft.name] = _Sparse(rf["f_" + ft.name])
+            cols = {"lid": [], "rid": [], "score": [], **{e: [] for e in emit}}
+            chunk = SPARSE_CHUNK if any(ft.kind == "sparse" for ft in features) else CHUNK
             for row in range(b.num_rows):
                 la, lb = loff[row], loff[row + 1]
                 ra, rb = roff[row], roff[row + 1]
                 if lb == la or rb == ra:
                     continue
-                Rm, rid = R[ra:rb], r_ids[ra:rb]
-                for c0 in range(la, lb, CHUNK):
-                    c1 = min(lb, c0 + CHUNK)
-                    if score_fn is None:
-                        S = L[c0:c1] @ Rm.T
-                    else:
-                        S = np.asarray(score_fn(l_ids[c0:c1, None], rid[None, :]), dtype=np.float64)
+                rid = r_ids[ra:rb]
+                for c0 in range(la, lb, chunk):
+                    c1 = min(lb, c0 + chunk)
+                    mats = {}
+                    for ft in features:
+                        if ft.kind == "dense":
+                            mats[ft.name] = lx[ft.name][c0:c1] @ rx[ft.name][ra:rb].T
+                        else:
+                            mats[ft.name] = _sparse_dot(lx[ft.name], c0, c1, rx[ft.name], ra, rb)
+                        mats[ft.name] = np.round(mats[ft.name], TIE_DECIMALS)
+                    key = np.round(np.array(key_fn(mats, l_ids[c0:c1, None], rid[None, :]), dtype=np.float64),
+                                   TIE_DECIMALS)
+                    if key.shape != (c1 - c0, rb - ra):
+                        key = np.broadcast_to(key, (c1 - c0, rb - ra)).copy()
                     if exclude_same_id:
-                        S[l_ids[c0:c1, None] == rid[None, :]] = -np.inf
-                    if min_score is not None:
-                        S[S <= min_score] = -np.inf
-                    i, j, s = _select(S, rid, l_kk[c0:c1])
-                    out_l.append(l_ids[c0:c1][i])
-                    out_r.append(rid[j])
-                    out_s.append(s)
-            if out_l:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_l), pa.int64()),
-                     pa.array(np.concatenate(out_r), pa.int64()),
-                     pa.array(np.concatenate(out_s), pa.float64())],
-                    names=["lid", "rid", "score"])
+                        key[l_ids[c0:c1, None] == rid[None, :]] = -np.inf
+                    if min_key is not None:
+                        key[key <= min_key] = -np.inf
+                    i, j = _select(key, rid, l_kk[c0:c1])
+                    cols["lid"].append(l_ids[c0:c1][i])
+                    cols["rid"].append(rid[j])
+                    cols["score"].append(key[i, j])
+                    for e in emit:
+                        cols[e].append(mats[e][i, j])
+            if cols["lid"]:
+                arrays = [pa.array(np.concatenate(cols["lid"]), pa.int64()),
+                          pa.array(np.concatenate(cols["rid"]), pa.int64()),
+                          pa.array(np.concatenate(cols["score"]), pa.float64())]
+                arrays += [pa.array(np.concatenate(cols[e]), pa.float64()) for e in emit]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lid", "rid", "score", *emit])
     return run
 
 
-def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
-               right_vec: str | None, k, *, exclude_same_id: bool = False, min_score: float | None = None,
-               rows_per_block: int | None = None, score_fn=None) -> DataFrame:
-    """Candidate pairs (lid, rid, score): per left row, its best ``k`` right rows.
-
-    ``k`` is an int or a column of ``left`` giving a per-row count. Rows with a
-    NULL vector are skipped. ``exclude_same_id`` drops lid == rid, and
-    ``min_score`` keeps only scores strictly above it. The output is exact
-    but not yet cut across blocks: finish with ``topk_per_key``.
+def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k,
+                features: list[Feature], key_fn, *, emit: tuple[str, ...] = (),
+                exclude_same_id: bool = False, min_key: float | None = None) -> DataFrame:
+    """Per left row, its best ``k`` right rows by ``key_fn(features, lids, rids)``.
 
-    ``score_fn(left_ids, right_ids) -> scores`` (numpy, broadcasting) replaces
-    the dot product for scores defined on ids alone; vectors are then unused.
+    Returns (lid, rid, score=key, *emit) candidates, exact per block pair; cut
+    across blocks with ``topk_per_key``. ``k`` is an int or a column of
+    ``left`` with a per-row count. ``min_key`` keeps keys strictly above it.
     """
     kk = F.lit(int(k)) if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k)
-    if score_fn is not None:
-        left = left.withColumn("_nov", F.array(F.lit(0.0)))
-        right = right.withColumn("_nov", F.array(F.lit(0.0)))
-        left_vec = right_vec = "_nov"
-    L = (left.where(F.col(left_vec).isNotNull())
-         .select(F.col(left_id).cast("bigint").alias("lid"),
-                 F.col(left_vec).cast("array<double>").alias("lv"),
-                 kk.cast("int").alias("kk")))
-    R = (right.where(F.col(right_vec).isNotNull())
-         .select(F.col(right_id).cast("bigint").alias("rid"),
-                 F.col(right_vec).cast("array<double>").alias("rv")))
-    # Sizes fix the block counts: one small aggregate per side.
-    st = R.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("rv")).alias("d"),
-               F.min(F.size("rv")).alias("d0")).first()
-    n_r, dim, dmin = st["n"], st["d"], st["d0"]
+    L = left.select(F.col(left_id).cast("bigint").alias("lid"), kk.cast("int").alias("kk"),
+                    *[(F.col(f.lcol).cast("array<double>") if f.kind == "dense" else F.col(f.lcol))
+                      .alias("f_" + f.name) for f in features])
+    R = right.select(F.col(right_id).cast("bigint").alias("rid"),
+                     *[(F.col(f.rcol).cast("array<double>") if f.kind == "dense" else F.col(f.rcol))
+                       .alias("f_" + f.name) for f in features])
+    for f in features:
+        L = L.where(F.col("f_" + f.name).isNotNull())
+        R = R.where(F.col("f_" + f.name).isNotNull())
+    # Sizes fix the block counts and prove each block row's size bound.
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for f in features:
+        size = F.size("f_" + f.name) if f.kind == "dense" else F.size(F.col("f_" + f.name + ".idx"))
+        aggs += [F.max(size).alias("mx_" + f.name), F.min(size).alias("mn_" + f.name)]
+    st = R.agg(*aggs).first()
+    n_r = st["n"]
+    schema = "lid bigint, rid bigint, score double" + "".join(f", {e} double" for e in emit)
     if not n_r:
-        return left.sparkSession.createDataFrame([], "lid bigint, rid bigint, score double")
-    if dim != dmin:
-        raise ValueError(f"vectors of {right_vec} differ in length ({dmin}..{dim})")
+        return left.sparkSession.createDataFrame([], schema)
+    dims, row_bytes = {}, 16
+    for f in features:
+        if f.kind == "dense" and st["mx_" + f.name] != st["mn_" + f.name]:
+            raise ValueError(f"vectors of {f.rcol} differ in length")
+        dims[f.name] = int(st["mx_" + f.name])
+        row_bytes += 16 * dims[f.name] if f.kind == "sparse" else 8 * dims[f.name]
     n_l = L.count()
-    per = rows_per_block or _rows_per_block(dim)
+    per = _rows_per_block(row_bytes)
     nb_l = max(1, math.ceil(n_l / per))
     nb_r = max(1, math.ceil(n_r / per))
+    fl = [F.col("f_" + f.name) for f in features]
     lb = (L.withColumn("lb", F.pmod(F.xxhash64("lid"), F.lit(nb_l)))
-          .groupBy("lb").agg(F.collect_list(F.struct("lid", "lv", "kk")).alias("L")))
+          .groupBy("lb").agg(F.collect_list(F.struct("lid", "kk", *fl)).alias("L")))
     rb = (R.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(nb_r)))
-          .groupBy("rb").agg(F.collect_list(F.struct("rid", "rv")).alias("R")))
+          .groupBy("rb").agg(F.collect_list(F.struct("rid", *fl)).alias("R")))
     # Pair every query block with every item block through an equi-join on the
-    # item block id (the query block is replicated nb_r times, not its rows paired).
+    # item block id (the query block is replicated nb_r times; rows are never paired).
     pairs = (lb.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_r - 1).cast("bigint"))))
              .join(rb, "rb"))
     return pairs.select("L", "R").mapInArrow(
-        _block_fn(int(dim), exclude_same_id, min_score, score_fn), "lid bigint, rid bigint, score double")
+        _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key), schema)
+
 
+def _dot_key(name):
+    return lambda m, lid, rid: m[name]
 
-def exact_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame, right_id: str,
-               right_vec: str, k: int, *, exclude: DataFrame | None = None, exclude_same_id=False,
+
+def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
+               right_vec: str | None, k, *, exclude_same_id: bool = False, min_score: float | None = None,
+               score_fn=None, kind: str = "dense") -> DataFrame:
+    """(lid, rid, score) candidates: per left row its best ``k`` right rows by dot product.
+
+    ``score_fn(left_ids, right_ids)`` (numpy, broadcasting) replaces the dot
+    product for scores defined on ids alone. ``kind='sparse'`` takes
+    struct<idx, val> vectors.
+    """
+    if score_fn is not None:
+        return block_pairs(left, left_id, right, right_id, k, [], lambda m, lid, rid: score_fn(lid, rid),
+                           exclude_same_id=exclude_same_id, min_key=min_score)
+    return block_pairs(left, left_id, right, right_id, k, [Feature("dot", kind, left_vec, right_vec)],
+                       _dot_key("dot"), exclude_same_id=exclude_same_id, min_key=min_score)
+
+
+def exact_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
+               right_vec: str | None, k: int, *, exclude: DataFrame | None = None, exclude_same_id=False,
                min_score=None, extra_k: Column | None = None, out=("lid", "rank", "rid", "score"),
-               score_fn=None) -> DataFrame:
+               score_fn=None, kind: str = "dense") -> DataFrame:
     """Global top-k per left row, minus ``exclude`` (lid, rid) pairs, ranked 1..k.
 
     Excluded pairs are removed before the cut: each left row over-fetches
     ``k + extra_k`` candidates (``extra_k`` = its number of excluded items),
     the pairs are anti-joined, then the final window keeps k.
     """
+    kk = k
     if extra_k is not None:
         left = left.withColumn("_kk", F.lit(k) + F.coalesce(extra_k, F.lit(0)))
-        cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, "_kk",
-                          exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn)
-    else:
-        cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, k,
-                          exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn)
+        kk = "_kk"
+    cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, kk,
+                      exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn, kind=kind)
     if exclude is not None:
         cand = cand.join(exclude.select(F.col(exclude.columns[0]).alias("lid"),
                                         F.col(exclude.columns[1]).alias("rid")),

@@ -7,7 +7,7 @@ doubles are rounded to 6 places in the final SELECT, as on the Spark side.
 
 from __future__ import annotations
 
-from shelfwise.sources.testdata import ADAPTER_VIEWS, view_sql
+from shelfwise.sources.testdata import ADAPTER_VIEWS, RAW_TABLES, view_sql
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -61,24 +61,6 @@ FROM live l LEFT JOIN by_author a USING (book_id) LEFT JOIN by_genre g USING (bo
 _ADAPTER = {n for n, _ in ADAPTER_VIEWS}
 
 
-def _order(names: tuple[str, ...]) -> list[str]:
-    seen: list[str] = []
-
-    def visit(n: str):
-        if n in seen:
-            return
-        if n in BLOCKS:
-            for d in BLOCKS[n][1]:
-                visit(d)
-        elif n not in _ADAPTER:
-            raise KeyError(n)
-        seen.append(n)
-
-    for n in names:
-        visit(n)
-    return seen
-
-
 def sql(body: str, *uses: str, extra: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> str:
     """Compose ``WITH`` adapter views + blocks (+ ``extra`` local blocks) and ``body``."""
     local = dict(extra or {})
@@ -93,6 +75,8 @@ def sql(body: str, *uses: str, extra: dict[str, tuple[str, tuple[str, ...]]] | N
         elif n in BLOCKS:
             for d in BLOCKS[n][1]:
                 visit(d)
+        elif n in RAW_TABLES:
+            return
         elif n not in _ADAPTER:
             raise KeyError(n)
         order.append(n)
@@ -108,4 +92,6 @@ def sql(body: str, *uses: str, extra: dict[str, tuple[str, tuple[str, ...]]] | N
         else:
             text = view_sql(n, "duckdb")
         parts.append(f"{n} AS ({text.strip()})")
+    if not parts:
+        return body.strip()
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()

@@ -135,7 +135,7 @@ def q_known_pairs(c):
 @register("exclude_seen", sql("""
 SELECT r.user_id, r.book_id, r.score FROM (
   SELECT p.user_id, m.book_id, list_dot_product(p.p, m.e) AS score,
-         row_number() OVER (PARTITION BY p.user_id ORDER BY list_dot_product(p.p, m.e) DESC, m.book_id) AS rk
+         row_number() OVER (PARTITION BY p.user_id ORDER BY round(list_dot_product(p.p, m.e), 12) DESC, m.book_id) AS rk
   FROM prof p, emb m) r
 WHERE r.rk <= 30 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.book_id = r.book_id)""",
                                 "prof", "emb", "seen"))
@@ -161,7 +161,7 @@ def q_user_profiles(c):
 _CONTENT_REC = """
 SELECT user_id, CAST(rk AS BIGINT) AS rank, book_id, round(score, 6) AS score FROM (
   SELECT p.user_id, m.book_id, list_dot_product(p.p, m.e) AS score,
-         row_number() OVER (PARTITION BY p.user_id ORDER BY list_dot_product(p.p, m.e) DESC, m.book_id) AS rk
+         row_number() OVER (PARTITION BY p.user_id ORDER BY round(list_dot_product(p.p, m.e), 12) DESC, m.book_id) AS rk
   FROM prof p, emb m
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.book_id = m.book_id)) t
 WHERE rk <= 10"""
@@ -177,7 +177,7 @@ def q_content_recommend(c):
 @register("user_item_scores", sql("""
 SELECT user_id, CAST(rk AS BIGINT) AS rank, book_id, round(score, 6) AS score FROM (
   SELECT p.user_id, m.book_id, list_dot_product(p.p, m.e) AS score,
-         row_number() OVER (PARTITION BY p.user_id ORDER BY list_dot_product(p.p, m.e) DESC, m.book_id) AS rk
+         row_number() OVER (PARTITION BY p.user_id ORDER BY round(list_dot_product(p.p, m.e), 12) DESC, m.book_id) AS rk
   FROM prof p, emb m) t
 WHERE rk <= 30""", "prof", "emb"))
 def q_user_item_scores(c):
@@ -189,7 +189,7 @@ def q_user_item_scores(c):
 _SIMILAR = """
 SELECT book_id, CAST(rk AS BIGINT) AS rank, similar_book_id, round(score, 6) AS score FROM (
   SELECT a.book_id, b.book_id AS similar_book_id, list_dot_product(a.e, b.e) AS score,
-         row_number() OVER (PARTITION BY a.book_id ORDER BY list_dot_product(a.e, b.e) DESC, b.book_id) AS rk
+         row_number() OVER (PARTITION BY a.book_id ORDER BY round(list_dot_product(a.e, b.e), 12) DESC, b.book_id) AS rk
   FROM emb a, emb b WHERE a.book_id <> b.book_id AND list_dot_product(a.e, b.e) > 0) t
 WHERE rk <= 10"""
 
@@ -203,7 +203,7 @@ def q_similar_items(c):
 @register("item_item_scores", sql("""
 SELECT book_id, CAST(rk AS BIGINT) AS rank, other_id, round(score, 6) AS score FROM (
   SELECT a.book_id, b.book_id AS other_id, list_dot_product(a.e, b.e) AS score,
-         row_number() OVER (PARTITION BY a.book_id ORDER BY list_dot_product(a.e, b.e) DESC, b.book_id) AS rk
+         row_number() OVER (PARTITION BY a.book_id ORDER BY round(list_dot_product(a.e, b.e), 12) DESC, b.book_id) AS rk
   FROM emb a, emb b WHERE a.book_id <> b.book_id) t
 WHERE rk <= 20""", "emb"))
 def q_item_item_scores(c):

@@ -14,7 +14,7 @@ _UNSEEN = "NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = {u} AND s.book_id
 
 
 def _cands(m: int) -> dict:
-    cf = "((u.user_id * 31 + i.book_id * 17) % 101) / CAST(101 AS DOUBLE)"
+    cf = "round(((u.user_id * 31 + i.book_id * 17) % 101) / CAST(101 AS DOUBLE), 12)"
     return {
         "cfu": ("SELECT DISTINCT user_id FROM inter", ("inter",)),
         "cfi": ("SELECT DISTINCT book_id FROM inter", ("inter",)),
@@ -26,8 +26,8 @@ SELECT user_id, book_id, cf FROM (
                 ("cfu", "cfi", "seen")),
         "ctc": (f"""
 SELECT user_id, book_id, content FROM (
-  SELECT p.user_id, e.book_id, list_dot_product(p.p, e.e) AS content,
-         row_number() OVER (PARTITION BY p.user_id ORDER BY list_dot_product(p.p, e.e) DESC, e.book_id) AS rk
+  SELECT p.user_id, e.book_id, round(list_dot_product(p.p, e.e), 12) AS content,
+         row_number() OVER (PARTITION BY p.user_id ORDER BY round(list_dot_product(p.p, e.e), 12) DESC, e.book_id) AS rk
   FROM prof p, emb e WHERE {_UNSEEN.format(u='p.user_id', b='e.book_id')}) t WHERE rk <= {m}""",
                 ("prof", "emb", "seen")),
     }
