@@ -68,7 +68,8 @@ SELECT user_id, book_id, CAST({score} AS DOUBLE) AS score, CAST({rcf} AS DOUBLE)
     return b
 
 
-def _hybrid_sql(m: int, alpha: float, lone: bool, limit: int = 10) -> str:
+def hybrid_blocks(m: int, alpha: float, lone: bool, limit: int = 10) -> dict:
+    """Oracle blocks ending in ``hyb`` (user_id, rk, book_id, score, cf, content, pop, path)."""
     b = _blend_blocks(m, alpha, lone)
     b["hr"] = (f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rk
@@ -80,9 +81,15 @@ SELECT * FROM (
          row_number() OVER (PARTITION BY r.user_id ORDER BY p.cnt DESC, p.book_id) AS rk
   FROM (SELECT DISTINCT user_id FROM requests WHERE user_id NOT IN (SELECT user_id FROM hs)) r, pop p
   WHERE {_UNSEEN.format(u='r.user_id', b='p.book_id')}) t WHERE rk <= {limit}""", ("requests", "hs", "pop", "seen"))
+    cols = "user_id, rk, book_id, score, cf, content, pop, path"
+    b["hyb"] = (f"SELECT {cols} FROM hr UNION ALL SELECT {cols} FROM hp", ("hr", "hp"))
+    return b
+
+
+def _hybrid_sql(m: int, alpha: float, lone: bool, limit: int = 10) -> str:
     cols = ("user_id, CAST(rk AS BIGINT) AS rank, book_id, round(score, 6) AS score, round(cf, 6) AS cf, "
             "round(content, 6) AS content, round(pop, 6) AS pop, path")
-    return sql(f"SELECT {cols} FROM hr UNION ALL SELECT {cols} FROM hp", extra=b)
+    return sql(f"SELECT {cols} FROM hyb", extra=hybrid_blocks(m, alpha, lone, limit))
 
 
 def _cf_cands(c, m):
