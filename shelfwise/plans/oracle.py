@@ -29,15 +29,6 @@ SELECT user_id, book_id, sum(strength) AS total,
        sum(CASE WHEN type = 'favorite' THEN strength END) AS favorite
 FROM inter GROUP BY user_id, book_id""", ("inter",)),
     "emb": ("SELECT book_id, CAST(embedding AS DOUBLE[]) AS e FROM item_embeddings", ("item_embeddings",)),
-    "pw": ("SELECT s.user_id, s.total AS w, m.e FROM store s JOIN emb m USING (book_id)", ("store", "emb")),
-    "pws": ("SELECT user_id, sum(w) AS wsum FROM pw GROUP BY user_id HAVING sum(w) <> 0", ("pw",)),
-    "pe": ("SELECT user_id, w, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS pos FROM pw", ("pw",)),
-    "pm": ("""
-SELECT pe.user_id, pe.pos, sum(pe.w * pe.v) / any_value(pws.wsum) AS m
-FROM pe JOIN pws USING (user_id) GROUP BY pe.user_id, pe.pos""", ("pe", "pws")),
-    "pn": ("SELECT user_id, sqrt(sum(m * m)) AS nrm FROM pm GROUP BY user_id HAVING sqrt(sum(m * m)) > 0", ("pm",)),
-    "plong": ("SELECT user_id, pos, m / nrm AS value FROM pm JOIN pn USING (user_id)", ("pm", "pn")),
-    "prof": ("SELECT user_id, list(value ORDER BY pos) AS p FROM plong GROUP BY user_id", ("plong",)),
     "seen": ("SELECT DISTINCT user_id, book_id FROM inter", ("inter",)),
     "live": ("""
 SELECT book_id, title, description, publisher, publication_year FROM books WHERE is_deleted = FALSE""",
@@ -58,6 +49,28 @@ FROM live l LEFT JOIN by_author a USING (book_id) LEFT JOIN by_genre g USING (bo
     "pop": ("SELECT book_id, count(*) AS cnt FROM inter GROUP BY book_id", ("inter",)),
 }
 
+
+
+def profile_blocks(prefix: str = "", store: str = "store") -> dict:
+    """D4 in SQL over ``store`` (user_id, book_id, total): blocks <prefix>pw .. <prefix>prof."""
+    p = prefix
+    return {
+        f"{p}pw": (f"SELECT s.user_id, s.total AS w, m.e FROM {store} s JOIN emb m USING (book_id)", (store, "emb")),
+        f"{p}pws": (f"SELECT user_id, sum(w) AS wsum FROM {p}pw GROUP BY user_id HAVING sum(w) <> 0", (f"{p}pw",)),
+        f"{p}pe": (f"SELECT user_id, w, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS pos FROM {p}pw", (f"{p}pw",)),
+        f"{p}pm": (f"""
+SELECT x.user_id, x.pos, sum(x.w * x.v) / any_value(y.wsum) AS m
+FROM {p}pe x JOIN {p}pws y USING (user_id) GROUP BY x.user_id, x.pos""", (f"{p}pe", f"{p}pws")),
+        f"{p}pn": (f"SELECT user_id, sqrt(sum(m * m)) AS nrm FROM {p}pm GROUP BY user_id HAVING sqrt(sum(m * m)) > 0",
+                   (f"{p}pm",)),
+        f"{p}plong": (f"SELECT user_id, pos, m / nrm AS value FROM {p}pm JOIN {p}pn USING (user_id)",
+                      (f"{p}pm", f"{p}pn")),
+        f"{p}prof": (f"SELECT user_id, list(value ORDER BY pos) AS p FROM {p}plong GROUP BY user_id", (f"{p}plong",)),
+    }
+
+
+BLOCKS.update(profile_blocks())
+
 _ADAPTER = {n for n, _ in ADAPTER_VIEWS}
 
 

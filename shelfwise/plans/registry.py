@@ -78,4 +78,4 @@ class Ctx:
 
 
 # Importing the query modules fills QUERIES / ORACLE.
-from shelfwise.plans import queries_base, queries_eval, queries_reco, queries_text  # noqa: E402,F401
+from shelfwise.plans import queries_base, queries_eval, queries_reco, queries_stream, queries_text  # noqa: E402,F401,I001
