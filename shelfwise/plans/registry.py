@@ -78,4 +78,5 @@ class Ctx:
 
 
 # Importing the query modules fills QUERIES / ORACLE.
-from shelfwise.plans import queries_base, queries_eval, queries_reco, queries_stream, queries_text  # noqa: E402,F401,I001
+from shelfwise.plans import (queries_base, queries_eval, queries_models, queries_reco,  # noqa: E402,F401,I001
+                             queries_stream, queries_text)
