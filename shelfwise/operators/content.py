@@ -24,9 +24,12 @@ def user_profiles(store: DataFrame, items: DataFrame) -> DataFrame:
 
     ``store`` is (user_id, book_id, total). The weighted mean is Spark ML's
     Summarizer, a partial aggregate: a user with a huge history is summed
-    map-side like any other group. A user whose weights sum to 0 gets no profile.
+    map-side like any other group. Strengths are non-negative by construction,
+    so zero weights add nothing and are dropped first; a user whose weights sum
+    to 0 gets no profile.
     """
     j = (store.select("user_id", "book_id", F.col("total").cast("double").alias("w"))
+         .where(F.col("w") > 0)
          .join(items.select("book_id", array_to_vector("embedding").alias("v")), "book_id"))
     agg = (j.groupBy("user_id")
            .agg(Summarizer.mean(F.col("v"), F.col("w")).alias("m"), F.sum("w").alias("wsum"))

@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     # Block scorers ship a few MB per row; bound each Arrow batch by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
