@@ -50,9 +50,17 @@ def tag_vectors(tags: DataFrame) -> DataFrame:
 
 
 def mean_rating_all(interactions: DataFrame) -> DataFrame:
-    """Mean strength per book over every event type (the hybrids' rating map)."""
-    return (interactions.where(F.col("book_id").isNotNull() & F.col("strength").isNotNull())
-            .groupBy("book_id").agg(F.avg("strength").alias("avg_rating")))
+    """Mean per book over every event type (the hybrids' rating map).
+
+    The value column is the first present of rating_value, rating, strength;
+    rows with a NULL book or value are dropped (B10).
+    """
+    from shelfwise.sources.catalog import first_present
+    col = first_present(interactions, ("rating_value", "rating", "strength"))
+    if col is None:
+        return interactions.sparkSession.createDataFrame([], "book_id bigint, avg_rating double")
+    return (interactions.where(F.col("book_id").isNotNull() & F.col(col).isNotNull())
+            .groupBy("book_id").agg(F.avg(F.col(col).cast("double")).alias("avg_rating")))
 
 
 def mean_rating_only(interactions: DataFrame, books: DataFrame | None = None) -> DataFrame:
@@ -109,8 +117,8 @@ def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rat
                         limit: int = 5, oversample: int = DEFAULT_OVERSAMPLE,
                         tag_columns=None, use_tfidf: bool | None = None) -> DataFrame:
     """L3 for every catalogue book (book_id, rank, candidate_id, rating, score, tag_overlap, similarity)."""
-    if limit <= 0:
-        raise ValueError("limit must be positive")
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be within 1-100")
     head = max(limit, oversample)
     cols = list(tag_columns) if tag_columns else tag_columns_of(books)
     tv = tag_vectors(tag_sets(books, cols))

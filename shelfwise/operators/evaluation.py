@@ -174,6 +174,17 @@ def pair_hit_rate(recs: DataFrame, test_pairs: DataFrame, k: int = 10) -> DataFr
     return _metric_rows(row, k, ["pair_hit_rate"])
 
 
+def safe_number(c):
+    """NULL for NaN and +-inf, the value otherwise (for reporting metrics)."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
+
+
+def safe_metrics(metrics: DataFrame) -> DataFrame:
+    """B13 applied to a (metric, k, value) table."""
+    return metrics.withColumn("value", safe_number("value"))
+
+
 def mse_rmse(predictions: DataFrame, label: str = "strength", pred: str = "prediction") -> DataFrame:
     """Sample-weighted MSE and RMSE; NaN when there is no row."""
     row = predictions.agg(F.avg(F.pow(F.col(pred) - F.col(label), 2)).alias("mse"))

@@ -16,6 +16,8 @@ def topk_per_key(df: DataFrame, key: str | list[str], order: list[Column], k: in
     ``row_number() <= k`` lets Catalyst insert a WindowGroupLimit below the
     window, so each task keeps only k rows per key before the final sort.
     """
+    if k <= 0:
+        raise ValueError("k must be positive")
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     return (df.withColumn(rank_col, F.row_number().over(w))

@@ -157,3 +157,20 @@ def q_hybrid_recommend_latent(c):
     store, items, profiles, seen = c.content
     return H.hybrid_recommend(c.src.requests, _cf_cands(c, 20), _ct_cands(c, 20),
                               P.popularity(c.interactions), seen, 10, H.LATENT)
+
+
+@register("recommendations_sink", sql(
+    "SELECT user_id, CAST(rk AS BIGINT) AS rank, book_id, round(score, 6) AS score, 'als' AS variant FROM hyb",
+    extra=hybrid_blocks(30, 0.4, False)))
+def q_recommendations_sink(c):
+    """Hybrid recommendations written as Parquet partitioned by variant, read back."""
+    import uuid
+
+    from shelfwise.session import scratch_path
+    from shelfwise.sources.sinks import read_recommendations, write_recommendations
+    store, items, profiles, seen = c.content
+    recs = H.hybrid_recommend(c.src.requests, _cf_cands(c, 30), _ct_cands(c, 30),
+                              P.popularity(c.interactions), seen, 10, H.ALS)
+    path = scratch_path(c.spark, f"recs-{uuid.uuid4().hex[:8]}")
+    write_recommendations({"als": recs.select("user_id", "rank", "book_id", "score")}, path)
+    return read_recommendations(c.spark, path, "als")

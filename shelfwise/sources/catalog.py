@@ -14,6 +14,19 @@ BOOK_COLUMNS = ["book_id", "title", "description", "publisher", "publication_yea
                 "authors_text", "genres_text"]
 
 
+def ensure_columns(df: DataFrame, defaults: dict) -> DataFrame:
+    """Add each missing column with its default literal (plan-time, by name)."""
+    for name, value in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(value))
+    return df
+
+
+def first_present(df: DataFrame, candidates) -> str | None:
+    """The first candidate column the frame has (e.g. rating_value, rating, strength)."""
+    return next((c for c in candidates if c in df.columns), None)
+
+
 def string_agg_distinct(col: str) -> Column:
     """Space-joined distinct non-null values, sorted; '' when none."""
     return F.coalesce(F.array_join(F.array_sort(F.collect_set(F.col(col))), " "), F.lit(""))

@@ -6,8 +6,6 @@ oracle. Every view reads whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 
 RAW_TABLES = (
@@ -83,27 +81,52 @@ def duckdb_prefix(names: list[str] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-@dataclass
+# Raw tables each adapter view reads.
+VIEW_DEPS = {
+    "books": ("embeddings", "part"),
+    "authors": ("supplier",),
+    "book_authors": ("lineitem", "embeddings"),
+    "genres": ("region",),
+    "book_genres": ("lineitem", "embeddings", "supplier", "nation"),
+    "ratings": ("events",), "reading_history": ("events",), "favorites": ("events",),
+    "feedback": ("events",), "base_events": ("events",),
+    "item_embeddings": ("embeddings",), "requests": ("customer",), "docs": ("documents",),
+}
+
+
 class Sources:
-    """Lazy DataFrames in the source schemas the recommender reads."""
-
-    books: DataFrame
-    authors: DataFrame
-    book_authors: DataFrame
-    genres: DataFrame
-    book_genres: DataFrame
-    ratings: DataFrame
-    reading_history: DataFrame
-    favorites: DataFrame
-    feedback: DataFrame
-    item_embeddings: DataFrame
-    requests: DataFrame
-    docs: DataFrame
-    spark: SparkSession
-    sf_dir: str
+    """Lazy DataFrames in the source schemas the recommender reads.
+
+    A view (and the raw tables under it) is resolved on first use only, so a
+    query pays for the tables it reads and nothing else.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        if table not in self._raw:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            df.createOrReplaceTempView(table)
+            self._raw[table] = df
+        return self._raw[table]
+
+    def view(self, name: str) -> DataFrame:
+        if name not in self._views:
+            for t in VIEW_DEPS[name]:
+                # re-point the name at this folder's table (another Sources may have used it)
+                self.raw(t).createOrReplaceTempView(t)
+            df = self.spark.sql(view_sql(name, "spark"))
+            df.createOrReplaceTempView(name)
+            self._views[name] = df
+        return self._views[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in VIEW_DEPS:
+            raise AttributeError(name)
+        return self.view(name)
 
 
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
@@ -112,12 +135,5 @@ def register_raw(spark: SparkSession, sf_dir: str) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Sources:
-    """Register the raw tables and return the adapter views as DataFrames."""
-    register_raw(spark, sf_dir)
-    dfs = {}
-    for name, _ in ADAPTER_VIEWS:
-        df = spark.sql(view_sql(name, "spark"))
-        df.createOrReplaceTempView(name)
-        dfs[name] = df
-    dfs.pop("base_events")
-    return Sources(spark=spark, sf_dir=sf_dir, **dfs)
+    """The adapter views over ``sf_dir`` as lazily resolved DataFrames."""
+    return Sources(spark, sf_dir)

@@ -170,3 +170,44 @@ def feedback_stream(spark: SparkSession, source_dir: str, table: str, checkpoint
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).drop("bucket")
+
+
+class OnlineLearning:
+    """Enable / disable online learning = start / stop the feedback stream.
+
+    Disabling never drops events: they stay in the source folder and are
+    applied when the stream is enabled again (its checkpoint remembers what was
+    read). ``status`` is J6 from the pending rows of the source.
+    """
+
+    def __init__(self, spark: SparkSession, source_dir: str, table: str, checkpoint: str):
+        self.spark, self.source_dir, self.table, self.checkpoint = spark, source_dir, table, checkpoint
+        self.queries = ()
+        self.buffer_size = DEFAULT_BUFFER
+
+    @property
+    def enabled(self) -> bool:
+        return any(q.isActive for q in self.queries)
+
+    def enable(self, buffer_size: int = DEFAULT_BUFFER, force: bool = False):
+        if not 10 <= buffer_size <= 1000:
+            raise ValueError("buffer_size must be within 10-1000")
+        self.buffer_size = buffer_size
+        self.disable()
+        self.queries = feedback_stream(self.spark, self.source_dir, self.table, self.checkpoint,
+                                       available_now=force)
+        return self
+
+    def flush(self):
+        """Force an update now: process everything present, then stop (availableNow)."""
+        self.disable()
+        self.queries = feedback_stream(self.spark, self.source_dir, self.table, self.checkpoint,
+                                       available_now=True)
+        for q in self.queries:
+            q.awaitTermination()
+
+    def disable(self):
+        for q in self.queries:
+            if q.isActive:
+                q.stop()
+        self.queries = ()
