@@ -34,6 +34,9 @@ BLOCK_BYTES = 4 * 1024 * 1024
 CHUNK = 1024                # query rows scored at once (dense features)
 SPARSE_CHUNK = 256          # query rows scored at once when a sparse feature is present
 TILE_CELLS = 8_000_000      # cells of one sparse densified tile
+# Item sides up to this many bytes (count x row width, measured) are broadcast;
+# larger ones are joined on the (query block, item block) grid.
+BROADCAST_BYTES = 256 * 1024 * 1024
 # Scores are rounded to this many decimals before ranking, so values that are
 # equal in exact arithmetic tie (and fall back to the id order) whatever the
 # summation order of the engine that computed them.
@@ -257,10 +260,17 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
           .groupBy("lb").agg(F.collect_list(F.struct("lid", "kk", *fl)).alias("L")))
     rb = (R.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(nb_r)))
           .groupBy("rb").agg(F.collect_list(F.struct("rid", *fl)).alias("R")))
-    # Pair every query block with every item block through an equi-join on the
-    # item block id (the query block is replicated nb_r times; rows are never paired).
-    pairs = (lb.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_r - 1).cast("bigint"))))
-             .join(rb, "rb"))
+    every_rb = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_r - 1).cast("bigint")))
+    if n_r * row_bytes <= BROADCAST_BYTES:
+        # Measured item side: broadcast its blocks; one task per query block.
+        pairs = (lb.repartition(nb_l, "lb").withColumn("rb", every_rb)
+                 .join(F.broadcast(rb), "rb"))
+    else:
+        # Grid: each (query block, item block) pair is its own join key, so the
+        # work spreads over nb_l * nb_r keys instead of nb_r.
+        every_lb = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_l - 1).cast("bigint")))
+        pairs = (lb.withColumn("rb", every_rb)
+                 .join(rb.withColumn("lb", every_lb), ["lb", "rb"]))
     return pairs.select("L", "R").mapInArrow(
         _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key), schema)
 
