@@ -210,17 +210,19 @@ def _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key):
 def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k,
                 features: list[Feature], key_fn, *, emit: tuple[str, ...] = (),
                 exclude_same_id: bool = False, min_key: float | None = None,
-                materialize_left: bool = True) -> DataFrame:
+                materialize: bool = True) -> DataFrame:
     """Per left row, its best ``k`` right rows by ``key_fn(features, lids, rids)``.
 
     Returns (lid, rid, score=key, *emit) candidates, exact per block pair; cut
     across blocks with ``topk_per_key``. ``k`` is an int or a column of
     ``left`` with a per-row count. ``min_key`` keeps keys strictly above it.
 
-    The query side is checkpointed to the shared checkpoint folder before it
-    is counted (``materialize_left``), so its upstream plan (profiles, factor
-    tables) runs once and its lineage is cut before the replicated join.
+    Both sides are checkpointed to the shared checkpoint folder before they
+    are measured (``materialize``), so their upstream plans (profiles, factor
+    tables, TF-IDF vectors) run once and the lineage is cut before the
+    replicated join. A self-pairing (``left is right``) is materialised once.
     """
+    same = left is right
     kk = F.lit(int(k)) if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k)
     L = left.select(F.col(left_id).cast("bigint").alias("lid"), kk.cast("int").alias("kk"),
                     *[(F.col(f.lcol).cast("array<double>") if f.kind == "dense" else F.col(f.lcol))
@@ -231,6 +233,12 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
     for f in features:
         L = L.where(F.col("f_" + f.name).isNotNull())
         R = R.where(F.col("f_" + f.name).isNotNull())
+    if materialize:
+        from shelfwise.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(L.sparkSession)
+        L = L.checkpoint(eager=True)
+        R = (L.select(F.col("lid").alias("rid"), *[F.col("f_" + f.name) for f in features])
+             if same else R.checkpoint(eager=True))
     # Sizes fix the block counts and prove each block row's size bound.
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in features:
@@ -247,10 +255,6 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
             raise ValueError(f"vectors of {f.rcol} differ in length")
         dims[f.name] = int(st["mx_" + f.name])
         row_bytes += 16 * dims[f.name] if f.kind == "sparse" else 8 * dims[f.name]
-    if materialize_left:
-        from shelfwise.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(L.sparkSession)
-        L = L.checkpoint(eager=True)
     n_l = L.count()
     per = _rows_per_block(row_bytes)
     nb_l = max(1, math.ceil(n_l / per))

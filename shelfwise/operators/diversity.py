@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import tag_tokens
 from shelfwise.operators.blockscore import Feature, block_pairs
-from shelfwise.operators.ranking import dense_id_map, topk_per_key
+from shelfwise.operators.ranking import topk_per_key, unique_ids
 from shelfwise.operators.tfidf import corpus, tfidf, tfidf_vectors
 
 # Candidate tag columns, in order of preference.
@@ -39,8 +39,8 @@ def tag_sets(books: DataFrame, columns) -> DataFrame:
 
 
 def tag_vectors(tags: DataFrame) -> DataFrame:
-    """(book_id, tagv STRUCT<idx, val=1>) with exact dense tag ids."""
-    ids = dense_id_map(tags.select(F.explode("tags").alias("tag")), "tag", "tix")
+    """(book_id, tagv STRUCT<idx, val=1>) over exact unique tag ids."""
+    ids = unique_ids(tags.select(F.explode("tags").alias("tag")), "tag", "tix")
     v = (tags.select("book_id", F.explode("tags").alias("tag")).join(ids, "tag")
          .groupBy("book_id").agg(F.array_sort(F.collect_list("tix")).alias("ix")))
     return (tags.select("book_id").join(v, "book_id", "left")

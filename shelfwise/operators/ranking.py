@@ -62,3 +62,16 @@ def dense_id_map(ids: DataFrame, id_col: str, out: str = "idx") -> DataFrame:
     d = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     return (global_row_number(d, [F.col(id_col).asc()], "_rn")
             .select(id_col, (F.col("_rn") - 1).cast("int" if out == "idx32" else "bigint").alias(out)))
+
+
+def unique_ids(values: DataFrame, col: str, out: str = "uid") -> DataFrame:
+    """Distinct values of ``col`` with a unique (not consecutive) BIGINT id, fixed once.
+
+    ``monotonically_increasing_id`` is unique but depends on the partitioning,
+    so the mapping is checkpointed (one job) and every later use sees the same ids.
+    """
+    from shelfwise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(values.sparkSession)
+    d = values.select(col).where(F.col(col).isNotNull()).distinct()
+    return d.withColumn(out, F.monotonically_increasing_id()).checkpoint(eager=True)

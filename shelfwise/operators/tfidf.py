@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from shelfwise.functions.text import word_tokens
 from shelfwise.operators.blockscore import exact_topk
-from shelfwise.operators.ranking import dense_id_map
+from shelfwise.operators.ranking import unique_ids
 
 
 def corpus(books: DataFrame, columns) -> DataFrame:
@@ -46,8 +46,8 @@ def tfidf(docs: DataFrame, text_col: str = "doc") -> DataFrame:
 
 
 def tfidf_vectors(weights: DataFrame, docs: DataFrame) -> DataFrame:
-    """(book_id, tfidf STRUCT<idx, val>) with exact dense term ids; empty docs get empty vectors."""
-    ids = dense_id_map(weights.select("term"), "term", "tid")
+    """(book_id, tfidf STRUCT<idx, val>) over exact unique term ids; empty docs get empty vectors."""
+    ids = unique_ids(weights.select("term"), "term", "tid")
     v = (weights.join(ids, "term")
          .groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("tid", "weight"))).alias("e")))
     return (docs.select("book_id").join(v, "book_id", "left")
