@@ -223,6 +223,7 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
     replicated join. A self-pairing (``left is right``) is materialised once.
     """
     same = left is right
+    _bound_arrow_batches(left.sparkSession)
     kk = F.lit(int(k)) if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k)
     L = left.select(F.col(left_id).cast("bigint").alias("lid"), kk.cast("int").alias("kk"),
                     *[(F.col(f.lcol).cast("array<double>") if f.kind == "dense" else F.col(f.lcol))
@@ -279,6 +280,14 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
         _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key), schema)
 
 
+def _bound_arrow_batches(spark) -> None:
+    """Block rows are MBs each: make sure Arrow batches are bounded by bytes, not only rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    cur = spark.conf.get(key, None)
+    if cur is None or int(str(cur).rstrip("bB") or 0) <= 0 or int(str(cur).rstrip("bB")) > (1 << 30):
+        spark.conf.set(key, str(64 * 1024 * 1024))
+
+
 def _dot_key(name):
     return lambda m, lid, rid: m[name]
 

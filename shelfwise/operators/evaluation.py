@@ -36,12 +36,16 @@ def temporal_split(interactions: DataFrame, test_ratio: float = 0.2, ts_col: str
 
 
 def hash_key(seed: int, cols=("user_id", "book_id", "ts", "type", "strength")):
-    """A row's md5 over the seed and its fields (timestamps as epoch microseconds)."""
+    """A row's md5 over the seed and its fields.
+
+    Timestamps enter as their wall-clock text with microseconds, which does not
+    depend on the session time zone for TIMESTAMP_NTZ values.
+    """
     parts = [F.lit(str(seed))]
     for c in cols:
         x = F.col(c)
         if c == "ts":
-            x = F.unix_micros(F.col(c).cast("timestamp"))
+            x = F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
         parts.append(F.coalesce(x.cast("string"), F.lit("")))
     return F.md5(F.concat_ws("|", *parts))
 

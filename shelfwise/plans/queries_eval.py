@@ -13,7 +13,7 @@ from shelfwise.plans.queries_reco import hybrid_blocks
 from shelfwise.plans.registry import register
 
 _MD5 = ("md5(concat_ws('|', '42', coalesce(CAST(user_id AS VARCHAR), ''), coalesce(CAST(book_id AS VARCHAR), ''), "
-        "coalesce(CAST(epoch_us(ts) AS VARCHAR), ''), coalesce(type, '')))")
+        "coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), ''), coalesce(type, '')))")
 _CUT = "CAST(floor((SELECT count(*) FROM inter_all) * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT)"
 
 SPLIT_BLOCKS = {
@@ -92,7 +92,10 @@ class _Split:
             cf = H.standin_cf_candidates(self.train, seen, 30)
             ct = H.content_candidates(profiles, items, seen, 30)
             users = self.test.select("user_id").distinct()
-            recs = H.hybrid_recommend(users, cf, ct, P.popularity(self.train), seen, 10, H.ALS)
+            # The recommendation table is a result: materialise it once, then
+            # every metric reads it instead of re-running both scorers.
+            recs = H.hybrid_recommend(users, cf, ct, P.popularity(self.train), seen, 10, H.ALS) \
+                .checkpoint(eager=True)
             known = self.train.select("user_id").unionByName(profiles.select("user_id")).distinct()
             return recs, known
         return self.c.memo("eval_model", build)

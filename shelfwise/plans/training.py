@@ -81,7 +81,8 @@ def train_job(spark: SparkSession, books: DataFrame, interactions: DataFrame, it
     users = test.select("user_id").distinct()
     m = 3 * k
     recs = H.hybrid_recommend(users, als_candidates(cf, seen, m),
-                              H.content_candidates(profiles, items, seen, m), pop, seen, k, H.ALS, alpha)
+                              H.content_candidates(profiles, items, seen, m), pop, seen, k, H.ALS, alpha) \
+        .checkpoint(eager=True)
     known = train.select("user_id").unionByName(profiles.select("user_id")).distinct()
     return E.ranking_metrics(recs, E.ground_truth(test), known, k).unionByName(
         E.catalog_coverage(recs, train, books, num_samples=100, k=k))

@@ -27,3 +27,15 @@ def test_matches_duckdb(spark, duck, key):
     sp = E.queries()[key](spark, SF0001).toPandas()
     dd = duck.execute(E.oracle_sql()[key]).df()
     assert rows_of(sp) == rows_of(dd)
+
+
+def test_hash_split_does_not_depend_on_session_time_zone(spark, duck):
+    import __spark_entry__ as E
+    from tools.oracle_check import rows_of
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        sp = E.queries()["fold_assign"](spark, SF0001).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert rows_of(sp) == rows_of(duck.execute(E.oracle_sql()["fold_assign"]).df())
