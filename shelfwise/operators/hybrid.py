@@ -64,9 +64,16 @@ def blend(cf: DataFrame, content: DataFrame, variant: Variant, alpha: float | No
     Returns (user_id, book_id, score, cf, content, pop, path) before the cut.
     """
     a = variant.alpha if alpha is None else alpha
-    cfn = minmax_per_key(cf, "user_id", "cf", "cf_n")
-    ctn = minmax_per_key(content, "user_id", "content", "ct_n")
-    j = cfn.join(ctn, ["user_id", "book_id"], "full")
+    null = F.lit(None).cast("double")
+    cfn = minmax_per_key(cf, "user_id", "cf", "cf_n").select(
+        "user_id", "book_id", "cf", "cf_n", null.alias("content"), null.alias("ct_n"))
+    ctn = minmax_per_key(content, "user_id", "content", "ct_n").select(
+        "user_id", "book_id", null.alias("cf"), null.alias("cf_n"), "content", "ct_n")
+    # The full outer join on (user, book), written as union + group-by: both
+    # inputs are already partitioned by user (their windows), which the
+    # aggregate and every later per-user window can reuse without a shuffle.
+    j = (cfn.unionByName(ctn).groupBy("user_id", "book_id")
+         .agg(*[F.max(c).alias(c) for c in ("cf", "cf_n", "content", "ct_n")]))
     w = Window.partitionBy("user_id")
     has_cf = F.max(F.col("cf").isNotNull().cast("int")).over(w) > 0
     has_ct = F.max(F.col("content").isNotNull().cast("int")).over(w) > 0
@@ -99,12 +106,17 @@ def hybrid_recommend(requests: DataFrame, cf_candidates: DataFrame, content_cand
     users = requests.select("user_id").distinct()
     ranked = topk_per_key(blended.join(users, "user_id", "left_semi"), "user_id",
                           [F.col("score").desc(), F.col("book_id").asc()], limit)
-    covered = blended.select("user_id").distinct()
-    cold = users.join(covered, "user_id", "left_anti")
-    popular = unseen_popular(cold, pop, seen, limit).select(
+    # Popularity lists for every requested user (linear in users x limit), so
+    # the blend is read once: a user keeps the blend rows when it has any.
+    popular = unseen_popular(users, pop, seen, limit).select(
         "user_id", "rank", "book_id", "score", F.lit(0.0).alias("cf"), F.lit(0.0).alias("content"),
         F.col("score").alias("pop"), F.lit("popularity").alias("path"))
-    return ranked.select(*HYBRID_COLUMNS).unionByName(popular.select(*HYBRID_COLUMNS))
+    both = ranked.select(*HYBRID_COLUMNS).unionByName(popular.select(*HYBRID_COLUMNS))
+    has_blend = F.max((F.col("path") != "popularity").cast("int")).over(Window.partitionBy("user_id"))
+    return (both.withColumn("_hb", has_blend)
+            .where(((F.col("_hb") == 1) & (F.col("path") != "popularity"))
+                   | ((F.col("_hb") == 0) & (F.col("path") == "popularity")))
+            .select(*HYBRID_COLUMNS))
 
 
 def content_candidates(profiles: DataFrame, items: DataFrame, seen: DataFrame, m: int) -> DataFrame:
