@@ -122,9 +122,10 @@ def _merge_latest(spark: SparkSession, table: str, scratch: str):
         upd = batch.withColumn("bucket", F.pmod(F.xxhash64("user_id", "book_id"), F.lit(LATEST_BUCKETS)))
         keys = ["user_id", "book_id", "type"]
         if _exists(spark, table):
-            cur = spark.read.parquet(table)
-            touched = upd.select("bucket").distinct()
-            cur = cur.join(touched, "bucket", "left_semi")
+            # At most LATEST_BUCKETS ids: a static partition filter, so only
+            # the touched bucket folders are read.
+            touched = [r["bucket"] for r in upd.select("bucket").distinct().collect()]
+            cur = spark.read.parquet(table).where(F.col("bucket").isin(touched))
             both = cur.unionByName(upd.select(*cur.columns))
             newest = (both.groupBy(*keys, "bucket")
                       .agg(F.max_by(F.struct("strength", "n_events"), F.col("last_at")).alias("v"),
