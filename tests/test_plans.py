@@ -45,3 +45,17 @@ def test_interaction_store_is_one_partial_final_aggregate(spark):
     s = testdata.load(spark, SF0001)
     p = plan(interaction_store(load_interactions(s.ratings, s.reading_history, s.favorites)))
     assert p.count("HashAggregate") >= 2
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_scorer_runs_once(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    assert _final_plan(q["content_recommend"](spark, SF0001)).count("MapInArrow") == 1
+    hybrid = _final_plan(q["hybrid_recommend"](spark, SF0001))
+    assert hybrid.count("MapInArrow") == 2            # CF scorer + content scorer, each once
+    assert "CartesianProduct" not in hybrid and "BroadcastNestedLoopJoin" not in hybrid
