@@ -294,7 +294,7 @@ def _dot_key(name):
 
 def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
                right_vec: str | None, k, *, exclude_same_id: bool = False, min_score: float | None = None,
-               score_fn=None, kind: str = "dense") -> DataFrame:
+               score_fn=None, kind: str = "dense", materialize: bool = True) -> DataFrame:
     """(lid, rid, score) candidates: per left row its best ``k`` right rows by dot product.
 
     ``score_fn(left_ids, right_ids)`` (numpy, broadcasting) replaces the dot
@@ -303,15 +303,16 @@ def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataF
     """
     if score_fn is not None:
         return block_pairs(left, left_id, right, right_id, k, [], lambda m, lid, rid: score_fn(lid, rid),
-                           exclude_same_id=exclude_same_id, min_key=min_score)
+                           exclude_same_id=exclude_same_id, min_key=min_score, materialize=materialize)
     return block_pairs(left, left_id, right, right_id, k, [Feature("dot", kind, left_vec, right_vec)],
-                       _dot_key("dot"), exclude_same_id=exclude_same_id, min_key=min_score)
+                       _dot_key("dot"), exclude_same_id=exclude_same_id, min_key=min_score,
+                       materialize=materialize)
 
 
 def exact_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
                right_vec: str | None, k: int, *, exclude: DataFrame | None = None, exclude_same_id=False,
                min_score=None, extra_k: Column | None = None, out=("lid", "rank", "rid", "score"),
-               score_fn=None, kind: str = "dense") -> DataFrame:
+               score_fn=None, kind: str = "dense", materialize: bool = True) -> DataFrame:
     """Global top-k per left row, minus ``exclude`` (lid, rid) pairs, ranked 1..k.
 
     Excluded pairs are removed before the cut: each left row over-fetches
@@ -323,7 +324,8 @@ def exact_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataF
         left = left.withColumn("_kk", F.lit(k) + F.coalesce(extra_k, F.lit(0)))
         kk = "_kk"
     cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, kk,
-                      exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn, kind=kind)
+                      exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn, kind=kind,
+                      materialize=materialize)
     if exclude is not None:
         cand = cand.join(exclude.select(F.col(exclude.columns[0]).alias("lid"),
                                         F.col(exclude.columns[1]).alias("rid")),
