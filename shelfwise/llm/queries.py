@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import packing, sharding, wavelet
+from shelfwise.llm import packing, repetition, sharding, simhash, wavelet
 from shelfwise.llm.common import documents
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
@@ -16,13 +16,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER, capacity=1024, end_id=2)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.measure(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), TOKENIZER, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_sharding, op9_token_files)}
-ORACLE = {"op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS)))}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding, op6_repetition_rules, op9_token_files)}
+ORACLE = {
+    "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
+    "op6_repetition_rules": repetition.repetition_sql(),
+}
