@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import packing, repetition, sharding, simhash, wavelet
+from shelfwise.llm import decontam, packing, repetition, sharding, simhash, wavelet
 from shelfwise.llm.common import documents
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(documents(spark, sf_dir))
 
@@ -32,8 +36,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), TOKENIZER, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding, op6_repetition_rules, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
+                                   op4_benchmark_decontamination, op6_repetition_rules, op9_token_files)}
 ORACLE = {
     "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
+    "op4_benchmark_decontamination": decontam.contaminated_sql(),
     "op6_repetition_rules": repetition.repetition_sql(),
 }
