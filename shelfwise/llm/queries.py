@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import decontam, packing, repetition, sharding, simhash, wavelet
+from shelfwise.llm import decontam, langid, packing, repetition, sharding, simhash, wavelet
 from shelfwise.llm.common import documents
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), modulus=5)
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
-                                   op4_benchmark_decontamination, op6_repetition_rules, op9_token_files)}
+                                   op4_benchmark_decontamination, op5_language_id, op6_repetition_rules, op9_token_files)}
 ORACLE = {
     "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
     "op4_benchmark_decontamination": decontam.contaminated_sql(),
