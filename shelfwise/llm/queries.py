@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import cnn, decontam, langid, packing, repetition, sharding, simhash, wavelet
+from shelfwise.llm import cnn, decontam, langid, packing, repetition, sharding, simhash, urls, wavelet
 from shelfwise.llm.common import documents
+from shelfwise.session import ensure_checkpoint_dir
 
 TOKENIZER = tokenizer_path("byte_bpe_50k.json")
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -40,13 +42,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), modulus=5)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), TOKENIZER, end_id=0)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
                                    op4_benchmark_decontamination, op5_language_id, op6_repetition_rules,
-                                   op7_quality_classifier, op9_token_files)}
+                                   op7_quality_classifier, op8_url_filters, op9_token_files)}
 ORACLE = {
     "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
     "op4_benchmark_decontamination": decontam.contaminated_sql(),

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -18,23 +19,10 @@ _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _NEWLINE = "\n"
 
 
-class _Parts(dict):
-    """Numbers of parts; an unknown part gets the next one and is noted in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        self[part] = n = len(self)
-        self.new.append(part)
-        return n
-
-
 class TextEncoder:
-    """Encodes batches of texts; keeps ids of at most about ``max_parts`` parts, then starts anew."""
+    """Encodes batches of texts; of about ``max_parts`` parts it keeps those that came more than once."""
 
-    def __init__(self, path: str, max_parts: int = 600_000, piece_chars: int = 1 << 19):
+    def __init__(self, path: str, max_parts: int = 1_000_000, piece_chars: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
@@ -52,18 +40,33 @@ class TextEncoder:
         return np.asarray(enc.ids, dtype=np.uint32)
 
     def _reset(self) -> None:
-        self._index = _Parts()
+        self._index: dict[str, int] = {}
         self._flat, self._used = np.empty(1 << 16, dtype=np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32), 0
         self._at, self._len = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self._hits = np.zeros(1 << 14, dtype=np.int64)
+
+    def _thin(self) -> None:
+        """Forgets parts that came once since the last time, and all if these aren't half of them."""
+        keys, n = list(self._index), len(self._index)
+        stay = np.flatnonzero(self._hits[:n] > 1)
+        if 2 * len(stay) > n:
+            self._reset()
+            return
+        lens = self._len[stay]
+        ends = np.cumsum(np.maximum(lens, 0))
+        self._flat = self._flat[_ranges(self._at[stay], np.maximum(lens, 0), ends)]
+        self._used = len(self._flat)
+        self._at, self._len, self._hits = ends - np.maximum(lens, 0), lens, np.zeros(len(stay), dtype=np.int64)
+        self._index = {keys[i]: j for j, i in enumerate(stay.tolist())}
 
-    def _learn(self) -> None:
-        """Encodes the new parts by one call; length -1 marks one that can't be encoded alone.
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new parts by one call; length -1 marks one that can't be encoded alone.
 
         A part without a newline in front has a space there.
         """
-        new = self._index.new
-        base = len(self._index) - len(new)
-        self._at, self._len = _room(self._at, base + len(new)), _room(self._len, base + len(new))
+        base = len(self._index)
+        self._index.update(zip(new, range(base, base + len(new))))
+        self._at, self._len, self._hits = (_room(a, base + len(new)) for a in (self._at, self._len, self._hits))
         good, texts = [], []
         for i, part in enumerate(new, base):
             body = part[1:] if part[:1] == _NEWLINE else part
@@ -72,7 +75,6 @@ class TextEncoder:
                 texts.append(part if part[0] == _NEWLINE else " " + part)
             else:
                 self._len[i] = -1
-        new.clear()
         if not good:
             return
         ids = self.plain("".join(texts))
@@ -125,11 +127,15 @@ class TextEncoder:
             keys += parts
             ends.append(len(keys))
         if len(self._index) > self._max:
-            self._reset()
-        index = self._index
-        at = np.fromiter([index[k] for k in keys], dtype=np.int64, count=len(keys))
-        if index.new:
-            self._learn()
+            self._thin()
+        at = np.fromiter(map(self._index.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            names = [keys[i] for i in missed.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            at[missed] = np.fromiter(map(self._index.__getitem__, names), dtype=np.int64, count=len(names))
+        hits = np.bincount(at)
+        self._hits[:len(hits)] += hits
         start, lens = self._at[at], self._len[at]
         ends = np.asarray(ends)
         begins = np.concatenate([[0], ends[:-1]])
@@ -140,7 +146,7 @@ class TextEncoder:
         for j in np.flatnonzero(odd):
             lens[begins[j]:ends[j]] = 0
         upto = np.cumsum(lens)
-        flat = self._flat[np.repeat(start - upto + lens, lens) + np.arange(int(upto[-1]))].astype(np.uint32)
+        flat = self._flat[_ranges(start, lens, upto)].astype(np.uint32)
         upto = np.concatenate([[0], upto])
         per = upto[ends] - upto[begins]
         if not odd.any():
@@ -158,6 +164,11 @@ class TextEncoder:
             counts[i] += n
 
 
+def _ranges(start: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range, in a row; ``ends`` are the sums of the lengths."""
+    return np.repeat(start - ends + lens, lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 

@@ -1,17 +1,17 @@
 """Token files: a wavelet matrix per shard, written by tasks and read back.
 
-A file holds the ids of many documents in a row. Its distinct ids are numbered,
-and the numbers' bits are kept as planes, most significant first; under each
-plane, positions are stably parted by the bit. With ranks of the planes, one
-file answers: the token at a place, how often a token comes before a place, and
-where its k-th occurrence is.
+A file holds the ids of many documents in a row, in blocks that fit a processor's
+cache. A block's distinct ids are numbered, and the numbers' bits are kept as
+planes, most significant first; under each plane, positions are stably parted by
+the bit. With ranks of the planes, one file answers: the token at a place, how
+often a token comes before a place, and where its k-th occurrence is.
 
     bytes 0-7    b"SWTOKEN1"
     bytes 8-15   length of the JSON header, little-endian
-    header       counts and, for each section, its type, offset and length
-    sections     doc ids, null marks, document lengths, distinct ids, zeros of
-                 each plane, planes (64-bit words), ranks (ones before each
-                 256 bits), all little-endian
+    header       for each section, its type, offset and shape
+    sections     doc ids, null marks, document lengths; then for each block its
+                 number of ids, distinct ids, zeros of each plane, planes (64-bit
+                 words), ranks (ones before each 256 bits), all little-endian
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from shelfwise.llm.tokens import encoder
 MAGIC = b"SWTOKEN1"
 # Text that one file is planned for, and ids after which a task begins another file.
 SHARD_BYTES, SHARD_IDS = 16 << 20, 12_000_000
+BLOCK_IDS = 1 << 18
 
 
 class WaveletMatrix:
@@ -67,7 +68,7 @@ class WaveletMatrix:
             ones = np.bitwise_count(words[p]).reshape(-1, 4).sum(axis=1)
             ranks[p, 1:] = np.cumsum(ones)[:-1]
             zeros[p] = n - int(ones.sum())
-            at = np.concatenate([at[~bit], at[bit]])
+            at = np.concatenate([np.compress(~bit, at), np.compress(bit, at)])  # many times faster than by a mask
         return cls(n, symbols, zeros, words, ranks)
 
     def _ones(self, p: int, i: np.ndarray) -> np.ndarray:
@@ -140,36 +141,71 @@ class WaveletMatrix:
         for p in reversed(range(len(self.zeros))):
             bit = np.unpackbits(self.words[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(at)
-            up[~bit] = at[:self.zeros[p]]
-            up[bit] = at[self.zeros[p]:] | at.dtype.type(1 << (len(self.zeros) - 1 - p))
+            up[np.flatnonzero(~bit)] = at[:self.zeros[p]]
+            up[np.flatnonzero(bit)] = at[self.zeros[p]:] | at.dtype.type(1 << (len(self.zeros) - 1 - p))
             at = up
         return self.symbols[at] if self.n else np.empty(0, dtype=np.uint32)
 
 
-def to_bytes(doc_ids: list, lengths: np.ndarray, matrix: WaveletMatrix) -> bytes:
-    null = np.asarray([d is None for d in doc_ids], dtype=bool)
-    parts = {"doc_ids": np.asarray([d or 0 for d in doc_ids], dtype="<i8"), "doc_null": null.astype("u1"),
-             "lengths": lengths.astype("<i8"), "symbols": matrix.symbols.astype("<u4"), "zeros": matrix.zeros.astype("<i8"),
-             "words": matrix.words.astype("<u8"), "ranks": matrix.ranks.astype("<u4")}
-    head, at = {"n": matrix.n, "sections": {}}, 0
-    for name, a in parts.items():
-        head["sections"][name] = [a.dtype.str, at, list(a.shape)]
-        at += a.nbytes
-    text = json.dumps(head).encode()
-    return b"".join([MAGIC, len(text).to_bytes(8, "little"), text, *(a.tobytes() for a in parts.values())])
-
-
-def from_bytes(data) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """(document ids, their lengths, the matrix) of a file."""
-    data = memoryview(data)
-    if bytes(data[:8]) != MAGIC:
-        raise ValueError("not a token file")
-    end = 16 + int.from_bytes(data[8:16], "little")
-    head = json.loads(bytes(data[16:end]))
-    part = {name: np.frombuffer(data, dtype, int(np.prod(shape)), end + at).reshape(shape)
-            for name, (dtype, at, shape) in head["sections"].items()}
-    ids = [None if null else int(d) for d, null in zip(part["doc_ids"], part["doc_null"])]
-    return ids, part["lengths"], WaveletMatrix(head["n"], part["symbols"], part["zeros"], part["words"], part["ranks"])
+class TokenFile:
+    """Documents and their ids, in blocks of at most ``BLOCK_IDS``; places count through all blocks."""
+
+    def __init__(self, doc_ids: list, lengths: np.ndarray, blocks: list[WaveletMatrix]):
+        self.doc_ids, self.lengths, self.blocks = doc_ids, lengths, blocks
+        self.firsts = np.concatenate([[0], np.cumsum([b.n for b in blocks], dtype=np.int64)])
+
+    @classmethod
+    def build(cls, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> TokenFile:
+        return cls(doc_ids, lengths, [WaveletMatrix.build(ids[i:i + block_ids]) for i in range(0, len(ids), block_ids)])
+
+    def access(self, places) -> np.ndarray:
+        """Ids at places."""
+        places = np.asarray(places, dtype=np.int64)
+        own = np.searchsorted(self.firsts, places, side="right") - 1
+        out = np.zeros(places.shape, dtype=np.uint32)
+        for k in np.unique(own):
+            out[own == k] = self.blocks[k].access(places[own == k] - self.firsts[k])
+        return out
+
+    def count(self, token: int, end: int | None = None) -> int:
+        """Occurrences of a token before a place, or in all."""
+        end = int(self.firsts[-1]) if end is None else end
+        return sum(b.count(token, min(b.n, end - int(first))) for b, first in zip(self.blocks, self.firsts) if first < end)
+
+    def select(self, token: int, k: int) -> int:
+        """Place of occurrence number k (from 0) of a token."""
+        for block, first in zip(self.blocks, self.firsts):
+            n = block.count(token)
+            if 0 <= k < n:
+                return int(first) + int(block.select(token, k))
+            k -= n
+        raise IndexError("no such occurrence")
+
+    def decode(self) -> np.ndarray:
+        return np.concatenate([b.decode() for b in self.blocks]) if self.blocks else np.empty(0, dtype=np.uint32)
+
+    def to_bytes(self) -> bytes:
+        null = np.asarray([d is None for d in self.doc_ids], dtype=bool)
+        parts = [np.asarray([d or 0 for d in self.doc_ids], dtype="<i8"), null.astype("u1"), self.lengths.astype("<i8")]
+        for b in self.blocks:
+            parts += [np.asarray([b.n], dtype="<i8"), b.symbols.astype("<u4"), b.zeros.astype("<i8"), b.words.astype("<u8"), b.ranks.astype("<u4")]
+        sections, at = [], 0
+        for a in parts:
+            sections.append([a.dtype.str, at, list(a.shape)])
+            at += a.nbytes
+        head = json.dumps(sections).encode()
+        return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *(a.tobytes() for a in parts)])
+
+    @classmethod
+    def from_bytes(cls, data) -> TokenFile:
+        data = memoryview(data)
+        if bytes(data[:8]) != MAGIC:
+            raise ValueError("not a token file")
+        end = 16 + int.from_bytes(data[8:16], "little")
+        ids, null, lengths, *rest = [np.frombuffer(data, dtype, int(np.prod(shape)), end + at).reshape(shape)
+                                     for dtype, at, shape in json.loads(bytes(data[16:end]))]
+        blocks = [WaveletMatrix(int(n[0]), *part) for n, *part in (rest[i:i + 5] for i in range(0, len(rest), 5))]
+        return cls([None if empty else d for d, empty in zip(ids.tolist(), null.tolist())], lengths, blocks)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
@@ -203,7 +239,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             file = f"part-{part:06d}-{seq:04d}.tokens"
             draft = posixpath.join(root, f".{file}.{uuid.uuid4().hex}")
             with store.open_output_stream(draft) as out:
-                out.write(to_bytes(names, lengths, WaveletMatrix.build(ids)))
+                out.write(TokenFile.build(names, lengths, ids).to_bytes())
             store.move(draft, posixpath.join(root, file))
             row = pa.record_batch([pa.array([x]) for x in (file, part, seq, len(names), len(ids))],
                                   names=["file", "part", "seq", "n_docs", "n_tokens"])
@@ -238,11 +274,12 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for file, first in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(posixpath.join(root, file)) as f:
-                    docs, lengths, matrix = from_bytes(f.read_buffer())
-                data = memoryview(matrix.decode().astype("<u4")).cast("B")
+                    found = TokenFile.from_bytes(f.read_buffer())
+                data = memoryview(found.decode().astype("<u4")).cast("B")
+                lengths = found.lengths
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(data[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(first + ends - lengths),
+                yield pa.record_batch([pa.array(found.doc_ids, pa.int64()), pa.array(first + ends - lengths),
                                        pa.array(lengths), pa.array(crc, pa.int64())],
                                       names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
