@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import cnn, decontam, langid, packing, repetition, sharding, simhash, urls, wavelet
+from shelfwise.llm import cnn, decontam, langid, ngram_trie, packing, repetition, sharding, simhash, urls, wavelet
 from shelfwise.llm.common import documents
 from shelfwise.session import ensure_checkpoint_dir
 
@@ -51,9 +51,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), TOKENIZER, end_id=0)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.learn_and_score(documents(spark, sf_dir), modulus=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
                                    op4_benchmark_decontamination, op5_language_id, op6_repetition_rules,
-                                   op7_quality_classifier, op8_url_filters, op9_token_files)}
+                                   op7_quality_classifier, op8_url_filters, op9_token_files,
+                                   op10_lm_scoring)}
 ORACLE = {
     "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
     "op4_benchmark_decontamination": decontam.contaminated_sql(),
