@@ -103,7 +103,7 @@ def fit(rows: list[tuple[int, bytes]], prior: float, epochs: int = 6, batch: int
     net = Network(seed)
     ones = np.mean([label for label, _ in rows]) if rows else 0.5
     logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1))
-    if 0 < ones < 1:
+    if rows and 0 < ones < 1:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in net.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in net.p.items()}

@@ -65,7 +65,7 @@ def seeds(texts: list[str | None], masks: tuple[str, ...]):
 
 
 def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item_id, mask, word, hash) of every mask at every place of every item."""
+    """(item, mask, item_word, hash) of every mask at every place of every item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             _, ends, found = seeds(batch.column("text").to_pylist(), masks)
@@ -164,8 +164,10 @@ def _find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_item_wo
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("text_hash"))
     counted = F.size(F.expr(f"regexp_extract_all(translate(text, {_sql_text(PUNCTUATION)}, ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"))
-    items = (items.select(F.col("item_id").cast("long").alias("item"), "text").where("text IS NOT NULL")
-             .withColumn("n", counted).where(F.col("n") >= min_item_words))
+    # An item is known by its id and text, as ids may be null or come twice.
+    items = (items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+             .withColumns({"n": counted, "item": F.xxhash64("item_id", "text")}).where(F.col("n") >= min_item_words)
+             .dropDuplicates(["item"]))
     # Items shorter than a mask get one of their own length, with no place ignored.
     shape = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < max(map(len, masks)), F.col("n")))).first()
     own = tuple("1" * n for n in sorted(shape[1] or []))
@@ -178,7 +180,7 @@ def _find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_item_wo
     diagonals = (hits.join(item_seeds, ["mask", "hash"]).select("segment", "item", (F.col("word") - F.col("item_word")).alias("shift"))
                  .distinct())
     pairs = (diagonals.join(found.select("segment", "doc", "text_hash", "start", "words"), "segment")
-             .join(items.select("item", "text"), "item"))
+             .join(items.select("item", "item_id", "text"), "item"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +190,11 @@ def _find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_item_wo
                 if got:
                     rows.append((i, got[0] + start, *got[1:]))
             at, *cols = zip(*rows) if rows else ((),) * 5
-            keys = [batch.column(c).take(pa.array(at, pa.int32())) for c in ("doc", "text_hash", "item")]
+            keys = [batch.column(c).take(pa.array(at, pa.int32())) for c in ("doc", "text_hash", "item_id")]
             yield pa.record_batch(keys + [pa.array(c, pa.int64()) for c in cols],
                                   names=["doc_id", "text_hash", "item_id", "doc_word", "item_word", "n_words", "n_same"])
 
-    return pairs.select("doc", "text_hash", "item", "start", "words", "shift", "text").mapInArrow(
+    return pairs.select("doc", "text_hash", "item_id", "start", "words", "shift", "text").mapInArrow(
         run, "doc_id long, text_hash long, item_id long, doc_word long, item_word long, n_words long, n_same long")
 
 

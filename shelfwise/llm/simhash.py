@@ -152,7 +152,7 @@ def links(fingerprints: DataFrame, max_bits: int = 2, group_limit: int = GROUP_L
                                                      lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
     if max_bits % 2:  # for an odd distance the middle is an edge: its least end's value stands for both
         around = (around.select("fp", F.explode(F.transform(F.array(*[F.lit(_signed(1 << i)) for i in range(64)]),
-                                                            lambda x: F.struct(x.alias("bit"), F.col("value").bitwiseAND(~x).alias("value")))).alias("e"))
+                                                            lambda x: F.struct(x.alias("bit"), F.col("value").bitwiseAND(F.bitwise_not(x)).alias("value")))).alias("e"))
                   .select("fp", F.xxhash64("e.bit", "e.value").alias("value")).distinct())
     least = around.groupBy("value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
     through = around.join(least, "value").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
