@@ -22,7 +22,7 @@ _NEWLINE = "\n"
 class TextEncoder:
     """Encodes batches of texts; of about ``max_parts`` parts it keeps those that came more than once."""
 
-    def __init__(self, path: str, max_parts: int = 1_000_000, piece_chars: int = 1 << 19):
+    def __init__(self, path: str, max_parts: int = 600_000, piece_chars: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
@@ -57,6 +57,7 @@ class TextEncoder:
         self._flat = self._flat[_ranges(self._at[stay], np.maximum(lens, 0), ends)]
         self._used = len(self._flat)
         self._at, self._len, self._hits = ends - np.maximum(lens, 0), lens, np.zeros(len(stay), dtype=np.int64)
+        self._index.clear()
         self._index = {keys[i]: j for j, i in enumerate(stay.tolist())}
 
     def _learn(self, new: list[str]) -> None:

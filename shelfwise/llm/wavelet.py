@@ -34,7 +34,7 @@ from shelfwise.llm.tokens import encoder
 
 MAGIC = b"SWTOKEN1"
 # Text that one file is planned for, and ids after which a task begins another file.
-SHARD_BYTES, SHARD_IDS = 16 << 20, 12_000_000
+SHARD_BYTES, SHARD_IDS = 8 << 20, 6_000_000
 BLOCK_IDS = 1 << 18
 
 
