@@ -1,17 +1,21 @@
-"""Blocked exact top-k over all (query, item) pairs (the all-pairs scorer, U2).
+"""Exact top-k over all (query, item) pairs (the all-pairs scorer, U2).
 
-Scoring every query row against every item is a matrix product. Rows of both
-sides are hashed into blocks of bounded size, each query block is paired with
-each item block by an equi-join on the item block id, and every block pair is
-scored in numpy inside an Arrow task. A block pair emits only its local
-top-``k`` per query row, so the rows leaving a task grow with
-``queries * item_blocks * k``, never with ``queries * items``. A window over
-the survivors then keeps the global top-k.
+Scoring every query row against every item is a matrix product. Queries are
+dealt to groups whose bytes fit a task, items to splits, and task (g, s) sees
+group g and split s: it first takes in its queries, then streams its items past
+them, one Arrow batch at a time, keeping a running top-``k`` per query. So at
+most ``queries * splits * k`` rows leave the tasks. With more groups than cores
+there is one split, and no query is sent twice; with few queries the items are
+split instead and aren't sent twice. A window then keeps the global top-k.
+
+Each query row carries the ids that it must not get (``exclude``); they are
+masked before the cut, so no list comes back short and nothing is fetched in
+excess.
 
 Pair features are dense dot products (ARRAY<DOUBLE> columns) or sparse dot
 products (STRUCT<idx ARRAY<BIGINT>, val ARRAY<DOUBLE>> columns; binary tag
-sets give set-intersection sizes). Sparse products are computed per block over
-the local vocabulary of the query chunk, so no (pair, term) row ever exists.
+sets give set-intersection sizes). Sparse products are computed on tiles of the
+vocabulary, so no (pair, term) row ever exists.
 
 Ties are broken by the smaller item id everywhere, so the result equals a full
 sort by ``(key DESC, id ASC)``.
@@ -19,24 +23,24 @@ sort by ``(key DESC, id ASC)``.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ranking import topk_per_key
+from shelfwise.session import ensure_checkpoint_dir
 
-MAX_BLOCK_ROWS = 4096
-BLOCK_BYTES = 4 * 1024 * 1024
+# Measured bytes of queries (features and excluded ids) that one task holds.
+GROUP_BYTES = 64 * 1024 * 1024
 CHUNK = 1024                # query rows scored at once (dense features)
 SPARSE_CHUNK = 256          # query rows scored at once when a sparse feature is present
-TILE_CELLS = 8_000_000      # cells of one sparse densified tile
-# Item sides up to this many bytes (count x row width, measured) are broadcast;
-# larger ones are joined on the (query block, item block) grid.
-BROADCAST_BYTES = 256 * 1024 * 1024
+COLUMNS = 4096              # items scored at once
+TILE_CELLS = 2_000_000      # cells of one sparse tile, either side
 # Scores are rounded to this many decimals before ranking, so values that are
 # equal in exact arithmetic tie (and fall back to the id order) whatever the
 # summation order of the engine that computed them.
@@ -60,232 +64,256 @@ def sparse_vector(idx: Column, val: Column | None = None) -> Column:
     return F.struct(i.alias("idx"), v.alias("val"))
 
 
-def _rows_per_block(bytes_per_row: int) -> int:
-    return int(max(128, min(MAX_BLOCK_ROWS, BLOCK_BYTES // max(1, bytes_per_row))))
-
+def _lists(col: pa.ListArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(row pointers, values) of a list column; a null list is empty."""
+    lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    values = col.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]), values
 
-def _struct_fields(arr) -> dict:
-    return {arr.type.field(i).name: a for i, a in enumerate(arr.flatten())}
 
+class _Dense:
+    def __init__(self, col: pa.ListArray, dim: int):
+        self.m = _lists(col, np.float64)[1].reshape(len(col), dim)
 
-def _split(list_col: pa.ListArray):
-    """Flatten a list<struct> column; return (struct fields, per-row offsets)."""
-    off = list_col.offsets.to_numpy()
-    return _struct_fields(list_col.flatten()), off - off[0]
-
+    @classmethod
+    def joined(cls, parts: list[_Dense]) -> _Dense:
+        out = cls.__new__(cls)
+        out.m = np.concatenate([p.m for p in parts])
+        return out
 
-def _dense(arr: pa.ListArray, dim: int) -> np.ndarray:
-    vals = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return vals.reshape(-1, dim)
+    def dot(self, a: int, b: int, other: _Dense, c: int, d: int) -> np.ndarray:
+        return self.m[a:b] @ other.m[c:d].T
 
 
 class _Sparse:
-    """CSR view (row pointers, indices, values) of a struct<idx, val> column."""
-
-    def __init__(self, arr):
-        f = _struct_fields(arr)
-        idx, val = f["idx"], f["val"]
-        off = idx.offsets.to_numpy()
-        self.ptr = off - off[0]
-        self.idx = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-        self.val = val.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-
-    def rows(self, a: int, b: int):
-        p0, p1 = self.ptr[a], self.ptr[b]
-        counts = np.diff(self.ptr[a:b + 1])
-        return np.repeat(np.arange(b - a), counts), self.idx[p0:p1], self.val[p0:p1]
-
-
-def _sparse_dot(L: _Sparse, la: int, lb: int, R: _Sparse, ra: int, rb: int) -> np.ndarray:
-    """Dense (lb-la) x (rb-ra) matrix of sparse dot products, over the left chunk's vocabulary."""
-    lr, li, lv = L.rows(la, lb)
-    rr, ri, rv = R.rows(ra, rb)
-    out = np.zeros((lb - la, rb - ra))
-    if len(li) == 0 or len(ri) == 0:
+    """Row pointers, indices and values of a struct<idx, val> column."""
+
+    def __init__(self, col: pa.StructArray, dim: int):
+        fields = {col.type.field(i).name: a for i, a in enumerate(col.flatten())}  # of a slice, unlike field()
+        self.ptr, self.idx = _lists(fields["idx"], np.int64)
+        self.val = _lists(fields["val"], np.float64)[1]
+
+    @classmethod
+    def joined(cls, parts: list[_Sparse]) -> _Sparse:
+        out = cls.__new__(cls)
+        out.ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.ptr) for p in parts]), dtype=np.int64)])
+        out.idx, out.val = (np.concatenate([getattr(p, n) for p in parts]) for n in ("idx", "val"))
+        return out
+
+    def _by_term(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, value) of some rows, by term."""
+        p, q = self.ptr[a], self.ptr[b]
+        rows = np.repeat(np.arange(b - a), np.diff(self.ptr[a:b + 1]))
+        order = np.argsort(self.idx[p:q], kind="stable")
+        return rows[order], self.idx[p:q][order], self.val[p:q][order]
+
+    def dot(self, a: int, b: int, other: _Sparse, c: int, d: int) -> np.ndarray:
+        """Sparse products on tiles of the terms that both sides have."""
+        lr, li, lv = self._by_term(a, b)
+        rr, ri, rv = other._by_term(c, d)
+        out = np.zeros((b - a, d - c))
+        terms = np.intersect1d(li, ri)
+        step = max(1, TILE_CELLS // max(b - a, d - c, 1))
+        for t in range(0, len(terms), step):
+            tile = terms[t:t + step]
+            sides = []
+            for rows, idx, val, n in ((lr, li, lv, b - a), (rr, ri, rv, d - c)):
+                p, q = np.searchsorted(idx, tile[0]), np.searchsorted(idx, tile[-1], side="right")
+                at = np.searchsorted(tile, idx[p:q])
+                hit = tile[at] == idx[p:q]
+                m = np.zeros((n, len(tile)))
+                np.add.at(m, (rows[p:q][hit], at[hit]), val[p:q][hit])
+                sides.append(m)
+            out += sides[0] @ sides[1].T
         return out
-    vocab = np.unique(li)
-    lpos = np.searchsorted(vocab, li)
-    rpos = np.searchsorted(vocab, ri)
-    hit = (rpos < len(vocab)) & (vocab[np.minimum(rpos, len(vocab) - 1)] == ri)
-    rr, rpos, rv = rr[hit], rpos[hit], rv[hit]
-    Lm = np.zeros((lb - la, len(vocab)))
-    np.add.at(Lm, (lr, lpos), lv)
-    step = max(1, TILE_CELLS // max(1, len(vocab)))
-    for c0 in range(0, rb - ra, step):
-        c1 = min(rb - ra, c0 + step)
-        m = (rr >= c0) & (rr < c1)
-        Rm = np.zeros((c1 - c0, len(vocab)))
-        np.add.at(Rm, (rr[m] - c0, rpos[m]), rv[m])
-        out[:, c0:c1] = Lm @ Rm.T
-    return out
 
 
-def _select(S: np.ndarray, r_ids: np.ndarray, kk: np.ndarray):
-    """Per row of S: the kk[i] best columns by (key desc, id asc), dropping -inf."""
-    n, m = S.shape
-    kmax = int(min(m, kk.max(initial=0)))
-    if kmax <= 0 or m == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if kmax < m:
-        cand = np.argpartition(-S, kmax - 1, axis=1)[:, :kmax]
-        thr = np.take_along_axis(S, cand, 1).min(axis=1)
-        # A tie band crossing the cut needs a full sort; -inf (masked) ties do not.
-        tied = ((S >= thr[:, None]).sum(axis=1) > kmax) & np.isfinite(thr)
+_KINDS = {"dense": _Dense, "sparse": _Sparse}
+
+
+def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` best keys, by (key desc, id asc); ``ids`` belong to the columns, ascending."""
+    n, m = key.shape
+    if k < m:
+        cand = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        cut = np.take_along_axis(key, cand, 1).min(axis=1)
+        # A band of equal keys across the cut needs a full sort; masked (-inf) ones do not.
+        tied = np.flatnonzero(((key >= cut[:, None]).sum(axis=1) > k) & np.isfinite(cut))
+        for i in tied:
+            cand[i] = np.argsort(-key[i], kind="stable")[:k]
+        cand.sort(axis=1)
     else:
-        cand = np.broadcast_to(np.arange(m), (n, m)).copy()
-        tied = np.zeros(n, bool)
-    sc = np.take_along_axis(S, cand, 1)
-    o1 = np.argsort(r_ids[cand], axis=1, kind="stable")
-    sc, cand = np.take_along_axis(sc, o1, 1), np.take_along_axis(cand, o1, 1)
-    o2 = np.argsort(-sc, axis=1, kind="stable")
-    cand = np.take_along_axis(cand, o2, 1)
-    keep = (np.arange(kmax)[None, :] < kk[:, None]) & ~tied[:, None]
-    r, j = np.nonzero(keep)
-    rows_out, cols_out = [r], [cand[r, j]]
-    for i in np.nonzero(tied)[0]:  # rare: ties straddle the cut; sort that row fully
-        order = np.lexsort((r_ids, -S[i]))[: int(kk[i])]
-        rows_out.append(np.full(len(order), i))
-        cols_out.append(order)
-    rr, cc = np.concatenate(rows_out), np.concatenate(cols_out)
-    ok = np.isfinite(S[rr, cc])
-    return rr[ok], cc[ok]
-
-
-def _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key):
-    def run(batches):
-        for b in batches:
-            lf, loff = _split(b.column("L"))
-            rf, roff = _split(b.column("R"))
-            l_ids = lf["lid"].to_numpy(zero_copy_only=False)
-            l_kk = lf["kk"].to_numpy(zero_copy_only=False).astype(np.int64)
-            r_ids = rf["rid"].to_numpy(zero_copy_only=False)
-            lx, rx = {}, {}
-            for ft in features:
-                if ft.kind == "dense":
-                    lx[ft.name] = _dense(lf["f_" + ft.name], dims[ft.name])
-                    rx[ft.name] = _dense(rf["f_" + ft.name], dims[ft.name])
-                else:
-                    lx[ft.name] = _Sparse(lf["f_" + ft.name])
-                    rx[ft.name] = _Sparse(rf["f_" + ft.name])
-            cols = {"lid": [], "rid": [], "score": [], **{e: [] for e in emit}}
-            chunk = SPARSE_CHUNK if any(ft.kind == "sparse" for ft in features) else CHUNK
-            for row in range(b.num_rows):
-                la, lb = loff[row], loff[row + 1]
-                ra, rb = roff[row], roff[row + 1]
-                if lb == la or rb == ra:
-                    continue
-                rid = r_ids[ra:rb]
-                for c0 in range(la, lb, chunk):
-                    c1 = min(lb, c0 + chunk)
-                    mats = {}
-                    for ft in features:
-                        if ft.kind == "dense":
-                            mats[ft.name] = lx[ft.name][c0:c1] @ rx[ft.name][ra:rb].T
-                        else:
-                            mats[ft.name] = _sparse_dot(lx[ft.name], c0, c1, rx[ft.name], ra, rb)
-                        mats[ft.name] = np.round(mats[ft.name], TIE_DECIMALS)
-                    key = np.round(np.array(key_fn(mats, l_ids[c0:c1, None], rid[None, :]), dtype=np.float64),
-                                   TIE_DECIMALS)
-                    if key.shape != (c1 - c0, rb - ra):
-                        key = np.broadcast_to(key, (c1 - c0, rb - ra)).copy()
-                    if exclude_same_id:
-                        key[l_ids[c0:c1, None] == rid[None, :]] = -np.inf
-                    if min_key is not None:
-                        key[key <= min_key] = -np.inf
-                    i, j = _select(key, rid, l_kk[c0:c1])
-                    cols["lid"].append(l_ids[c0:c1][i])
-                    cols["rid"].append(rid[j])
-                    cols["score"].append(key[i, j])
-                    for e in emit:
-                        cols[e].append(mats[e][i, j])
-            if cols["lid"]:
-                arrays = [pa.array(np.concatenate(cols["lid"]), pa.int64()),
-                          pa.array(np.concatenate(cols["rid"]), pa.int64()),
-                          pa.array(np.concatenate(cols["score"]), pa.float64())]
-                arrays += [pa.array(np.concatenate(cols[e]), pa.float64()) for e in emit]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lid", "rid", "score", *emit])
+        cand = np.broadcast_to(np.arange(m), (n, m))
+    order = np.argsort(-np.take_along_axis(key, cand, 1), axis=1, kind="stable")
+    return np.take_along_axis(cand, order, 1)
+
+
+class _Task:
+    """The queries of a task and their running best items."""
+
+    def __init__(self, spec, parts: list[pa.RecordBatch]):
+        self.spec = features, dims, key_fn, emit, k, same, min_key = spec
+        self.ids = np.concatenate([p.column("id").to_numpy(zero_copy_only=False) for p in parts])
+        self.x = {f.name: _KINDS[f.kind].joined([_KINDS[f.kind](p.column("f_" + f.name), dims[f.name]) for p in parts])
+                  for f in features}
+        self.skip = _Skip([_lists(p.column("skip"), np.int64) for p in parts])
+        n = len(self.ids)
+        self.key, self.rid = np.full((n, k), -np.inf), np.zeros((n, k), dtype=np.int64)
+        self.more = {e: np.zeros((n, k)) for e in emit}
+
+    def see(self, batch: pa.RecordBatch) -> None:
+        """Scores a batch of items and keeps what is better than what was kept."""
+        features, dims, key_fn, emit, k, same, min_key = self.spec
+        order = np.argsort(batch.column("id").to_numpy(zero_copy_only=False), kind="stable")
+        batch = batch.take(pa.array(order))
+        rid = batch.column("id").to_numpy(zero_copy_only=False)
+        y = {f.name: _KINDS[f.kind](batch.column("f_" + f.name), dims[f.name]) for f in features}
+        chunk = SPARSE_CHUNK if any(f.kind == "sparse" for f in features) else CHUNK
+        for a in range(0, len(self.ids), chunk):
+            b = min(len(self.ids), a + chunk)
+            for c in range(0, len(rid), COLUMNS):
+                d = min(len(rid), c + COLUMNS)
+                lid, items = self.ids[a:b, None], rid[None, c:d]
+                found = {f.name: np.round(self.x[f.name].dot(a, b, y[f.name], c, d), TIE_DECIMALS) for f in features}
+                key = np.round(np.array(key_fn(found, lid, items), dtype=np.float64), TIE_DECIMALS)
+                if key.shape != (b - a, d - c):
+                    key = np.broadcast_to(key, (b - a, d - c)).copy()
+                if same:
+                    key[lid == items] = -np.inf
+                if min_key is not None:
+                    key[key <= min_key] = -np.inf
+                self.skip.mask(key, a, b, rid[c:d])
+                self._merge(slice(a, b), key, rid[c:d], found)
+
+    def _merge(self, rows: slice, key: np.ndarray, rid: np.ndarray, found: dict) -> None:
+        best = _best(key, rid, min(self.key.shape[1], key.shape[1]))
+        keys = np.concatenate([self.key[rows], np.take_along_axis(key, best, 1)], axis=1)
+        ids = np.concatenate([self.rid[rows], rid[best]], axis=1)
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        order = np.argsort(-np.take_along_axis(keys, by_id, 1), axis=1, kind="stable")[:, :self.key.shape[1]]
+        at = np.take_along_axis(by_id, order, 1)
+        self.key[rows], self.rid[rows] = np.take_along_axis(keys, at, 1), np.take_along_axis(ids, at, 1)
+        for e, kept in self.more.items():
+            new = np.concatenate([kept[rows], np.take_along_axis(found[e], best, 1)], axis=1)
+            kept[rows] = np.take_along_axis(new, at, 1)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), 4096):
+            i, j = np.nonzero(np.isfinite(self.key[a:a + 4096]))
+            i += a
+            yield pa.record_batch([pa.array(self.ids[i], pa.int64()), pa.array(self.rid[i, j], pa.int64()), pa.array(self.key[i, j]),
+                                   *(pa.array(m[i, j]) for m in self.more.values())], names=["lid", "rid", "score", *self.more])
+
+
+class _Skip:
+    """The ids that each query must not get."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p) for p, _ in parts]), dtype=np.int64)])
+        self.ids = np.concatenate([v for _, v in parts])
+
+    def mask(self, key: np.ndarray, a: int, b: int, rid: np.ndarray) -> None:
+        ids = self.ids[self.ptr[a]:self.ptr[b]]
+        if not len(ids) or not len(rid):
+            return
+        row = np.repeat(np.arange(b - a), np.diff(self.ptr[a:b + 1]))
+        first = np.searchsorted(rid, ids)
+        hit = rid[np.minimum(first, len(rid) - 1)] == ids
+        key[row[hit], first[hit]] = -np.inf
+
+
+def _task_fn(spec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, queries, task = None, [], None
+        for batch in batches:
+            ends = pc.run_end_encode(pc.add(pc.multiply(batch.column("task"), 2), batch.column("side").cast(pa.int64())))
+            start = 0
+            for end, value in zip(ends.run_ends.to_pylist(), ends.values.to_pylist()):
+                part, start = batch.slice(start, end - start), end
+                if value >> 1 != number:
+                    if task is not None:
+                        yield from task.rows()
+                    number, queries, task = value >> 1, [], None
+                if not value & 1:
+                    queries.append(part)
+                elif queries:
+                    if task is None:
+                        task = _Task(spec, queries)
+                    task.see(part)
+        if task is not None:
+            yield from task.rows()
     return run
 
 
-def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k,
-                features: list[Feature], key_fn, *, emit: tuple[str, ...] = (),
+def _side(df: DataFrame, id_col: str, features: list[Feature], col: str) -> DataFrame:
+    out = df.select(F.col(id_col).cast("bigint").alias("id"),
+                    *[(F.col(getattr(f, col)).cast("array<double>") if f.kind == "dense" else F.col(getattr(f, col))).alias("f_" + f.name)
+                      for f in features])
+    for f in features:
+        out = out.where(F.col("f_" + f.name).isNotNull())
+    return out
+
+
+def _measure(df: DataFrame, features: list[Feature], skip: bool):
+    """(rows, bytes, {dense feature: length}) of a side."""
+    size = lambda f: F.size("f_" + f.name) if f.kind == "dense" else F.size(F.col(f"f_{f.name}.idx")) * 2
+    width = sum((size(f) for f in features), F.lit(2)) + (F.coalesce(F.size("skip"), F.lit(0)) if skip else F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint") * 8).alias("bytes"),
+                 *[g(size(f)).alias(f"{n}_{f.name}") for f in features for n, g in (("mn", F.min), ("mx", F.max))]).first()
+    for f in features:
+        if f.kind == "dense" and row["mn_" + f.name] != row["mx_" + f.name]:
+            raise ValueError(f"vectors of {f.lcol} / {f.rcol} differ in length")
+    return row["n"], row["bytes"] or 0, {f.name: row["mx_" + f.name] or 0 for f in features}
+
+
+def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, k: int,
+                features: list[Feature], key_fn, *, emit: tuple[str, ...] = (), exclude: DataFrame | None = None,
                 exclude_same_id: bool = False, min_key: float | None = None,
                 materialize: bool = True) -> DataFrame:
     """Per left row, its best ``k`` right rows by ``key_fn(features, lids, rids)``.
 
-    Returns (lid, rid, score=key, *emit) candidates, exact per block pair; cut
-    across blocks with ``topk_per_key``. ``k`` is an int or a column of
-    ``left`` with a per-row count. ``min_key`` keeps keys strictly above it.
+    Returns (lid, rid, score=key, *emit) candidates, exact per task; cut across
+    tasks with ``topk_per_key``. ``min_key`` keeps keys strictly above it.
+    ``exclude`` holds (lid, rid) pairs that must not come back; a row's excluded
+    ids travel with it (no more than there are items).
 
     Both sides are checkpointed to the shared checkpoint folder before they
     are measured (``materialize``), so their upstream plans (profiles, factor
-    tables, TF-IDF vectors) run once and the lineage is cut before the
-    replicated join. A self-pairing (``left is right``) is materialised once.
+    tables, TF-IDF vectors) run once. A self-pairing (``left is right``) is
+    materialised once.
     """
-    same = left is right
-    _bound_arrow_batches(left.sparkSession)
-    kk = F.lit(int(k)) if isinstance(k, int) else (F.col(k) if isinstance(k, str) else k)
-    L = left.select(F.col(left_id).cast("bigint").alias("lid"), kk.cast("int").alias("kk"),
-                    *[(F.col(f.lcol).cast("array<double>") if f.kind == "dense" else F.col(f.lcol))
-                      .alias("f_" + f.name) for f in features])
-    R = right.select(F.col(right_id).cast("bigint").alias("rid"),
-                     *[(F.col(f.rcol).cast("array<double>") if f.kind == "dense" else F.col(f.rcol))
-                       .alias("f_" + f.name) for f in features])
-    for f in features:
-        L = L.where(F.col("f_" + f.name).isNotNull())
-        R = R.where(F.col("f_" + f.name).isNotNull())
+    spark = left.sparkSession
+    same = left is right and all(f.lcol == f.rcol for f in features) and exclude is None
+    L, R = _side(left, left_id, features, "lcol"), _side(right, right_id, features, "rcol")
+    if exclude is not None:
+        ids = (exclude.select(F.col(exclude.columns[0]).cast("bigint").alias("id"), F.col(exclude.columns[1]).cast("bigint").alias("_rid"))
+               .groupBy("id").agg(F.collect_set("_rid").alias("skip")))
+        L = L.join(ids, "id", "left")
     if materialize:
-        from shelfwise.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(L.sparkSession)
+        ensure_checkpoint_dir(spark)
         L = L.checkpoint(eager=True)
-        R = (L.select(F.col("lid").alias("rid"), *[F.col("f_" + f.name) for f in features])
-             if same else R.checkpoint(eager=True))
-    # Sizes fix the block counts and prove each block row's size bound.
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for f in features:
-        size = F.size("f_" + f.name) if f.kind == "dense" else F.size(F.col("f_" + f.name + ".idx"))
-        aggs += [F.max(size).alias("mx_" + f.name), F.min(size).alias("mn_" + f.name)]
-    st = R.agg(*aggs).first()
-    n_r = st["n"]
+        R = L if same else R.checkpoint(eager=True)
     schema = "lid bigint, rid bigint, score double" + "".join(f", {e} double" for e in emit)
-    if not n_r:
-        return left.sparkSession.createDataFrame([], schema)
-    dims, row_bytes = {}, 16
-    for f in features:
-        if f.kind == "dense" and st["mx_" + f.name] != st["mn_" + f.name]:
-            raise ValueError(f"vectors of {f.rcol} differ in length")
-        dims[f.name] = int(st["mx_" + f.name])
-        row_bytes += 16 * dims[f.name] if f.kind == "sparse" else 8 * dims[f.name]
-    n_l = L.count()
-    per = _rows_per_block(row_bytes)
-    nb_l = max(1, math.ceil(n_l / per))
-    nb_r = max(1, math.ceil(n_r / per))
-    fl = [F.col("f_" + f.name) for f in features]
-    lb = (L.withColumn("lb", F.pmod(F.xxhash64("lid"), F.lit(nb_l)))
-          .groupBy("lb").agg(F.collect_list(F.struct("lid", "kk", *fl)).alias("L")))
-    rb = (R.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(nb_r)))
-          .groupBy("rb").agg(F.collect_list(F.struct("rid", *fl)).alias("R")))
-    every_rb = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_r - 1).cast("bigint")))
-    if n_r * row_bytes <= BROADCAST_BYTES:
-        # Measured item side: broadcast its blocks; one task per query block.
-        pairs = (lb.repartition(nb_l, "lb").withColumn("rb", every_rb)
-                 .join(F.broadcast(rb), "rb"))
-    else:
-        # Grid: each (query block, item block) pair is its own join key, so the
-        # work spreads over nb_l * nb_r keys instead of nb_r.
-        every_lb = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb_l - 1).cast("bigint")))
-        pairs = (lb.withColumn("rb", every_rb)
-                 .join(rb.withColumn("lb", every_lb), ["lb", "rb"]))
-    return pairs.select("L", "R").mapInArrow(
-        _block_fn(features, dims, key_fn, emit, exclude_same_id, min_key), schema)
-
-
-def _bound_arrow_batches(spark) -> None:
-    """Block rows are MBs each: make sure Arrow batches are bounded by bytes, not only rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    cur = spark.conf.get(key, None)
-    if cur is None or int(str(cur).rstrip("bB") or 0) <= 0 or int(str(cur).rstrip("bB")) > (1 << 30):
-        spark.conf.set(key, str(64 * 1024 * 1024))
+    n_r, _, dims = _measure(R, features, False)
+    n_l, l_bytes, l_dims = _measure(L, features, exclude is not None)
+    if not n_r or not n_l:
+        return spark.createDataFrame([], schema)
+    if any(f.kind == "dense" and dims[f.name] != l_dims[f.name] for f in features):
+        raise ValueError("the two sides' vectors differ in length")
+    cores = spark.sparkContext.defaultParallelism
+    groups = max(1, -(-l_bytes // GROUP_BYTES))
+    splits = max(1, -(-cores // groups))
+    if "skip" not in L.columns:
+        L = L.withColumn("skip", F.lit(None).cast("array<bigint>"))
+    R = R.withColumn("skip", F.lit(None).cast("array<bigint>"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    L = L.select("*", F.lit(0).alias("side"), every(splits).alias("_s")).withColumn(
+        "task", F.pmod(F.xxhash64("id"), F.lit(groups)) * splits + F.col("_s")).drop("_s")
+    R = R.select("*", F.lit(1).alias("side"), every(groups).alias("_g")).withColumn(
+        "task", F.col("_g") * splits + F.pmod(F.xxhash64("id"), F.lit(splits))).drop("_g")
+    rows = (L.unionByName(R).repartitionById(groups * splits, F.col("task").cast("int"))
+            .sortWithinPartitions("task", "side"))
+    return rows.mapInArrow(_task_fn((features, dims, key_fn, tuple(emit), int(k), exclude_same_id, min_key)), schema)
 
 
 def _dot_key(name):
@@ -293,43 +321,28 @@ def _dot_key(name):
 
 
 def block_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
-               right_vec: str | None, k, *, exclude_same_id: bool = False, min_score: float | None = None,
-               score_fn=None, kind: str = "dense", materialize: bool = True) -> DataFrame:
+               right_vec: str | None, k: int, *, exclude: DataFrame | None = None, exclude_same_id: bool = False,
+               min_score: float | None = None, score_fn=None, kind: str = "dense", materialize: bool = True) -> DataFrame:
     """(lid, rid, score) candidates: per left row its best ``k`` right rows by dot product.
 
     ``score_fn(left_ids, right_ids)`` (numpy, broadcasting) replaces the dot
     product for scores defined on ids alone. ``kind='sparse'`` takes
     struct<idx, val> vectors.
     """
-    if score_fn is not None:
-        return block_pairs(left, left_id, right, right_id, k, [], lambda m, lid, rid: score_fn(lid, rid),
-                           exclude_same_id=exclude_same_id, min_key=min_score, materialize=materialize)
-    return block_pairs(left, left_id, right, right_id, k, [Feature("dot", kind, left_vec, right_vec)],
-                       _dot_key("dot"), exclude_same_id=exclude_same_id, min_key=min_score,
-                       materialize=materialize)
+    features = [] if score_fn is not None else [Feature("dot", kind, left_vec, right_vec)]
+    key_fn = (lambda m, lid, rid: score_fn(lid, rid)) if score_fn is not None else _dot_key("dot")
+    return block_pairs(left, left_id, right, right_id, k, features, key_fn, exclude=exclude,
+                       exclude_same_id=exclude_same_id, min_key=min_score, materialize=materialize)
 
 
 def exact_topk(left: DataFrame, left_id: str, left_vec: str | None, right: DataFrame, right_id: str,
                right_vec: str | None, k: int, *, exclude: DataFrame | None = None, exclude_same_id=False,
-               min_score=None, extra_k: Column | None = None, out=("lid", "rank", "rid", "score"),
+               min_score=None, out=("lid", "rank", "rid", "score"),
                score_fn=None, kind: str = "dense", materialize: bool = True) -> DataFrame:
-    """Global top-k per left row, minus ``exclude`` (lid, rid) pairs, ranked 1..k.
-
-    Excluded pairs are removed before the cut: each left row over-fetches
-    ``k + extra_k`` candidates (``extra_k`` = its number of excluded items),
-    the pairs are anti-joined, then the final window keeps k.
-    """
-    kk = k
-    if extra_k is not None:
-        left = left.withColumn("_kk", F.lit(k) + F.coalesce(extra_k, F.lit(0)))
-        kk = "_kk"
-    cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, kk,
+    """Global top-k per left row, without ``exclude`` (lid, rid) pairs, ranked 1..k."""
+    cand = block_topk(left, left_id, left_vec, right, right_id, right_vec, k, exclude=exclude,
                       exclude_same_id=exclude_same_id, min_score=min_score, score_fn=score_fn, kind=kind,
                       materialize=materialize)
-    if exclude is not None:
-        cand = cand.join(exclude.select(F.col(exclude.columns[0]).alias("lid"),
-                                        F.col(exclude.columns[1]).alias("rid")),
-                         ["lid", "rid"], "left_anti")
     ranked = topk_per_key(cand, "lid", [F.col("score").desc(), F.col("rid").asc()], k)
     a, r, b, s = out
     return ranked.select(F.col("lid").alias(a), F.col("rank").alias(r), F.col("rid").alias(b),

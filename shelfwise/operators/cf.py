@@ -62,11 +62,8 @@ def als_recommend(model: CFModel, seen: DataFrame, k: int = 10, users: DataFrame
     uf = model.user_factors()
     if users is not None:
         uf = uf.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    left = uf.join(n_seen, "user_id", "left")
-    return exact_topk(left, "user_id", "features", model.item_factors(), "book_id", "features", k,
-                      exclude=seen.select("user_id", "book_id"), extra_k=F.col("n_seen"),
-                      out=("user_id", "rank", "book_id", "score"))
+    return exact_topk(uf, "user_id", "features", model.item_factors(), "book_id", "features", k,
+                      exclude=seen.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
 
 def als_candidates(model: CFModel, seen: DataFrame, m: int) -> DataFrame:

@@ -13,9 +13,11 @@ from shelfwise.operators.interactions import interaction_store, seen_pairs
 from shelfwise.operators.ranking import topk_per_key
 
 
-def item_vectors(item_embeddings: DataFrame, normalize: bool = False) -> DataFrame:
-    """(book_id, embedding ARRAY<DOUBLE>); optionally re-normalised to unit length."""
+def item_vectors(item_embeddings: DataFrame, books: DataFrame | None = None, normalize: bool = False) -> DataFrame:
+    """(book_id, embedding ARRAY<DOUBLE>) of the catalogue's (live) books; optionally re-normalised to unit length."""
     v = item_embeddings.select("book_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    if books is not None:
+        v = v.join(books.select("book_id"), "book_id", "left_semi")
     return l2_normalize(v, "embedding") if normalize else v
 
 
@@ -49,11 +51,8 @@ def content_recommend(profiles: DataFrame, items: DataFrame, seen: DataFrame, k:
 
     All items are candidates; the user's seen items are removed before the cut.
     """
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    left = profiles.join(n_seen, "user_id", "left")
-    return exact_topk(left, "user_id", "profile", items, "book_id", "embedding", k,
-                      exclude=seen.select("user_id", "book_id"), extra_k=F.col("n_seen"),
-                      out=("user_id", "rank", "book_id", "score"))
+    return exact_topk(profiles, "user_id", "profile", items, "book_id", "embedding", k,
+                      exclude=seen.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
 
 def user_item_scores(profiles: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -81,9 +80,13 @@ def profile_top_books(store: DataFrame, n: int = 20) -> DataFrame:
                     F.col("total").alias("strength"))
 
 
-def fit_content(interactions: DataFrame, item_embeddings: DataFrame):
-    """Store, item vectors and profiles for a log (the content model's training)."""
+def fit_content(interactions: DataFrame, item_embeddings: DataFrame, books: DataFrame):
+    """Store, item vectors and profiles for a log (the content model's training).
+
+    Only live books (``books``) have a vector in the model, so a deleted book
+    neither shapes a profile nor is recommended; the store keeps the whole log.
+    """
     store = interaction_store(interactions)
-    items = item_vectors(item_embeddings)
+    items = item_vectors(item_embeddings, books)
     profiles = user_profiles(store, items)
     return store, items, profiles, seen_pairs(interactions)

@@ -47,15 +47,11 @@ def standin_cf_candidates(interactions: DataFrame, seen: DataFrame, m: int) -> D
     """Top-m unseen CF-universe books per CF user under ``standin_cf_score``.
 
     CF users / items are the ones present in the training log, as for ALS.
-    Both sides are plain distinct ids, cheaper to recompute than to checkpoint.
     """
     users = interactions.select("user_id").distinct()
     items = interactions.select("book_id").distinct()
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    left = users.join(n_seen, "user_id", "left")
-    return exact_topk(left, "user_id", None, items, "book_id", None, m, exclude=seen,
-                      extra_k=F.col("n_seen"), score_fn=standin_cf_score,
-                      out=("user_id", "rank", "book_id", "cf"), materialize=False).drop("rank")
+    return exact_topk(users, "user_id", None, items, "book_id", None, m, exclude=seen.select("user_id", "book_id"),
+                      score_fn=standin_cf_score, out=("user_id", "rank", "book_id", "cf")).drop("rank")
 
 
 def blend(cf: DataFrame, content: DataFrame, variant: Variant, alpha: float | None = None) -> DataFrame:

@@ -96,9 +96,8 @@ def latent_recommend(model: LatentModel, k: int = 10, exclude: DataFrame | None
     uv = model.user_vectors()
     if users is not None:
         uv = uv.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    n_ex = ex.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_ex"))
-    return exact_topk(uv.join(n_ex, "user_id", "left"), "user_id", "vec", model.item_vectors(), "book_id", "vec",
-                      k, exclude=ex, extra_k=F.col("n_ex"), out=("user_id", "rank", "book_id", "score"))
+    return exact_topk(uv, "user_id", "vec", model.item_vectors(), "book_id", "vec", k,
+                      exclude=ex.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
 
 def latent_evaluate(model: LatentModel, test: DataFrame, k: int = 10) -> DataFrame:

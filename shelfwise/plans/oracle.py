@@ -28,7 +28,10 @@ SELECT user_id, book_id, sum(strength) AS total,
        sum(CASE WHEN type = 'history' THEN strength END) AS history,
        sum(CASE WHEN type = 'favorite' THEN strength END) AS favorite
 FROM inter GROUP BY user_id, book_id""", ("inter",)),
-    "emb": ("SELECT book_id, CAST(embedding AS DOUBLE[]) AS e FROM item_embeddings", ("item_embeddings",)),
+    # The content model's vectors: live books only.
+    "emb": ("""
+SELECT book_id, CAST(embedding AS DOUBLE[]) AS e FROM item_embeddings
+WHERE book_id IN (SELECT book_id FROM books WHERE is_deleted = FALSE)""", ("item_embeddings", "books")),
     "seen": ("SELECT DISTINCT user_id, book_id FROM inter", ("inter",)),
     "live": ("""
 SELECT book_id, title, description, publisher, publication_year FROM books WHERE is_deleted = FALSE""",

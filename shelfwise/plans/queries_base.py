@@ -136,14 +136,14 @@ def q_known_pairs(c):
 SELECT r.user_id, r.book_id, r.score FROM (
   SELECT p.user_id, m.book_id, list_dot_product(p.p, m.e) AS score,
          row_number() OVER (PARTITION BY p.user_id ORDER BY round(list_dot_product(p.p, m.e), 12) DESC, m.book_id) AS rk
-  FROM prof p, emb m) r
-WHERE r.rk <= 30 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = r.user_id AND s.book_id = r.book_id)""",
+  FROM prof p, emb m
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = p.user_id AND s.book_id = m.book_id)) r
+WHERE r.rk <= 30""",
                                 "prof", "emb", "seen"))
 def q_exclude_seen(c):
-    """Each user's 30 best-scored items, minus the ones already seen (cut, then exclude)."""
+    """Each user's 30 best-scored items among those not seen yet (exclude, then cut)."""
     store, items, profiles, seen = c.content
-    cand = C.user_item_scores(profiles, items, 30)
-    return I.exclude_seen(cand, seen).select("user_id", "book_id", "score")
+    return C.content_recommend(profiles, items, seen, 30).select("user_id", "book_id", "score")
 
 
 # ---------------------------------------------------------------- content model
@@ -197,7 +197,7 @@ WHERE rk <= 10"""
 @register("similar_items", sql(_SIMILAR, "emb"))
 def q_similar_items(c):
     """L2: the 10 most similar other books per book, positive scores only."""
-    return C.similar_items(C.item_vectors(c.src.item_embeddings), 10)
+    return C.similar_items(C.item_vectors(c.src.item_embeddings, c.live), 10)
 
 
 @register("item_item_scores", sql("""
@@ -208,7 +208,7 @@ SELECT book_id, CAST(rk AS BIGINT) AS rank, other_id, round(score, 6) AS score F
 WHERE rk <= 20""", "emb"))
 def q_item_item_scores(c):
     """Item x item similarity, self excluded (negatives kept), 20 per item."""
-    items = C.item_vectors(c.src.item_embeddings)
+    items = C.item_vectors(c.src.item_embeddings, c.live)
     from shelfwise.operators.blockscore import exact_topk
     return exact_topk(items, "book_id", "embedding", items, "book_id", "embedding", 20,
                       exclude_same_id=True, out=("book_id", "rank", "other_id", "score"))

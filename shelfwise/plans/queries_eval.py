@@ -88,7 +88,7 @@ class _Split:
 
     def model(self):
         def build():
-            store, items, profiles, seen = fit_content(self.train, self.c.src.item_embeddings)
+            store, items, profiles, seen = fit_content(self.train, self.c.src.item_embeddings, self.c.live)
             cf = H.standin_cf_candidates(self.train, seen, 30)
             ct = H.content_candidates(profiles, items, seen, 30)
             users = self.test.select("user_id").distinct()

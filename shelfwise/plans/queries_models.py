@@ -116,7 +116,7 @@ SELECT book_id, CAST(pos AS BIGINT) AS pos, round(v / sqrt(sum(v * v) OVER (PART
 FROM (SELECT book_id, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS pos FROM emb) t""", "emb"))
 def q_l2_normalize(c):
     """H5: every item vector scaled to unit length (long form)."""
-    v = item_vectors(c.src.item_embeddings)
+    v = item_vectors(c.src.item_embeddings, c.live)
     n = l2_normalize(v, "embedding")
     return n.select("book_id", F.posexplode("embedding").alias("pos", "value")).select(
         "book_id", F.col("pos").cast("bigint").alias("pos"), "value")

@@ -107,7 +107,7 @@ def q_profile_refresh(c):
     """Recomputed profiles of the users touched by feedback (long form)."""
     f = _fb(c)
     new_store = FB.apply_latest(FB.type_details(f.base), FB.latest_per_key(f.valid))
-    items = item_vectors(c.src.item_embeddings)
+    items = item_vectors(c.src.item_embeddings, c.live)
     return profiles_long(FB.profile_refresh(interaction_store(f.base), new_store, f.valid, items))
 
 

@@ -31,7 +31,7 @@ FROM ttf f JOIN tdf d USING (term)""", ("ttf", "tdf", "tdoc")),
 
 
 def _ctx_items(c):
-    return c.memo("items", lambda: C.item_vectors(c.src.item_embeddings))
+    return c.memo("items", lambda: C.item_vectors(c.src.item_embeddings, c.live))
 
 
 def _div_books(c):

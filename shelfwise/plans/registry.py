@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from shelfwise.plans import oracle as O
 from shelfwise.sources import testdata
-from shelfwise.sources.catalog import load_books, load_interactions
+from shelfwise.sources.catalog import live_books, load_books, load_interactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +62,10 @@ class Ctx:
         s = self.src
         return self.memo("books", lambda: load_books(s.books, s.authors, s.book_authors, s.genres, s.book_genres))
 
+    @property
+    def live(self) -> DataFrame:
+        return self.memo("live", lambda: live_books(self.src.books))
+
     @property
     def interactions(self) -> DataFrame:
         s = self.src
@@ -71,7 +75,7 @@ class Ctx:
     def content(self):
         """(store, items, profiles, seen) of the content model over the whole log."""
         from shelfwise.operators.content import fit_content
-        return self.memo("content", lambda: fit_content(self.interactions, self.src.item_embeddings))
+        return self.memo("content", lambda: fit_content(self.interactions, self.src.item_embeddings, self.live))
 
     def raw(self, table: str) -> DataFrame:
         return self.src.raw(table)

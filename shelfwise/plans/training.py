@@ -68,7 +68,7 @@ def train_job(spark: SparkSession, books: DataFrame, interactions: DataFrame, it
         test = split.where(F.col("split") == "test").drop("split")
     else:
         train, test = interactions, None
-    store, items, profiles, seen = fit_content(train, item_embeddings)
+    store, items, profiles, seen = fit_content(train, item_embeddings, books)
     cf = als_train(train, rank=rank, max_iter=max_iter, reg=reg)
     pop = popularity(train)
     rating_map = mean_rating_all(train)

@@ -30,14 +30,13 @@ FROM embeddings LEFT JOIN part ON p_partkey = vec_id"""),
 SELECT s_suppkey AS author_id, s_name AS author_name FROM supplier"""),
     ("book_authors", """
 SELECT DISTINCT l_partkey AS book_id, l_suppkey AS author_id
-FROM lineitem JOIN embeddings ON l_partkey = vec_id WHERE l_quantity <= 2"""),
+FROM lineitem JOIN embeddings ON l_partkey = vec_id"""),
     ("genres", """
 SELECT CAST(r_regionkey AS BIGINT) AS genre_id, r_name AS genre_name FROM region"""),
     ("book_genres", """
 SELECT DISTINCT l_partkey AS book_id, CAST(n_regionkey AS BIGINT) AS genre_id
 FROM lineitem JOIN embeddings ON l_partkey = vec_id
-JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-WHERE l_quantity >= 48"""),
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""),
     ("ratings", """
 SELECT user_id, {K} AS book_id, ts AS created_at,
        CAST(1 + CAST(floor(value) AS INT) % 5 AS INT) AS rating_value
