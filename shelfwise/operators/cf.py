@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.interactions import agg_strength
 from shelfwise.operators.ranking import dense_id_map
+from shelfwise.session import ensure_checkpoint_dir
 
 # ALS defaults of the implicit recommender.
 ALS_FACTORS = 64
@@ -19,20 +20,27 @@ ALS_REGULARIZATION = 0.01
 ALS_SEED = 42
 
 
+def defaults() -> dict[str, float]:
+    """The hyper-parameters of ``als_train`` as metadata."""
+    return {"als_factors": ALS_FACTORS, "als_iterations": ALS_ITERATIONS, "als_regularization": ALS_REGULARIZATION}
+
+
 @dataclass
 class CFModel:
-    model: ALSModel
-    users: DataFrame        # (user_id, uidx)
-    items: DataFrame        # (book_id, iidx)
-    matrix: DataFrame       # (user_id, book_id, strength) with strength != 0
+    """Factors by the log's own ids: (user_id, features) and (book_id, features)."""
+    users: DataFrame
+    items: DataFrame
 
     def user_factors(self) -> DataFrame:
-        return (self.model.userFactors.withColumnRenamed("id", "uidx").join(self.users, "uidx")
-                .select("user_id", F.col("features").cast("array<double>").alias("features")))
+        return self.users
 
     def item_factors(self) -> DataFrame:
-        return (self.model.itemFactors.withColumnRenamed("id", "iidx").join(self.items, "iidx")
-                .select("book_id", F.col("features").cast("array<double>").alias("features")))
+        return self.items
+
+
+def _factors(factors: DataFrame, ids: DataFrame, index: str, name: str) -> DataFrame:
+    return (factors.withColumnRenamed("id", index).join(ids, index)
+            .select(name, F.col("features").cast("array<double>").alias("features")))
 
 
 def als_train(interactions: DataFrame, rank: int = ALS_FACTORS, max_iter: int = ALS_ITERATIONS,
@@ -43,14 +51,17 @@ def als_train(interactions: DataFrame, rank: int = ALS_FACTORS, max_iter: int =
     Spark ALS needs 32-bit ids, so users and items are re-indexed by E4 first.
     Iterations are checkpointed to the shared checkpoint folder every 10 steps.
     """
-    m = agg_strength(interactions).where(F.col("strength") != 0)
+    ensure_checkpoint_dir(interactions.sparkSession)
+    # Read by both id maps and by the fit: computed once.
+    m = agg_strength(interactions).where(F.col("strength") != 0).checkpoint(eager=True)
     users = dense_id_map(m.select("user_id"), "user_id", "uidx").withColumn("uidx", F.col("uidx").cast("int"))
     items = dense_id_map(m.select("book_id"), "book_id", "iidx").withColumn("iidx", F.col("iidx").cast("int"))
     data = m.join(users, "user_id").join(items, "book_id")
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=implicit, alpha=alpha, seed=seed,
               userCol="uidx", itemCol="iidx", ratingCol="strength", nonnegative=False,
               coldStartStrategy="drop", checkpointInterval=10)
-    return CFModel(als.fit(data), users, items, m)
+    model = als.fit(data)
+    return CFModel(_factors(model.userFactors, users, "uidx", "user_id"), _factors(model.itemFactors, items, "iidx", "book_id"))
 
 
 def als_recommend(model: CFModel, seen: DataFrame, k: int = 10, users: DataFrame | None = None) -> DataFrame:
@@ -66,6 +77,6 @@ def als_recommend(model: CFModel, seen: DataFrame, k: int = 10, users: DataFrame
                       exclude=seen.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
 
-def als_candidates(model: CFModel, seen: DataFrame, m: int) -> DataFrame:
+def als_candidates(model: CFModel, seen: DataFrame, m: int, users: DataFrame | None = None) -> DataFrame:
     """(user_id, book_id, cf) candidates for the hybrid."""
-    return als_recommend(model, seen, m).select("user_id", "book_id", F.col("score").alias("cf"))
+    return als_recommend(model, seen, m, users).select("user_id", "book_id", F.col("score").alias("cf"))

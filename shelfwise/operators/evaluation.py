@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,14 +25,32 @@ def _cut(n: int, test_ratio: float) -> int:
 def temporal_split(interactions: DataFrame, test_ratio: float = 0.2, ts_col: str = "ts") -> DataFrame:
     """Oldest ``int(n * (1 - ratio))`` rows are train, the rest test (NULL ts sort last).
 
-    Equal timestamps are ordered by (user_id, book_id, type, strength). The
-    numbering is a distributed sort plus per-partition offsets.
+    Equal timestamps are ordered by (user_id, book_id, type, strength). Rows are
+    counted by day; only the day that the cut falls on is sorted.
     """
-    n = interactions.count()
-    cut = _cut(n, test_ratio)
     order = [F.col(ts_col).asc_nulls_last()] + [F.col(c).asc() for c in SPLIT_ORDER]
-    r = global_row_number(interactions, order, "_rn")
-    return r.withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_rn")
+    return _split_at(interactions, test_ratio, F.coalesce(F.to_date(ts_col).cast("string"), F.lit("~")), order)
+
+
+def _split_at(rows: DataFrame, test_ratio: float, bucket: Column, order: list[Column]) -> DataFrame:
+    """``split`` by position in ``order``, whose first key rises with the text ``bucket``.
+
+    One aggregate gives the bucket that the cut falls in (a row for each bucket
+    reaches the driver: a day, or a hash prefix of four digits). All other rows
+    are told by their bucket; that bucket's rows alone are sorted and numbered.
+    """
+    counts = {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut, before = _cut(sum(counts.values()), test_ratio), 0
+    for b in sorted(counts):
+        if before + counts[b] > cut:
+            break
+        before += counts[b]
+    else:
+        return rows.withColumn("split", F.lit("train"))
+    inside = global_row_number(rows.where(bucket == b), order, "_rn")
+    inside = inside.withColumn("split", F.when(F.col("_rn") <= cut - before, "train").otherwise("test")).drop("_rn")
+    outside = rows.where(bucket != b).withColumn("split", F.when(bucket < b, "train").otherwise("test"))
+    return outside.unionByName(inside)
 
 
 def hash_key(seed: int, cols=("user_id", "book_id", "ts", "type", "strength")):
@@ -51,11 +69,13 @@ def hash_key(seed: int, cols=("user_id", "book_id", "ts", "type", "strength")):
 
 
 def random_split(interactions: DataFrame, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """Shuffle by a seeded row hash, cut at ``int(n * (1 - ratio))`` (exact sizes)."""
-    n = interactions.count()
-    cut = _cut(n, test_ratio)
-    r = global_row_number(interactions.withColumn("_h", hash_key(seed)), [F.col("_h").asc()], "_rn")
-    return r.withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_rn", "_h")
+    """Shuffle by a seeded row hash, cut at ``int(n * (1 - ratio))`` (exact sizes).
+
+    The hash is over (user_id, book_id, ts, type); rows with one hash are ordered by strength.
+    """
+    h = hash_key(seed, ("user_id", "book_id", "ts", "type"))
+    rows = interactions.withColumn("_h", h)
+    return _split_at(rows, test_ratio, F.substring("_h", 1, 4), [F.col("_h").asc(), F.col("strength").asc()]).drop("_h")
 
 
 def fold_assign(interactions: DataFrame, n_splits: int = 5, seed: int = 42,
@@ -151,13 +171,15 @@ def sample_users(interactions: DataFrame, num_samples: int | None) -> DataFrame:
 
 
 def catalog_coverage(recs: DataFrame, interactions: DataFrame, catalogue: DataFrame | None = None,
-                     num_samples: int | None = 100, k: int = 10) -> DataFrame:
-    """Distinct books recommended to the sampled users / distinct books in the log.
+                     num_samples: int | None = None, k: int = 10, users: DataFrame | None = None) -> DataFrame:
+    """Distinct books recommended to the users / distinct books in the log.
 
-    May exceed 1 (content can recommend never-read books). ``coverage_catalog``
-    is the share of the catalogue that was recommended.
+    The users are ``users``, or those of the log: all, or the first
+    ``num_samples``; ``recs`` should have been made for them. May exceed 1
+    (content can recommend never-read books). ``coverage_catalog`` is the share
+    of the catalogue that was recommended.
     """
-    users = sample_users(interactions, num_samples)
+    users = sample_users(interactions, num_samples) if users is None else users.select("user_id").distinct()
     rec_items = recs.where(F.col("rank") <= k).join(users, "user_id", "left_semi").select("book_id").distinct()
     # Two counts, read as scalars (one number each crosses to the driver).
     n_rec = rec_items.count()

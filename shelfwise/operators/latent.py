@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.vectors import dot
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.cf import CFModel, als_train
-from shelfwise.operators.evaluation import fold_assign, mse_rmse, pair_hit_rate
+from shelfwise.operators.evaluation import catalog_coverage, fold_assign, mse_rmse, pair_hit_rate
 from shelfwise.operators.interactions import agg_strength, known_pairs, seen_pairs
 
 # Defaults of the latent recommender.
@@ -100,14 +100,22 @@ def latent_recommend(model: LatentModel, k: int = 10, exclude: DataFrame | None
                       exclude=ex.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
 
-def latent_evaluate(model: LatentModel, test: DataFrame, k: int = 10) -> DataFrame:
-    """MSE / RMSE on known held-out pairs (summed strength) and hit rate @k per held-out row."""
+def latent_evaluate(model: LatentModel, test: DataFrame, k: int | tuple[int, ...] = 10) -> DataFrame:
+    """MSE / RMSE on known held-out pairs (summed strength), hit rate per held-out row and coverage, at each k.
+
+    Coverage is the share of the training log's books that the test users' lists hold.
+    """
+    ks = (k,) if isinstance(k, int) else tuple(k)
     known = known_pairs(test, model.cf.users, model.cf.items)
     truth = agg_strength(known)
     err = mse_rmse(model.predict(truth))
     users = known.select("user_id").distinct()
-    recs = latent_recommend(model, k, users=users)
-    return err.unionByName(pair_hit_rate(recs, known, k).withColumn("metric", F.lit(f"hit_rate@{k}")))
+    recs = latent_recommend(model, max(ks), users=users).checkpoint(eager=True)
+    for n in ks:
+        err = err.unionByName(pair_hit_rate(recs, known, n).withColumn("metric", F.lit(f"hit_rate@{n}")))
+        cover = catalog_coverage(recs, model.training, num_samples=None, k=n, users=users)
+        err = err.unionByName(cover.withColumn("metric", F.lit(f"coverage@{n}")))
+    return err
 
 
 def cross_validate(interactions: DataFrame, n_splits: int = 5, seed: int = 42, k: int = 10, **params) -> DataFrame:

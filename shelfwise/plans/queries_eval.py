@@ -123,14 +123,7 @@ SELECT user_id, book_id, ts, type, strength,
 FROM inter_all""", extra={"inter_all": BLOCKS["inter"]}))
 def q_random_split(c):
     """Seeded hash shuffle, then the same 80/20 cut."""
-    inter = c.interactions
-    n = inter.count()
-    cut = E._cut(n, 0.2)
-    h = E.hash_key(42, ("user_id", "book_id", "ts", "type"))
-    from shelfwise.operators.ranking import global_row_number
-    r = global_row_number(inter.withColumn("_h", h), [F.col("_h").asc(), F.col("strength").asc()], "_rn")
-    return r.select("user_id", "book_id", "ts", "type", "strength",
-                    F.when(F.col("_rn") <= cut, "train").otherwise("test").alias("split"))
+    return E.random_split(c.interactions, 0.2, 42).select("user_id", "book_id", "ts", "type", "strength", "split")
 
 
 @register("fold_assign", sql(f"""

@@ -12,7 +12,7 @@ from shelfwise.operators import evaluation as E
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import latent as LT
 from shelfwise.operators import views as VW
-from shelfwise.operators.content import item_vectors, profile_top_books
+from shelfwise.operators.content import fit_content, item_vectors, profile_top_books, profiles_long
 from shelfwise.operators.encode import hashed_tfidf_encode
 from shelfwise.operators.popularity import popularity
 from shelfwise.operators.ranking import dense_id_map, topk_per_key
@@ -21,17 +21,13 @@ from shelfwise.plans.oracle import sql
 from shelfwise.plans.registry import register
 from shelfwise.session import scratch_path
 
-# Smaller factor models for the registered (checked) runs; the library defaults
-# (64 factors, 30 / 20 iterations) stay the defaults of the functions.
-CHECK_RANK, CHECK_ITER = 16, 10
-
 
 def _cf(c):
-    return c.memo("als", lambda: CF.als_train(c.interactions, rank=CHECK_RANK, max_iter=CHECK_ITER))
+    return c.memo("als", lambda: CF.als_train(c.interactions))
 
 
 def _latent(c):
-    return c.memo("latent", lambda: LT.latent_train(c.interactions, rank=CHECK_RANK, max_iter=CHECK_ITER))
+    return c.memo("latent", lambda: LT.latent_train(c.interactions))
 
 
 @register("model_info", sql("""
@@ -41,10 +37,13 @@ SELECT (SELECT count(DISTINCT user_id) FROM store) AS n_users, (SELECT count(DIS
        CAST(0.4 AS DOUBLE) AS alpha, CAST(64 AS DOUBLE) AS als_factors, CAST(30 AS DOUBLE) AS als_iterations,
        CAST(0.01 AS DOUBLE) AS als_regularization""", "store", "catalog", "prof", "emb"))
 def q_model_info(c):
-    """Model sizes and hyper-parameters, one row."""
+    """Sizes and hyper-parameters of a saved model, read back from its tables and metadata; one row."""
     store, items, profiles, seen = c.content
-    return VW.model_info(c.spark, store, c.books, profiles, items,
-                         {"alpha": 0.4, "als_factors": 64, "als_iterations": 30, "als_regularization": 0.01})
+    base = scratch_path(c.spark, f"models-{uuid.uuid4().hex[:8]}")
+    TR.save_models(c.spark, base, {"store": store, "profiles": profiles, "item_vectors": items, "books": c.books.select("book_id")},
+                   {"alpha": H.ALS.alpha, **CF.defaults()})
+    m = TR.load_models(c.spark, base)
+    return VW.model_info(c.spark, m.tables["store"], m.tables["books"], m.tables["profiles"], m.tables["item_vectors"], m.metadata)
 
 
 @register("user_summary", sql("""
@@ -193,23 +192,23 @@ def q_hybrid_recommend_latent_live(c):
 
 @register("latent_evaluate")
 def q_latent_evaluate(c):
-    """MSE / RMSE / hit rate of the latent model on the temporal test split."""
+    """MSE / RMSE, hit rate @5 and @10 and coverage of the latent model on the temporal test split."""
     split = E.temporal_split(c.interactions, 0.2)
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
-    return LT.latent_evaluate(LT.latent_train(train, rank=CHECK_RANK, max_iter=CHECK_ITER), test, 10)
+    return LT.latent_evaluate(LT.latent_train(train), test, (5, 10))
 
 
 @register("cross_validate")
 def q_cross_validate(c):
-    """3-fold cross-validation of the latent model."""
-    return LT.cross_validate(c.interactions, 3, 42, 10, rank=8, max_iter=5)
+    """5-fold cross-validation of the latent model."""
+    return LT.cross_validate(c.interactions)
 
 
 @register("grid_search")
 def q_grid_search(c):
-    """Grid over the head's weight decay, 2-fold CV, minimising RMSE."""
-    return LT.grid_search(c.interactions, {"reg": [1e-5, 1e-1], "rank": [8], "max_iter": [5]}, 2, "rmse")
+    """Grid over the head's weight decay, 3-fold CV, minimising RMSE."""
+    return LT.grid_search(c.interactions, {"reg": [1e-5, 1e-1]})
 
 
 @register("content_encode")
@@ -220,31 +219,46 @@ def q_content_encode(c):
                                                .alias("norm2"))
 
 
-@register("artifact_roundtrip")
+@register("artifact_roundtrip", sql("""
+SELECT 'profile' AS kind, user_id AS a, CAST(pos AS BIGINT) AS b, round(value, 6) AS value FROM plong
+UNION ALL SELECT 'store', user_id, book_id, round(total, 6) FROM store
+UNION ALL SELECT 'popularity', book_id, CAST(0 AS BIGINT), CAST(cnt AS DOUBLE) FROM pop""", "plong", "store", "pop"))
 def q_artifact_roundtrip(c):
-    """A5: save the content/popularity/rating tables, load them back, return the loaded profiles."""
+    """A5: save the content model's tables, load them back; profiles, store and popularity as (kind, a, b, value)."""
     store, items, profiles, seen = c.content
     base = scratch_path(c.spark, f"models-{uuid.uuid4().hex[:8]}")
-    tables = {"store": store, "profiles": profiles, "popularity": popularity(c.interactions)}
-    TR.save_models(c.spark, base, tables, None, {"alpha": 0.4})
-    loaded, _, meta = TR.load_models(c.spark, base)
-    return loaded["profiles"].select("user_id", F.size("profile").alias("dim"))
+    TR.save_models(c.spark, base, {"store": store, "profiles": profiles, "popularity": popularity(c.interactions)}, {"alpha": 0.4})
+    t = TR.load_models(c.spark, base).tables
+    return (profiles_long(t["profiles"]).select(F.lit("profile").alias("kind"), F.col("user_id").alias("a"), F.col("pos").alias("b"), "value")
+            .unionByName(t["store"].select(F.lit("store").alias("kind"), F.col("user_id").alias("a"), F.col("book_id").alias("b"),
+                                           F.col("total").alias("value")))
+            .unionByName(t["popularity"].select(F.lit("popularity").alias("kind"), F.col("book_id").alias("a"), F.lit(0).cast("bigint").alias("b"),
+                                                F.col("cnt").cast("double").alias("value"))))
 
 
 @register("train_job")
 def q_train_job(c):
     """Split, train (content, ALS, popularity, ratings), save, evaluate - the metric table."""
     base = scratch_path(c.spark, f"train-{uuid.uuid4().hex[:8]}")
-    return TR.train_job(c.spark, c.books, c.interactions, c.src.item_embeddings, base, True, 10, 0.4,
-                        rank=CHECK_RANK, max_iter=CHECK_ITER)
+    return TR.train_job(c.spark, c.books, c.interactions, c.src.item_embeddings, base)
+
+
+@register("train_latent_job")
+def q_train_latent_job(c):
+    """L9 for the latent model: split, train, save, evaluate at 5 and 10 with coverage."""
+    base = scratch_path(c.spark, f"train-{uuid.uuid4().hex[:8]}")
+    return TR.train_latent_job(c.spark, c.books, c.interactions, c.src.item_embeddings, base)
 
 
 @register("sample_recommendations")
 def q_sample_recommendations(c):
-    """Hybrid recommendations with titles for 3 sample users (the first by id with history)."""
-    store, items, profiles, seen = c.content
-    users = c.interactions.select("user_id").distinct().orderBy("user_id").limit(3)
-    recs = H.hybrid_recommend(users, CF.als_candidates(_cf(c), seen, 15),
-                              H.content_candidates(profiles, items, seen, 15), popularity(c.interactions), seen,
-                              5, H.ALS)
+    """Hybrid recommendations with titles for the first 3 test users of the temporal split, trained on its train part."""
+    split = E.temporal_split(c.interactions, 0.2)
+    train = split.where(F.col("split") == "train").drop("split")
+    test = split.where(F.col("split") == "test").drop("split")
+    store, items, profiles, seen = fit_content(train, c.src.item_embeddings, c.live)
+    users = E.sample_users(test, 3)
+    recs = H.hybrid_recommend(users, CF.als_candidates(CF.als_train(train), seen, 15, users),
+                              H.content_candidates(profiles.join(users, "user_id", "left_semi"), items, seen, 15),
+                              popularity(train), seen, 5, H.ALS)
     return E.rec_titles(recs, c.books)
