@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import tag_tokens
 from shelfwise.operators.blockscore import Feature, block_pairs
+from shelfwise.operators.content import item_vectors
 from shelfwise.operators.ranking import topk_per_key, unique_ids
 from shelfwise.operators.tfidf import corpus, tfidf, tfidf_vectors
 
@@ -130,7 +131,7 @@ def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rat
         sim = Feature("sim", "sparse", "tfidf", "tfidf")
     else:
         vec = books.select("book_id").join(
-            item_embeddings.select("book_id", F.col("embedding").cast("array<double>").alias("embedding")), "book_id")
+            item_vectors(item_embeddings, normalize=True), "book_id")
         sim = Feature("sim", "dense", "embedding", "embedding")
     items = vec.join(tv, "book_id")
     cand = block_pairs(items, "book_id", items, "book_id", head,

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.popularity import unseen_popular
 from shelfwise.operators.ranking import minmax_per_key, topk_per_key
+from shelfwise.session import ensure_checkpoint_dir
 
 HYBRID_COLUMNS = ["user_id", "rank", "book_id", "score", "cf", "content", "pop", "path"]
 
@@ -101,19 +102,16 @@ def hybrid_recommend(requests: DataFrame, cf_candidates: DataFrame, content_cand
         raise ValueError("limit must be positive")
     blended = blend(cf_candidates, content_candidates, variant, alpha)
     users = requests.select("user_id").distinct()
+    # The blended lists (limit rows per user) are kept, so both scorers run once
+    # and popularity lists are made for the users without one only.
+    ensure_checkpoint_dir(requests.sparkSession)
     ranked = topk_per_key(blended.join(users, "user_id", "left_semi"), "user_id",
-                          [F.col("score").desc(), F.col("book_id").asc()], limit)
-    # Popularity lists for every requested user (linear in users x limit), so
-    # the blend is read once: a user keeps the blend rows when it has any.
-    popular = unseen_popular(users, pop, seen, limit).select(
+                          [F.col("score").desc(), F.col("book_id").asc()], limit).checkpoint(eager=True)
+    cold = users.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
+    popular = unseen_popular(cold, pop, seen, limit).select(
         "user_id", "rank", "book_id", "score", F.lit(0.0).alias("cf"), F.lit(0.0).alias("content"),
         F.col("score").alias("pop"), F.lit("popularity").alias("path"))
-    both = ranked.select(*HYBRID_COLUMNS).unionByName(popular.select(*HYBRID_COLUMNS))
-    has_blend = F.max((F.col("path") != "popularity").cast("int")).over(Window.partitionBy("user_id"))
-    return (both.withColumn("_hb", has_blend)
-            .where(((F.col("_hb") == 1) & (F.col("path") != "popularity"))
-                   | ((F.col("_hb") == 0) & (F.col("path") == "popularity")))
-            .select(*HYBRID_COLUMNS))
+    return ranked.select(*HYBRID_COLUMNS).unionByName(popular.select(*HYBRID_COLUMNS))
 
 
 def content_candidates(profiles: DataFrame, items: DataFrame, seen: DataFrame, m: int) -> DataFrame:

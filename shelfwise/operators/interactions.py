@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import ensure_checkpoint_dir
+
 TYPES = ("rating", "history", "favorite")
 
 
@@ -55,16 +57,52 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
 def interaction_stats(interactions: DataFrame) -> DataFrame:
     """Strength distribution and sizes of the log, one row.
 
-    The median is Spark's exact percentile, whose buffer is a value->count map:
-    strength has a small domain (ratings, progress steps), so it stays small and
-    is merged map-side like any other partial aggregate.
+    The median is exact, found by counting (``exact_median``).
     """
-    return interactions.agg(
+    row = interactions.agg(
         F.count(F.lit(1)).alias("n_interactions"),
         F.countDistinct("user_id").alias("n_users"),
         F.countDistinct("book_id").alias("n_books"),
         F.min("strength").alias("min_strength"),
         F.max("strength").alias("max_strength"),
         F.avg("strength").alias("mean_strength"),
-        F.median("strength").alias("median_strength"),
     )
+    return row.withColumn("median_strength", F.lit(exact_median(interactions, "strength")).cast("double"))
+
+
+def exact_median(df: DataFrame, col: str, few: int = 10_000, bins: int = 1000) -> float | None:
+    """The median of a numeric column (mean of the two middle values; nulls and NaN left out).
+
+    Values are counted once; then rounds of ``bins`` counts narrow the interval
+    that holds the middle ranks, until it has at most ``few`` distinct values.
+    No task and no driver step holds more than these.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    v = F.col(col).cast("double")
+    counts = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    s = counts.agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")).first()
+    if not s["n"]:
+        return None
+    lo, hi, before, distinct = s["lo"], s["hi"], 0, s["d"]
+    ranks = ((s["n"] - 1) // 2, s["n"] // 2)  # from 0
+    while distinct > few and hi > lo:
+        step = (hi - lo) / bins
+        b = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1))
+        rows = sorted(counts.where(F.col("v").between(lo, hi)).groupBy(b.alias("b")).agg(
+            F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("d")).collect(), key=lambda r: r["b"])
+        kept, upto = [], before
+        for r in rows:
+            if upto + r["n"] > ranks[0] and upto <= ranks[1]:
+                kept.append((upto, r))
+            upto += r["n"]
+        new = (kept[0][1]["lo"], kept[-1][1]["hi"])
+        if new == (lo, hi):
+            break
+        before, (lo, hi), distinct = kept[0][0], new, sum(r["d"] for _, r in kept)
+    out, upto = [], before
+    for r in counts.where(F.col("v").between(lo, hi)).orderBy("v").toLocalIterator():
+        out += [r["v"] for rank in ranks if upto <= rank < upto + r["n"]]
+        upto += r["n"]
+        if len(out) == 2:
+            break
+    return sum(out) / 2

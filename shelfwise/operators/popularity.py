@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfwise.operators.ranking import global_row_number, topk_per_key
 
@@ -32,16 +33,22 @@ def popular_topk(pop: DataFrame, n: int = 10) -> DataFrame:
 def unseen_popular(users: DataFrame, pop: DataFrame, seen: DataFrame, k: int = 10) -> DataFrame:
     """L1d: per user, the k most popular books the user has not seen.
 
-    Each user asks for rank slots 1..k+n_seen (the answer is always inside
-    them), joins the ranked popularity table on the slot number, drops seen
-    pairs and keeps the first k. Rows grow with users*k + |seen|, never with
-    users*books. Slots up to ``HEAD_FACTOR*k`` join a broadcast head table of at
-    most that many rows; deeper slots (users with long histories) shuffle-join.
+    The answer lies in the first ``k`` + s ranks, where s counts the seen books
+    that stand before the k-th unseen one: a user's i-th seen book, at rank p,
+    has p - i unseen books before it, so it counts if p - i < k. Each user asks
+    for these rank slots, joins the ranked popularity table on the slot number,
+    drops seen pairs and keeps the first k. Slots up to ``HEAD_FACTOR*k`` join a
+    broadcast head table of at most that many rows; deeper ones shuffle-join.
     """
     ranked = ranked_popularity(pop)
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    need = (users.select("user_id").distinct().join(n_seen, "user_id", "left")
-            .select("user_id", (F.lit(k) + F.coalesce("n_seen", F.lit(0))).alias("need")))
+    who = users.select("user_id").distinct()
+    at = (seen.select("user_id", "book_id").join(who, "user_id", "left_semi").join(ranked.select("book_id", "prank"), "book_id")
+          .select("user_id", "prank"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("prank"))
+    before = (at.withColumn("_i", nth).where(F.col("prank") - F.col("_i") < k)
+              .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_before")))
+    need = (who.join(before, "user_id", "left")
+            .select("user_id", (F.lit(k) + F.coalesce("n_before", F.lit(0))).alias("need")))
     slots = need.select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need").cast("bigint")))
                         .alias("prank"))
     head_n = HEAD_FACTOR * k

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from shelfwise.functions.text import word_tokens
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.ranking import unique_ids
+from shelfwise.session import ensure_checkpoint_dir
 
 
 def corpus(books: DataFrame, columns) -> DataFrame:
@@ -24,20 +25,18 @@ def corpus(books: DataFrame, columns) -> DataFrame:
 def tfidf(docs: DataFrame, text_col: str = "doc") -> DataFrame:
     """I4: (book_id, term, weight), L2-normalised per document.
 
-    n_docs counts every document, including ones with no token. Documents are
-    hash-partitioned by id once (whole rows, before tokenising), so the term
-    counts and the per-document norm need no further shuffle. Document
-    frequency is a partial aggregate per term joined back on the term: AQE
-    broadcasts it when the vocabulary is small at run time, and splits the
+    n_docs counts every document, including ones with no token. Texts are read
+    and tokenised once: the term counts are kept, and document frequencies and
+    weights come from them. Document frequency is a partial aggregate per term
+    joined back on the term: AQE broadcasts it when the vocabulary is small at
+    run time (the per-document norm then shuffles by book once), and splits the
     skewed partitions of very common terms when it is not (a window by term
     would put a term found in a third of all documents into one task).
     """
-    spark = docs.sparkSession
+    ensure_checkpoint_dir(docs.sparkSession)
     n_docs = docs.count()
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tf = (docs.repartition(parts, "book_id")
-          .select("book_id", F.explode(word_tokens(text_col)).alias("term"))
-          .groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = (docs.select("book_id", F.explode(word_tokens(text_col)).alias("term"))
+          .groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     w = tf.join(df, "term").select("book_id", "term", (F.col("tf") * idf).alias("w"))

@@ -190,9 +190,9 @@ WHERE rk <= {limit}""", extra=extra)
 
 
 @register("diversity_recommend", _div_sql("""
-SELECT a.book_id AS a, b.book_id AS b, list_dot_product(a.e, b.e) AS sim
-FROM (SELECT book_id, e FROM emb WHERE book_id IN (SELECT book_id FROM catalog)) a,
-     (SELECT book_id, e FROM emb WHERE book_id IN (SELECT book_id FROM catalog)) b
+SELECT a.book_id AS a, b.book_id AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS sim
+FROM (SELECT book_id, e, sqrt(list_dot_product(e, e)) AS n FROM emb WHERE book_id IN (SELECT book_id FROM catalog)) a,
+     (SELECT book_id, e, sqrt(list_dot_product(e, e)) AS n FROM emb WHERE book_id IN (SELECT book_id FROM catalog)) b
 WHERE a.book_id <> b.book_id""", ("emb", "catalog")))
 def q_diversity_recommend(c):
     """L3: 5 diverse alternatives per live book (embedding similarity, tags of genres/title/description)."""
