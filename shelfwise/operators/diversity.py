@@ -114,12 +114,27 @@ def _head_key(m, lid, rid):
     return -(4.0 * m["overlap"] + m["sim"])
 
 
-def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rating_map: DataFrame,
+def rating_map_of(interactions: DataFrame, books: DataFrame | None = None, rating_source: str = "all") -> DataFrame:
+    """The rating map of a log: ``rating_source`` is 'all' event types (D6) or 'rating' rows only."""
+    if rating_source not in ("all", "rating"):
+        raise ValueError("rating_source must be 'all' or 'rating'")
+    return mean_rating_all(interactions) if rating_source == "all" else mean_rating_only(interactions, books)
+
+
+def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rating_map: DataFrame | None = None,
                         limit: int = 5, oversample: int = DEFAULT_OVERSAMPLE,
-                        tag_columns=None, use_tfidf: bool | None = None) -> DataFrame:
-    """L3 for every catalogue book (book_id, rank, candidate_id, rating, score, tag_overlap, similarity)."""
+                        tag_columns=None, use_tfidf: bool | None = None, *,
+                        interactions: DataFrame | None = None, rating_source: str = "all") -> DataFrame:
+    """L3 for every catalogue book (book_id, rank, candidate_id, rating, score, tag_overlap, similarity).
+
+    Ratings come from ``rating_map``, or from a log's ``rating_source`` events.
+    """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be within 1-100")
+    if rating_map is None:
+        if interactions is None:
+            raise ValueError("a rating map or interactions are needed")
+        rating_map = rating_map_of(interactions, books, rating_source)
     head = max(limit, oversample)
     cols = list(tag_columns) if tag_columns else tag_columns_of(books)
     tv = tag_vectors(tag_sets(books, cols))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.text import build_document
+from shelfwise.functions.vectors import l2_normalize
+from shelfwise.operators.content import item_vectors
 
 
 def hashed_tfidf_encode(books: DataFrame, num_features: int = 1 << 12) -> DataFrame:
@@ -28,6 +30,20 @@ def hashed_tfidf_encode(books: DataFrame, num_features: int = 1 << 12) -> DataFr
     return n.transform(idf.transform(t)).select("book_id", vector_to_array("v").alias("embedding"))
 
 
+def encode_items(books: DataFrame, item_embeddings: DataFrame | None = None, *, make_predict_fn=None,
+                 dim: int | None = None, batch_size: int = 32) -> DataFrame:
+    """(book_id, embedding) unit vectors of the catalogue's books, ready for ``user_profiles`` and the scorers.
+
+    Form (a) joins a table of vectors, (c) runs a batch model over the built
+    documents, and without either (b) the built-in encoder is used.
+    """
+    if item_embeddings is not None:
+        return item_vectors(item_embeddings, books, normalize=True)
+    if make_predict_fn is not None:
+        return l2_normalize(model_encode(books, make_predict_fn, dim, batch_size), "embedding")
+    return hashed_tfidf_encode(books)
+
+
 def model_encode(books: DataFrame, make_predict_fn, dim: int, batch_size: int = 32) -> DataFrame:
     """Encode the built documents with ``make_predict_fn() -> fn(np.ndarray[str]) -> np.ndarray[n, dim]``.
 

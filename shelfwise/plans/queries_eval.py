@@ -196,6 +196,13 @@ def q_eval_mse_rmse(c):
 _FULL_HYB = hybrid_blocks(30, 0.4, False, 10)
 
 
+@register("sample_users", sql("""
+SELECT user_id FROM (SELECT user_id, min(ts) AS t FROM inter GROUP BY user_id) f ORDER BY t NULLS LAST, user_id LIMIT 100""", "inter"))
+def q_sample_users(c):
+    """the first 100 users of the log, by first appearance."""
+    return E.sample_users(c.interactions, 100)
+
+
 @register("catalog_coverage", sql("""
 SELECT 'coverage' AS metric, CAST(10 AS BIGINT) AS k,
        round((SELECT count(DISTINCT book_id) FROM hyb WHERE rk <= 10 AND user_id IN (SELECT user_id FROM inter))

@@ -12,8 +12,8 @@ from shelfwise.operators import evaluation as E
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import latent as LT
 from shelfwise.operators import views as VW
-from shelfwise.operators.content import fit_content, item_vectors, profile_top_books, profiles_long
-from shelfwise.operators.encode import hashed_tfidf_encode
+from shelfwise.operators.content import content_recommend, fit_content, item_vectors, profile_top_books, profiles_long, user_profiles
+from shelfwise.operators.encode import encode_items, hashed_tfidf_encode
 from shelfwise.operators.popularity import popularity
 from shelfwise.operators.ranking import dense_id_map, topk_per_key
 from shelfwise.plans import training as TR
@@ -219,6 +219,25 @@ def q_content_encode(c):
                                                .alias("norm2"))
 
 
+@register("content_encode_table", sql("""
+SELECT book_id, CAST(pos AS BIGINT) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY book_id)), 6) AS value
+FROM (SELECT book_id, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS pos FROM emb WHERE book_id IN (SELECT book_id FROM catalog)) t""",
+                                      "emb", "catalog"))
+def q_content_encode_table(c):
+    """I3 form (a): unit vectors of the live books from the table of vectors, long form."""
+    v = encode_items(c.books, c.src.item_embeddings)
+    return v.select("book_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "book_id", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
+@register("content_recommend_encoded")
+def q_content_recommend_encoded(c):
+    """I3 form (b) to L1c: text -> vectors -> profiles -> the 10 best unseen books per user."""
+    items = encode_items(c.books)
+    store, _, _, seen = c.content
+    return content_recommend(user_profiles(store, items), items, seen, 10)
+
+
 @register("artifact_roundtrip", sql("""
 SELECT 'profile' AS kind, user_id AS a, CAST(pos AS BIGINT) AS b, round(value, 6) AS value FROM plong
 UNION ALL SELECT 'store', user_id, book_id, round(total, 6) FROM store

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators.content import item_vectors, profiles_long
+from shelfwise.operators.content import item_vectors, profiles_long, user_profiles
 from shelfwise.operators.interactions import interaction_store
 from shelfwise.operators.popularity import popularity, popularity_increment
 from shelfwise.plans.oracle import profile_blocks, sql
@@ -98,11 +98,14 @@ def q_feedback_latest(c):
     return FB.apply_latest(FB.type_details(f.base), FB.latest_per_key(f.valid))
 
 
-@register("profile_refresh", sql("""
+PROFILE_REFRESH = sql("""
 SELECT user_id, CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM n_plong
 UNION ALL
 SELECT user_id, CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM o_plong
-WHERE user_id NOT IN (SELECT user_id FROM n_plong)""", extra=_refresh_blocks()))
+WHERE user_id NOT IN (SELECT user_id FROM n_plong)""", extra=_refresh_blocks())
+
+
+@register("profile_refresh", PROFILE_REFRESH)
 def q_profile_refresh(c):
     """Recomputed profiles of the users touched by feedback (long form)."""
     f = _fb(c)
@@ -111,11 +114,14 @@ def q_profile_refresh(c):
     return profiles_long(FB.profile_refresh(interaction_store(f.base), new_store, f.valid, items))
 
 
-@register("popularity_increment", sql("""
+POPULARITY_INCREMENT = sql("""
 SELECT coalesce(b.book_id, n.book_id) AS book_id, coalesce(b.cnt, 0) + coalesce(n.cnt, 0) AS cnt
 FROM (SELECT book_id, count(*) AS cnt FROM binter GROUP BY book_id) b
 FULL OUTER JOIN (SELECT book_id, count(*) AS cnt FROM fv GROUP BY book_id) n ON b.book_id = n.book_id""",
-                                      extra=_FB_BLOCKS))
+                           extra=_FB_BLOCKS)
+
+
+@register("popularity_increment", POPULARITY_INCREMENT)
 def q_popularity_increment(c):
     """Base popularity + 1 per applied feedback event."""
     f = _fb(c)
@@ -139,18 +145,37 @@ def q_buffer_status(c):
     return FB.buffer_status(_fb(c).valid, 100)
 
 
-@register("feedback_stream", sql("SELECT * FROM nstore", extra=_FB_BLOCKS))
-def q_feedback_stream(c):
-    """The streaming job over the feedback events as files; equals feedback_latest."""
+def _streamed(c) -> str:
+    """The table folder of the streaming job, run over the feedback events as files."""
     f = _fb(c)
     run = scratch_path(c.spark, f"feedback-{uuid.uuid4().hex[:8]}")
     src = f"{run}/source"
-    # The intake folder: feedback events as files, several per day so the
+    # The intake folder: feedback events as files, a day or more in each, so the
     # stream sees several micro-batches.
     (c.src.feedback.select(*[F.col(x.name).cast(x.dataType) for x in FB.FEEDBACK_SCHEMA.fields])
-     .repartition(4, F.to_date("ts")).write.mode("overwrite").parquet(src))
-    q, rej = FB.feedback_stream(c.spark, src, f"{run}/latest", f"{run}/chk", files_per_trigger=2)
-    q.awaitTermination()
-    rej.awaitTermination()
-    latest = FB.read_latest(c.spark, f"{run}/latest")
-    return FB.apply_latest(FB.type_details(f.base), latest)
+     .repartition(F.to_date("ts")).write.parquet(src))
+    FB.feedback_stream(c.spark, src, f"{run}/table", f"{run}/checkpoint", files_per_trigger=2,
+                       base_details=FB.type_details(f.base), items=item_vectors(c.src.item_embeddings, c.live)).awaitTermination()
+    return f"{run}/table"
+
+
+@register("feedback_stream", sql("SELECT * FROM nstore", extra=_FB_BLOCKS))
+def q_feedback_stream(c):
+    """The streaming job over the feedback events as files; equals feedback_latest."""
+    f = _fb(c)
+    return FB.apply_latest(FB.type_details(f.base), FB.read_latest(c.spark, _streamed(c)))
+
+
+@register("feedback_stream_profiles", PROFILE_REFRESH)
+def q_feedback_stream_profiles(c):
+    """Profiles that the streaming job refreshed; equals profile_refresh."""
+    f = _fb(c)
+    items = item_vectors(c.src.item_embeddings, c.live)
+    base = user_profiles(interaction_store(f.base), items)
+    return profiles_long(FB.read_profiles(c.spark, _streamed(c), base))
+
+
+@register("feedback_stream_popularity", POPULARITY_INCREMENT)
+def q_feedback_stream_popularity(c):
+    """Popularity with the streaming job's events; equals popularity_increment."""
+    return FB.read_popularity(c.spark, _streamed(c), popularity(_fb(c).base))

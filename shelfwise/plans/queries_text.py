@@ -196,7 +196,7 @@ FROM (SELECT book_id, e, sqrt(list_dot_product(e, e)) AS n FROM emb WHERE book_i
 WHERE a.book_id <> b.book_id""", ("emb", "catalog")))
 def q_diversity_recommend(c):
     """L3: 5 diverse alternatives per live book (embedding similarity, tags of genres/title/description)."""
-    return V.diversity_recommend(_div_books(c), c.src.item_embeddings, V.mean_rating_all(c.interactions), 5)
+    return V.diversity_recommend(_div_books(c), c.src.item_embeddings, limit=5, interactions=c.interactions)
 
 
 @register("diversity_recommend_tfidf", _div_sql("""

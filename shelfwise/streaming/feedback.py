@@ -8,6 +8,8 @@ are ordered by (ts, event_id).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,6 @@ REJECT_EVENT = "event must be one of rating, favorite, history"
 REJECT_RANGE = "rating_value must be within 0-5"
 REJECT_RATING = "rating_value (1-5) is required for 'rating' event"
 DEFAULT_BUFFER = 100
-LATEST_BUCKETS = 64
 
 
 def feedback_strength(events: DataFrame) -> DataFrame:
@@ -108,69 +109,138 @@ def buffer_status(valid: DataFrame, buffer_size: int = DEFAULT_BUFFER, enabled:
 
 
 # ----------------------------------------------------------------- streaming job
-
-
-def _merge_latest(spark: SparkSession, table: str, scratch: str):
-    """foreachBatch sink: merge updated keys into the bucketed latest table.
-
-    Only buckets touched by the micro-batch are rewritten (dynamic partition
-    overwrite). The merged rows are first written to a per-epoch scratch folder,
-    since a path cannot be read and overwritten by the same job. Replaying an
-    epoch is harmless: a key keeps its row with the larger (ts, event_id).
+#
+# <table>/changes/epoch=N      newest feedback per (user, book, type) of the batch
+# <table>/popularity/epoch=N   events per book
+# <table>/profiles/epoch=N     touched users' profiles (null: weights sum to 0)
+# <table>/rejects/epoch=N      rejected events with the reason
+# <table>/done/epoch=N         written last: readers see an epoch by this mark only
+# <table>/base/upto=N          changes of the epochs up to N in one table (compact)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """N of the folders <folder>/<name>=N, ascending."""
+    store, path = _fs(spark, folder)
+    names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{name}="))
+
+
+def _epochs(spark: SparkSession, table: str, part: str, after: int | None, schema: str) -> DataFrame:
+    """Rows of a part in the finished epochs above ``after``, with the column epoch."""
+    known = [n for n in _numbers(spark, f"{table}/done", "epoch") if after is None or n > after]
+    if not known:
+        return spark.createDataFrame([], f"{schema}, epoch bigint")
+    paths = [f"{table}/{part}/epoch={n}" for n in known]
+    df = spark.read.option("basePath", f"{table}/{part}").schema(f"{schema}, epoch bigint").parquet(*paths)
+    return df
+
+
+_CHANGE = ("user_id bigint, book_id bigint, type string, strength double, "
+           "last_at struct<ts: timestamp_ntz, event_id: bigint>, n_events bigint")
+
+
+def _newest(changes: DataFrame) -> DataFrame:
+    return (changes.groupBy("user_id", "book_id", "type")
+            .agg(F.max_by("strength", "last_at").alias("strength"), F.max("last_at").alias("last_at"),
+                 F.sum("n_events").alias("n_events")))
+
+
+def read_latest(spark: SparkSession, table: str, upto: int | None = None) -> DataFrame:
+    """Newest feedback per (user, book, type) in all finished epochs (or those up to one), over the newest base."""
+    bases = [n for n in _numbers(spark, f"{table}/base", "upto") if upto is None or n <= upto]
+    rows = _epochs(spark, table, "changes", bases[-1] if bases else None, _CHANGE)
+    if upto is not None:
+        rows = rows.where(F.col("epoch") <= upto)
+    rows = rows.drop("epoch")
+    if bases:
+        rows = rows.unionByName(spark.read.schema(_CHANGE).parquet(f"{table}/base/upto={bases[-1]}"))
+    return _newest(rows)
+
+
+def read_profiles(spark: SparkSession, table: str, base_profiles: DataFrame) -> DataFrame:
+    """Profiles of the users that the stream touched; one whose weights sum to 0 keeps its base profile."""
+    rows = _epochs(spark, table, "profiles", None, "user_id bigint, profile array<double>")
+    last = rows.groupBy("user_id").agg(F.max_by("profile", "epoch").alias("_new"))
+    old = base_profiles.select("user_id", F.col("profile").alias("_old"))
+    return (last.join(old, "user_id", "left").select("user_id", F.coalesce("_new", "_old").alias("profile"))
+            .where(F.col("profile").isNotNull()))
+
+
+def read_popularity(spark: SparkSession, table: str, base: DataFrame) -> DataFrame:
+    """Base counts and one for each event of the finished epochs."""
+    rows = _epochs(spark, table, "popularity", None, "book_id bigint, cnt bigint")
+    return (base.select("book_id", "cnt").unionByName(rows.select("book_id", "cnt"))
+            .groupBy("book_id").agg(F.sum("cnt").alias("cnt")))
+
+
+def compact(spark: SparkSession, table: str) -> int | None:
+    """Merges the finished epochs into a new base, apart from the stream; published by one rename."""
+    done = _numbers(spark, f"{table}/done", "epoch")
+    bases = _numbers(spark, f"{table}/base", "upto")
+    if not done or (bases and bases[-1] >= done[-1]):
+        return None
+    draft = f"{table}/.draft-{uuid.uuid4().hex}"
+    read_latest(spark, table, done[-1]).write.parquet(draft)
+    store, target = _fs(spark, f"{table}/base/upto={done[-1]}")
+    store.mkdirs(target.getParent())
+    if not store.rename(_fs(spark, draft)[1], target):
+        raise FileExistsError(str(target))
+    return done[-1]
+
+
+def write_epoch(table: str, base_details: DataFrame | None = None, items: DataFrame | None = None):
+    """foreachBatch sink: appends a batch's changes as one epoch; nothing that is there is rewritten.
+
+    An epoch that runs again (after a crash at any point) replaces its own
+    folders alone, with the same rows; it counts once its mark is written. With
+    ``base_details`` and ``items`` the touched users' profiles are recomputed
+    from the base and all changes so far.
     """
-    def merge(batch: DataFrame, epoch_id: int):
-        upd = batch.withColumn("bucket", F.pmod(F.xxhash64("user_id", "book_id"), F.lit(LATEST_BUCKETS)))
-        keys = ["user_id", "book_id", "type"]
-        if _exists(spark, table):
-            # At most LATEST_BUCKETS ids: a static partition filter, so only
-            # the touched bucket folders are read.
-            touched = [r["bucket"] for r in upd.select("bucket").distinct().collect()]
-            cur = spark.read.parquet(table).where(F.col("bucket").isin(touched))
-            both = cur.unionByName(upd.select(*cur.columns))
-            newest = (both.groupBy(*keys, "bucket")
-                      .agg(F.max_by(F.struct("strength", "n_events"), F.col("last_at")).alias("v"),
-                           F.max("last_at").alias("last_at"))
-                      .select(*keys, "bucket", "v.strength", "last_at", "v.n_events"))
-        else:
-            newest = upd.select(*keys, "bucket", "strength", "last_at", "n_events")
-        stage = f"{scratch}/epoch={epoch_id}"
-        newest.write.mode("overwrite").parquet(stage)
-        (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(table))
-    return merge
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, part: str) -> None:
+            df.write.mode("overwrite").parquet(f"{table}/{part}/epoch={epoch}")
+
+        scored = feedback_strength(batch).persist()
+        try:
+            valid = valid_events(scored)
+            put(latest_per_key(valid), "changes")
+            put(valid.groupBy("book_id").agg(F.count(F.lit(1)).alias("cnt")), "popularity")
+            put(scored.where(F.col("reject_reason").isNotNull()), "rejects")
+            if items is not None:
+                touched = valid.select("user_id").distinct()
+                now = spark.read.schema(_CHANGE).parquet(f"{table}/changes/epoch={epoch}")
+                earlier = read_latest(spark, table, epoch - 1).select(*now.columns)
+                latest = _newest(earlier.unionByName(now).join(touched, "user_id", "left_semi"))
+                store = apply_latest(base_details.join(touched, "user_id", "left_semi"), latest)
+                put(touched.join(user_profiles(store, items), "user_id", "left"), "profiles")
+            put(spark.range(1), "done")
+        finally:
+            scored.unpersist()
+    return write
 
 
 def feedback_stream(spark: SparkSession, source_dir: str, table: str, checkpoint: str,
-                    files_per_trigger: int = 1, available_now: bool = True):
-    """Stream feedback files -> validate -> newest strength per key -> merge into ``table``.
+                    files_per_trigger: int | None = None, available_now: bool = True,
+                    base_details: DataFrame | None = None, items: DataFrame | None = None):
+    """Stream feedback files -> validate -> change log, profiles and popularity in ``table``.
 
-    State is one row per (user, book, event type), so it stays bounded without a
-    watermark. ``available_now`` processes everything present (the forced
-    flush); otherwise the query keeps running on a processing-time trigger.
-    Rejected events go to ``table + '_rejects'``.
+    The query keeps no state: a batch is reduced to its newest row per key and
+    readers merge epochs. ``available_now`` processes everything present (the
+    forced flush); otherwise the query keeps running on a processing-time trigger.
     """
-    src = (spark.readStream.schema(FEEDBACK_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(source_dir))
-    scored = feedback_strength(src)
-    latest = latest_per_key(valid_events(scored))
-    w = (latest.writeStream.outputMode("update")
-         .foreachBatch(_merge_latest(spark, table, checkpoint + "/stage"))
-         .option("checkpointLocation", checkpoint + "/state"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    rej = (scored.where(F.col("reject_reason").isNotNull()).writeStream.format("parquet")
-           .option("path", table + "_rejects").option("checkpointLocation", checkpoint + "/rejects"))
-    rej = rej.trigger(availableNow=True) if available_now else rej.trigger(processingTime="10 seconds")
-    return w.start(), rej.start()
-
-
-def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).drop("bucket")
+    src = spark.readStream.schema(FEEDBACK_SCHEMA)
+    if files_per_trigger is not None:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    w = (src.parquet(source_dir).writeStream.foreachBatch(write_epoch(table, base_details, items))
+         .option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 class OnlineLearning:
@@ -178,37 +248,30 @@ class OnlineLearning:
 
     Disabling never drops events: they stay in the source folder and are
     applied when the stream is enabled again (its checkpoint remembers what was
-    read). ``status`` is J6 from the pending rows of the source.
+    read).
     """
 
-    def __init__(self, spark: SparkSession, source_dir: str, table: str, checkpoint: str):
-        self.spark, self.source_dir, self.table, self.checkpoint = spark, source_dir, table, checkpoint
-        self.queries = ()
-        self.buffer_size = DEFAULT_BUFFER
+    def __init__(self, spark: SparkSession, source_dir: str, table: str, checkpoint: str,
+                 base_details: DataFrame | None = None, items: DataFrame | None = None):
+        self.args = (spark, source_dir, table, checkpoint)
+        self.model = {"base_details": base_details, "items": items}
+        self.query = None
 
     @property
     def enabled(self) -> bool:
-        return any(q.isActive for q in self.queries)
+        return self.query is not None and self.query.isActive
 
-    def enable(self, buffer_size: int = DEFAULT_BUFFER, force: bool = False):
-        if not 10 <= buffer_size <= 1000:
-            raise ValueError("buffer_size must be within 10-1000")
-        self.buffer_size = buffer_size
+    def enable(self, files_per_trigger: int | None = None) -> OnlineLearning:
         self.disable()
-        self.queries = feedback_stream(self.spark, self.source_dir, self.table, self.checkpoint,
-                                       available_now=force)
+        self.query = feedback_stream(*self.args, files_per_trigger, False, **self.model)
         return self
 
-    def flush(self):
+    def flush(self) -> None:
         """Force an update now: process everything present, then stop (availableNow)."""
         self.disable()
-        self.queries = feedback_stream(self.spark, self.source_dir, self.table, self.checkpoint,
-                                       available_now=True)
-        for q in self.queries:
-            q.awaitTermination()
-
-    def disable(self):
-        for q in self.queries:
-            if q.isActive:
-                q.stop()
-        self.queries = ()
+        feedback_stream(*self.args, None, True, **self.model).awaitTermination()
+
+    def disable(self) -> None:
+        if self.enabled:
+            self.query.stop()
+        self.query = None
