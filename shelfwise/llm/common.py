@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise.session import ensure_checkpoint_dir
 
 # Text that one step of a Python task holds as Python objects.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def held_out(doc_id: str, modulus: int) -> Column:
