@@ -14,6 +14,8 @@ from shelfwise.session import ensure_checkpoint_dir
 
 # Text that one step of a Python task holds as Python objects.
 STEP_BYTES = 1 << 20
+# Text that the word encoder takes at once: a larger step repeats more words.
+ENCODE_BYTES = 2 << 20
 
 
 def held_out(doc_id: str, modulus: int) -> Column:
@@ -45,6 +47,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             size += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch, sizes
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

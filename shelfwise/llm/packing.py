@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import steps, written
+from shelfwise.llm.common import ENCODE_BYTES, steps, written
 from shelfwise.llm.tokens import encoder
 
 # Pieces of one length that one task numbers.
@@ -39,8 +39,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in steps(batches):
-            ids, counts = enc.encode(batch.column("text").to_pylist())
+        for batch in steps(batches, limit=ENCODE_BYTES):
+            ids, counts = enc.encode(batch.column("text"))
             cols: list[list] = [[] for _ in fields]
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts):

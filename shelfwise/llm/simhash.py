@@ -183,11 +183,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, group_
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """The row with the least doc_id of each component, with all its columns; null ids come last, of equal ids one stays."""
-    fp, uid = free_name(docs, "_fp"), free_name(docs, "_uid")
-    marked = with_fingerprints(docs.withColumn(uid, F.monotonically_increasing_id()), fp, shingle)
-    marked = written(marked, "simhash-docs")
-    small = marked.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(uid).alias("u")).alias("id"))
+    uid = free_name(docs, "_uid")
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")  # so that the numbers stay
+    marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(uid).alias("u"), "text")
+    marked = written(with_fingerprints(marked, "fp", shingle, ["doc_id", "u"]), "simhash-fp")
+    small = marked.select("fp", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "u").alias("id"))
     first = small.groupBy("fp").agg(F.min("id").alias("id"))
     roots = first.join(_groups(small, "fp", max_bits, group_limit), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stays = roots.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.u").alias(uid))
-    return marked.join(stays, uid, "left_semi").select(*docs.columns)
+    return rows.join(stays, uid, "left_semi").select(*docs.columns)

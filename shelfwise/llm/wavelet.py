@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import shared_folder, steps, written
+from shelfwise.llm.common import ENCODE_BYTES, shared_folder, steps, written
 from shelfwise.llm.tokens import encoder
 
 MAGIC = b"SWTOKEN1"
@@ -246,8 +246,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             seq, total = seq + 1, 0
             return row
 
-        for batch in steps(batches):
-            ids, counts = enc.encode(batch.column("text").to_pylist())
+        for batch in steps(batches, limit=ENCODE_BYTES):
+            ids, counts = enc.encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id)
             own.append((batch.column("doc_id").to_pylist(), counts + 1, ids))

@@ -26,9 +26,9 @@ ODD = ["a  b", "", " x", "x ", "a\n\nb c", "a \n b", "a\tb c\xa0d é  f", "a\nb
        "\nfoo bar\nbaz", "foo bar\n", "x " * 10, None, "é è\nç", "a, b.c ,d", "...", "日本 語\u3000x", "x\x1f y\x85 z", "1 2  3", " \n "]
 
 
-@pytest.mark.parametrize("parts, chars", [(1_000_000, 1 << 19), (40, 7)])
-def test_encoder_equals_the_tokenizer(tok, parts, chars):
-    enc = TextEncoder(TOKENIZER, max_parts=parts, piece_chars=chars)
+@pytest.mark.parametrize("parts, size", [(1_000_000, 2 << 20), (40, 7)])
+def test_encoder_equals_the_tokenizer(tok, parts, size):
+    enc = TextEncoder(TOKENIZER, max_parts=parts, step_bytes=size)
     texts = ODD + [helpers.prose(i, 200) for i in range(8)] + ODD
     for _ in range(3):
         ids, counts = enc.encode(texts)
