@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, steps
+from shelfwise.llm.common import bounded_sample, held_out, steps
 
 WIDTH, FILTERS, EMBEDDING, HIDDEN = 6, 12, 8, 8
 CHUNK = 512
@@ -167,9 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample_per_label
              .where(~held_out("doc_id", modulus) & F.col("quality").isin(0, 1)))
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / sum(n.values()) if n else 0.5
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample_per_label)
-              .select("doc_id", "quality"))
+    chosen = bounded_sample(known, "quality", sample_per_label)
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
              .where(F.octet_length("text") <= sample_max_bytes))
     rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "quality"]).collect()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import ensure_checkpoint_dir
@@ -51,6 +52,47 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
+def new_folder(folder: str) -> str:
+    """``folder``, which must not be there yet: files in it would count as written."""
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(folder)
+    return folder
+
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(doc_id, label) of at most ``per_label`` rows of each label, those whose id has the least hash.
+
+    A label's count gives the share of hashes that is looked at, so only about
+    ``per_label`` rows of a label meet in a task.
+    """
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    rows = rows.select("doc_id", label).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)))
+    if counts:
+        shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * per_label + 50) / n) * (1 << 31))])
+        rows = rows.where(F.col("_h") < shares[F.col(label)])
+    first = Window.partitionBy(label).orderBy("_h", "doc_id")
+    return (rows.distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_label)
+            .select("doc_id", label))
+
+
+def write_file(folder: str, file: str, parts: Iterable[bytes]) -> None:
+    """Writes a file into a folder that all tasks reach: under another name first, then renamed.
+
+    A task that runs again finds its own file whole, with the same bytes, and leaves it.
+    """
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    draft, target = f"{root}/.{file}.{uuid.uuid4().hex}", f"{root}/{file}"
+    with store.open_output_stream(draft) as out:
+        for part in parts:
+            out.write(part)
+    if store.get_file_info(target).type == fs.FileType.NotFound:
+        store.move(draft, target)
+    else:
+        store.delete_file(draft)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

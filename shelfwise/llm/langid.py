@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import held_out, steps
+from shelfwise.llm.common import bounded_sample, held_out, steps
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -193,9 +193,7 @@ def train(docs: DataFrame, modulus: int = 5, sample_per_lang: int = SAMPLE_PER_L
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(first))
-              .where(F.col("_r") <= sample_per_lang).select("doc_id", "lang").distinct())
+    chosen = bounded_sample(rows, "lang", sample_per_lang)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):

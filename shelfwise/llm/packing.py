@@ -23,7 +23,7 @@ from shelfwise.llm.common import ENCODE_BYTES, steps, written
 from shelfwise.llm.tokens import encoder
 
 # Pieces of one length that one task numbers.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -124,9 +124,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS
         raise ValueError(f"lengths must be from 1 to {capacity}")
     table = _lookup(plan_bins(counts, capacity), capacity)
 
-    salted = {n: -(-c // bucket_rows) for n, c in counts.items() if c > bucket_rows}
-    salts = F.create_map(*[F.lit(x) for kv in salted.items() for x in kv])[F.col("length")] if salted else F.lit(None)
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_uid"), F.coalesce(salts, F.lit(1)).cast("long")))
+    buckets = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // bucket_rows))) for n in range(capacity + 1)])
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_uid"), F.get(buckets, F.col("length").cast("int")).cast("long")))
     sizes = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     place = Window.partitionBy("length", "_bucket").orderBy("_uid")

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import posixpath
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import ENCODE_BYTES, shared_folder, steps, written
+from shelfwise.llm.common import ENCODE_BYTES, new_folder, shared_folder, steps, write_file, written
 from shelfwise.llm.tokens import encoder
 
 MAGIC = b"SWTOKEN1"
@@ -212,12 +211,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                  shard_bytes: int = SHARD_BYTES, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes all documents' ids in ascending doc_id order; a row per file: file, part, seq, n_docs, n_tokens.
 
-    ``folder`` must be one that all tasks reach. A file is written under another
-    name and then renamed, so a task that runs again only replaces its own file.
+    ``folder`` must be a new one that all tasks reach. A file is written under another
+    name and then renamed, so a task that runs again finds its own file or none.
     Null ids come first; rows with the same id are in the order of their texts'
     hash and text. A null text is an empty one: its document is the end id.
     Other columns are not read. No rows give no files.
     """
+    new_folder(folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = ["doc_id", "_hash"]
@@ -226,8 +226,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         own: list[tuple[list, np.ndarray, np.ndarray]] = []
         seq = total = 0
 
@@ -237,10 +235,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             names, lengths = [d for x in own for d in x[0]], np.concatenate([x[1] for x in own])
             own.clear()
             file = f"part-{part:06d}-{seq:04d}.tokens"
-            draft = posixpath.join(root, f".{file}.{uuid.uuid4().hex}")
-            with store.open_output_stream(draft) as out:
-                out.write(TokenFile.build(names, lengths, ids).to_bytes())
-            store.move(draft, posixpath.join(root, file))
+            write_file(folder, file, [TokenFile.build(names, lengths, ids).to_bytes()])
             row = pa.record_batch([pa.array([x]) for x in (file, part, seq, len(names), len(ids))],
                                   names=["file", "part", "seq", "n_docs", "n_tokens"])
             seq, total = seq + 1, 0
