@@ -7,6 +7,8 @@ IDF omits the ``+ 1``, so the weights are built from plain aggregates.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 from shelfwise.functions.text import word_tokens
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.ranking import unique_ids
-from shelfwise.session import ensure_checkpoint_dir
+from shelfwise.session import scratch_path
 
 
 def corpus(books: DataFrame, columns) -> DataFrame:
@@ -33,10 +35,13 @@ def tfidf(docs: DataFrame, text_col: str = "doc") -> DataFrame:
     skewed partitions of very common terms when it is not (a window by term
     would put a term found in a third of all documents into one task).
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    spark = docs.sparkSession
     n_docs = docs.count()
     tf = (docs.select("book_id", F.explode(word_tokens(text_col)).alias("term"))
-          .groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True))
+          .groupBy("book_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    path = scratch_path(spark, f"term-counts-{uuid.uuid4().hex}")
+    tf.write.parquet(path)  # read by column afterwards, unlike a checkpoint
+    tf = spark.read.schema(tf.schema).parquet(path)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     w = tf.join(df, "term").select("book_id", "term", (F.col("tf") * idf).alias("w"))

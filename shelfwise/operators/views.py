@@ -18,7 +18,7 @@ def model_info(spark: SparkSession, store: DataFrame, books: DataFrame, profiles
     dim = items.agg(F.max(F.size("embedding"))).first()[0]
     row = dict(n_users=int(m["n_users"]), n_items=int(m["n_items"]), nnz=int(m["nnz"] or 0), n_books=int(n_books),
                n_profiles=int(n_profiles), embedding_dim=int(dim or 0))
-    row.update({k: float(v) for k, v in params.items()})
+    row.update({k: float(v) for k, v in params.items() if isinstance(v, (int, float))})
     cols = list(row)
     types = ", ".join(f"{c} {'bigint' if isinstance(row[c], int) else 'double'}" for c in cols)
     return spark.createDataFrame([tuple(row[c] for c in cols)], types)

@@ -269,6 +269,14 @@ def q_train_latent_job(c):
     return TR.train_latent_job(c.spark, c.books, c.interactions, c.src.item_embeddings, base)
 
 
+@register("latent_model_info")
+def q_latent_model_info(c):
+    """D17 for the latent model: sizes, parameters and last metrics of the saved version."""
+    base = scratch_path(c.spark, f"train-{uuid.uuid4().hex[:8]}")
+    TR.train_latent_job(c.spark, c.books, c.interactions, c.src.item_embeddings, base)
+    return TR.model_report(c.spark, base)
+
+
 @register("sample_recommendations")
 def q_sample_recommendations(c):
     """Hybrid recommendations with titles for the first 3 test users of the temporal split, trained on its train part."""

@@ -95,6 +95,27 @@ def load_models(spark: SparkSession, base: str, version: str | None = None) -> S
     return SavedModel({name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}, meta["params"])
 
 
+def save_metrics(spark: SparkSession, base: str, version: str, metrics: DataFrame) -> DataFrame:
+    """The metric table of a version, kept beside it."""
+    path = f"{base}/metrics/v={version}"
+    metrics.write.mode("overwrite").parquet(path)
+    return spark.read.schema(metrics.schema).parquet(path)
+
+
+def model_report(spark: SparkSession, base: str, version: str | None = None) -> DataFrame:
+    """A version's table sizes, parameters and last metrics as (kind, name, value) rows."""
+    version = version or versions(spark, base)[-1]
+    saved = load_models(spark, base, version)
+    rows = [("rows", name, float(df.count())) for name, df in saved.tables.items()]
+    rows += [("parameter", k, float(v)) for k, v in saved.metadata.items() if isinstance(v, (int, float))]
+    out = spark.createDataFrame(rows, "kind string, name string, value double")
+    store, path = _path(spark, f"{base}/metrics/v={version}")
+    if not store.exists(path):
+        return out
+    m = spark.read.parquet(f"{base}/metrics/v={version}")
+    return out.unionByName(m.select(F.lit("metric").alias("kind"), F.col("metric").alias("name"), "value"))
+
+
 def _split(interactions: DataFrame, evaluate: bool):
     """(train, test or None)"""
     if not evaluate:
@@ -127,12 +148,13 @@ def train_job(spark: SparkSession, books: DataFrame, interactions: DataFrame, it
     path = save_models(spark, out_base, tables, {"alpha": alpha, "als_factors": rank, "als_iterations": max_iter, "als_regularization": reg})
     if test is None:
         return spark.createDataFrame([], "metric string, k bigint, value double")
-    saved = load_models(spark, out_base, path.rsplit("v=", 1)[1])
+    version = path.rsplit("v=", 1)[1]
+    saved = load_models(spark, out_base, version)
     sampled = E.sample_users(train, coverage_users)
     recs = saved.recommend(test.select("user_id").union(sampled).distinct(), k).checkpoint(eager=True)
     known = train.select("user_id").unionByName(saved.tables["profiles"].select("user_id")).distinct()
-    return E.ranking_metrics(recs, E.ground_truth(test), known, k).unionByName(
-        E.catalog_coverage(recs, train, books, k=k, users=sampled))
+    return save_metrics(spark, out_base, version, E.ranking_metrics(recs, E.ground_truth(test), known, k).unionByName(
+        E.catalog_coverage(recs, train, books, k=k, users=sampled)))
 
 
 def train_latent_job(spark: SparkSession, books: DataFrame, interactions: DataFrame, item_embeddings: DataFrame,
@@ -147,4 +169,5 @@ def train_latent_job(spark: SparkSession, books: DataFrame, interactions: DataFr
                                                  "latent_coef": model.coef, "latent_intercept": model.intercept})
     if test is None:
         return spark.createDataFrame([], "metric string, k bigint, value double")
-    return latent_evaluate(load_models(spark, out_base, path.rsplit("v=", 1)[1]).latent(), test, ks)
+    version = path.rsplit("v=", 1)[1]
+    return save_metrics(spark, out_base, version, latent_evaluate(load_models(spark, out_base, version).latent(), test, ks))

@@ -8,7 +8,8 @@ from tests.conftest import SF0001
 FAST = ["load_books", "load_interactions", "interaction_store", "user_profiles", "content_recommend",
         "similar_items", "popularity_recommend", "hybrid_recommend", "hybrid_recommend_latent",
         "diversity_recommend", "tfidf", "feedback_latest", "buffer_trigger", "eval_ndcg", "temporal_split",
-        "random_split", "fold_assign", "normalize_text", "string_agg_distinct", "interaction_stats"]
+        "random_split", "fold_assign", "exclude_seen", "artifact_roundtrip", "sample_users", "content_encode_table",
+        "feedback_stream_profiles", "feedback_stream_popularity", "normalize_text", "string_agg_distinct", "interaction_stats"]
 
 
 @pytest.fixture(scope="module")

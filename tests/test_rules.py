@@ -214,6 +214,8 @@ def test_jobs_and_loaded_models(spark, tmp_path):
     assert {r.user_id for r in recs} == {1, 777} and {r.path for r in recs if r.user_id == 777} == {"popularity"}
     base = str(tmp_path / "l")
     m = {(r.metric, r.k) for r in TR.train_latent_job(spark, books, log, emb, base, rank=3, max_iter=2).collect()}
+    report = {(r.kind, r.name): r.value for r in TR.model_report(spark, base).collect()}
+    assert report["parameter", "latent_dim"] == 3 and report["rows", "user_factors"] == 20 and report["metric", "rmse"] > 0
     assert {x for x, _ in m} == {"mse", "rmse", "hit_rate@5", "hit_rate@10", "coverage@5", "coverage@10"}
     assert TR.load_models(spark, base).recommend(users, 4).where("user_id = 1").count() == 4
 
