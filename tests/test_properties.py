@@ -64,7 +64,7 @@ def test_same_seed_same_model(spark):
 
 def test_cross_validation_and_grid(spark, q):
     cv = q["cross_validate"](spark, SF0001).toPandas()
-    assert set(cv.fold) == {0, 1, 2} and {"mse", "rmse"} <= set(cv.metric)
+    assert set(cv.fold) == {0, 1, 2, 3, 4} and {"mse", "rmse"} <= set(cv.metric)
     g = q["grid_search"](spark, SF0001).toPandas()
     assert g.is_best.sum() == 1
 
