@@ -14,8 +14,8 @@ from shelfwise.llm.queries import TOKENIZER
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter and a language that is likelier than all others together."""
-    return langid.keep(docs, langid.train(docs, modulus=5), min_score=0.5)
+    """Rows whose text has a letter and a language with a probability of 0.3 or more."""
+    return langid.keep(docs, langid.train(docs, modulus=5), min_score=0.3)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
