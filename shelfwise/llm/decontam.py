@@ -2,8 +2,9 @@
 
 A mask of word positions, some of them ignored, slides over documents and
 benchmark items; its hash doesn't change when a word at an ignored position
-does. The masks below hit every 16-word stretch with three substitutions at
-most. Documents' hashes pass a Bloom filter of the items' hashes (of fixed size,
+does. The first two masks below hit every 16-word stretch with three substitutions
+at most, and with the others every item of 8 to 15 words of which at least 80 % are
+the same. Documents' hashes pass a Bloom filter of the items' hashes (of fixed size,
 so the benchmark may grow), survivors are joined with the items, and each
 diagonal that a hit lies on - document position less item position - is verified
 word by word: an overlap is every window of 16 item words (or the whole item, if
@@ -13,6 +14,7 @@ shorter) of which at least 80 % are the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import free_name, steps, written
 
-MASKS = ("11101011", "11001000111")
+LONG_MASKS = ("11101011", "11001000111")
+MASKS = LONG_MASKS + ("111111", "11010111", "1111011", "11100111", "110110011")
 WINDOW, SAME_PERCENT, MIN_ITEM_WORDS = 16, 80, 8
 # The Bloom filter: bits for each hash of an item, and at most (16 MB).
 BITS_PER_HASH, MAX_BITS = 1024, 1 << 27
@@ -64,14 +67,37 @@ def seeds(texts: list[str | None], masks: tuple[str, ...]):
     return words, ends, found
 
 
-def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(item, mask, item_word, hash) of every mask at every place of every item."""
+def _plan(lengths: list[int], masks: tuple[str, ...]) -> dict[int, tuple[str, ...]]:
+    """The masks for items of each length (``WINDOW`` for longer ones), which together hit every pattern of substitutions.
+
+    Masks count in their order, those that hit nothing more are left out; what
+    none hits in a short item gets a mask of the item's length each.
+    """
+    out = {}
+    for n in sorted({min(n, WINDOW) for n in lengths}):
+        left, used = list(combinations(range(n), n * (100 - SAME_PERCENT) // 100)), []
+        for mask in masks:
+            places = [{at + j for j, bit in enumerate(mask) if bit == "1"} for at in range(n - len(mask) + 1)]
+            rest = [bad for bad in left if all(p.intersection(bad) for p in places)]
+            if len(rest) < len(left):
+                left, used = rest, used + [mask]
+        if n < WINDOW:
+            used += ["".join("0" if j in bad else "1" for j in range(n)) for bad in left]
+        out[n] = tuple(used)
+    return out
+
+
+def _item_seeds(items: DataFrame, masks: tuple[str, ...], plan: dict[int, tuple[str, ...]]) -> DataFrame:
+    """(item, mask, item_word, hash) of every mask that ``plan`` has for an item's length, at every place of the item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             _, ends, found = seeds(batch.column("text").to_pylist(), masks)
             begins = np.concatenate([[0], ends[:-1]])
+            length = np.minimum(ends - begins, WINDOW)
             for k, at, value in found:
                 own = np.searchsorted(ends, at, side="right")
+                meant = np.isin(length[own], [n for n, used in plan.items() if masks[k] in used])
+                own, at, value = own[meant], at[meant], value[meant]
                 yield pa.record_batch([batch.column("item").take(pa.array(own)), pa.array(np.full(len(at), k, dtype=np.int32)),
                                        pa.array((at - begins[own]).astype(np.int32)), pa.array(value.view(np.int64))],
                                       names=["item", "mask", "item_word", "hash"])
@@ -168,12 +194,12 @@ def _find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_item_wo
     items = (items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
              .withColumns({"n": counted, "item": F.xxhash64("item_id", "text")}).where(F.col("n") >= min_item_words)
              .dropDuplicates(["item"]))
-    # Items shorter than a mask get one of their own length, with no place ignored.
-    shape = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < max(map(len, masks)), F.col("n")))).first()
-    own = tuple("1" * n for n in sorted(shape[1] or []))
-    item_seeds = written(_item_seeds(items, masks + own), "item-seeds")
+    shape = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(WINDOW)))).first()
+    plan = _plan(shape[1], masks)
+    masks = tuple(dict.fromkeys(m for used in plan.values() for m in used)) or masks
+    item_seeds = written(_item_seeds(items, masks, plan), "item-seeds")
     bloom = spark.sparkContext.broadcast(_bloom(item_seeds.select("hash")))
-    found = _segments(docs, masks + own, bloom, (shape[0] or 0) + max(map(len, masks)))
+    found = _segments(docs, masks, bloom, (shape[0] or 0) + max(map(len, masks)))
     found = written(found.withColumn("segment", F.monotonically_increasing_id()), "segments")
 
     hits = found.select("segment", F.explode("hits").alias("h")).select("segment", "h.mask", "h.word", "h.hash")
@@ -222,8 +248,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, .
     return out.select(*docs.columns)
 
 
-def contaminated_sql(masks: tuple[str, ...] = MASKS, min_item_words: int = MIN_ITEM_WORDS) -> str:
-    """DuckDB SQL of ``contaminated`` over documents and items of the masks' length or more, by the words themselves."""
+def contaminated_sql(masks: tuple[str, ...] = LONG_MASKS, min_item_words: int = MIN_ITEM_WORDS) -> str:
+    """DuckDB SQL of ``contaminated`` over items of ``WINDOW`` words or more, by the words themselves; for shorter ones it needs all of ``MASKS``."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     drop = PUNCTUATION.replace("'", "''")
 
