@@ -52,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.learn_and_score(documents(spark, sf_dir), modulus=10)
+    return ngram_trie.learn_and_score(documents(spark, sf_dir), modulus=10, order=3)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
