@@ -4,7 +4,9 @@ The trees see lexical features only: lengths, depth, digit share, entropy,
 hyphens, parameter counts and suffix statistics. They are trained from labelled
 URLs: 1 for a host with a word of ``BLOCK_WORDS`` between dots or hyphens, 0 for
 any other host - so a host that looks like the listed ones is blocked without
-being listed. The suffix statistics are counted over all URLs.
+being listed. The suffix statistics are counted over all URLs. Hosts are dealt to
+two halves by hash, and a URL's shares are those of the other half, so that they
+don't tell its host's label.
 """
 
 from __future__ import annotations
@@ -70,11 +72,15 @@ def _features(rows: DataFrame) -> DataFrame:
         "host_hyphens": count(host, "-"), "n_parameters": count(query, "[^&=]+="), "query_length": F.length(query),
         "suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2),
         "label": F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, BLOCK_WORDS))).cast("int")})
-    # Suffix statistics over all rows: how many URLs, and the share of those to block (with one more of each kind).
+    # Suffix statistics over all rows: how many URLs, and the share of those to block
+    # among the other half's (with one more of each kind).
+    half, label = F.pmod(F.xxhash64("host"), F.lit(2)), F.col("label")
     for name in ("suffix", "domain"):
-        stats = rows.groupBy(name).agg(F.count("*").alias("_n"), F.sum("label").alias("_ones")).select(
-            name, F.log1p("_n").alias(f"{name}_size"), ((F.col("_ones") + 1) / (F.col("_n") + 2)).alias(f"{name}_share"))
-        rows = rows.join(stats, name)
+        stats = rows.groupBy(name).agg(F.count("*").alias("_n"), *[f.alias(f"_{k}{i}") for i in (0, 1) for k, f in (
+            ("all", F.count(F.when(half != i, 1))), ("ones", F.sum(F.when(half != i, label).otherwise(0))))])
+        other = lambda k: F.when(half == 0, F.col(f"_{k}0")).otherwise(F.col(f"_{k}1"))
+        rows = rows.join(stats, name).withColumns({
+            f"{name}_size": F.log1p("_n"), f"{name}_share": (other("ones") + 1) / (other("all") + 2)}).drop(*stats.columns[1:])
     return rows
 
 
