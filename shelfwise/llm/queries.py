@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from shelfwise.llm import (cnn, decontam, langid, line_dedup, ngram_trie, packing, repetition, sharding, simhash, spelling,
-                           urls, wavelet)
+from shelfwise.llm import (cnn, decontam, langid, line_dedup, ngram_trie, packing, prefix_trie, repetition, sharding,
+                           simhash, spelling, urls, wavelet)
 from shelfwise.llm.common import documents
 from shelfwise.session import ensure_checkpoint_dir
 
@@ -56,6 +56,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.learn_and_score(documents(spark, sf_dir), modulus=10, order=3)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(documents(spark, sf_dir))
 
@@ -67,11 +71,12 @@ def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_sharding,
                                    op4_benchmark_decontamination, op5_language_id, op6_repetition_rules,
                                    op7_quality_classifier, op8_url_filters, op9_token_files,
-                                   op10_lm_scoring, op12_line_dedup, op13_spelling_groups)}
+                                   op10_lm_scoring, op11_conversation_trie, op12_line_dedup, op13_spelling_groups)}
 ORACLE = {
     "op3_sharding": sharding.sharding_sql(SHARDS, sharding.table_size(len(SHARDS))),
     "op4_benchmark_decontamination": decontam.contaminated_sql(),
     "op6_repetition_rules": repetition.repetition_sql(),
+    "op11_conversation_trie": prefix_trie.conversation_trie_sql(),
     "op12_line_dedup": line_dedup.line_digests_sql(),
     "op13_spelling_groups": spelling.spelling_sql(),
 }
