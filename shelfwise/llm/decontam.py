@@ -240,16 +240,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_item_words: int = MIN_ITEM_WORDS) -> DataFrame:
-    """The rows of ``docs`` without an overlap, with all their columns; rows are told apart by doc_id and text."""
-    h = free_name(docs, "_text_hash")
-    bad = _find(docs, benchmark, masks, min_item_words).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    """The rows of ``docs`` without an overlap, with all their columns; rows are told apart by doc_id and text.
+
+    Null and empty texts overlap nothing, so their rows stay; a row without a
+    doc_id goes if its own text overlaps. The ids to drop are written first, so
+    that the planner sees how few they are and needn't shuffle the texts.
+    """
+    h, bad_id, bad_hash = (free_name(docs, x) for x in ("_text_hash", "_bad_id", "_bad_hash"))
+    bad = _find(docs, benchmark, masks, min_item_words).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    bad = written(bad, "contaminated")
     out = docs.withColumn(h, F.xxhash64("text"))
-    out = out.join(bad, F.col("_bad_hash").eqNullSafe(out[h]) & F.col("_bad_id").eqNullSafe(out["doc_id"].cast("long")), "left_anti")
+    out = out.join(bad, bad[bad_hash].eqNullSafe(out[h]) & bad[bad_id].eqNullSafe(out["doc_id"].cast("long")), "left_anti")
     return out.select(*docs.columns)
 
 
-def contaminated_sql(masks: tuple[str, ...] = LONG_MASKS, min_item_words: int = MIN_ITEM_WORDS) -> str:
-    """DuckDB SQL of ``contaminated`` over items of ``WINDOW`` words or more, by the words themselves; for shorter ones it needs all of ``MASKS``."""
+def contaminated_sql(min_item_words: int = MIN_ITEM_WORDS) -> str:
+    """DuckDB SQL of ``contaminated`` for items of any length, without masks: every diagonal with enough equal words."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     drop = PUNCTUATION.replace("'", "''")
 
@@ -257,16 +263,13 @@ def contaminated_sql(masks: tuple[str, ...] = LONG_MASKS, min_item_words: int =
         return (f"SELECT DISTINCT {key} AS id, list_filter(string_split_regex(translate(translate(coalesce(text, ''), '{upper}', '{lower}'), "
                 f"'{drop}', ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {table}")
 
-    def seed(src):
-        return " UNION ALL ".join(
-            f"SELECT id, {k} AS m, i, {' || chr(32) || '.join(f'ws[i + {j + 1}]' for j, b in enumerate(mask) if b == '1')} AS s "
-            f"FROM (SELECT id, ws, unnest(range(len(ws) - {len(mask) - 1})) AS i FROM {src})" for k, mask in enumerate(masks))
-
     return f"""
 WITH d AS ({words('documents', 'doc_id')}),
 b AS (SELECT * FROM ({words('benchmark', 'item_id')}) WHERE len(ws) >= {min_item_words}),
-ds AS ({seed('d')}), bs AS ({seed('b')}),
-g AS (SELECT DISTINCT ds.id AS doc, bs.id AS item, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
+ds AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+bs AS (SELECT id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM b),
+g AS (SELECT ds.id AS doc, bs.id AS item, ds.i - bs.i AS shift FROM ds JOIN bs USING (w) GROUP BY doc, item, shift
+      HAVING 100 * count(*) >= {SAME_PERCENT} * least({WINDOW}, any_value(n))),
 p AS (SELECT doc, item, shift, least({WINDOW}, len(b.ws)) AS win, unnest(range(greatest(0, -shift), least(len(b.ws), len(d.ws) - shift))) AS i,
   d.ws AS dw, b.ws AS bw FROM g JOIN d ON d.id = doc JOIN b ON b.id = item),
 e AS (SELECT doc, item, shift, win, i, (dw[shift + i + 1] = bw[i + 1])::INT AS same FROM p),

@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import free_name
+
 MAX_TABLE = 1_000_003
 
 
@@ -70,12 +72,12 @@ def place(df: DataFrame, key: str, shards: list[str], size: int | None = None,
     table = fill_table(shards, size)
     text = F.concat_ws(",", F.lit(",".join(map(str, table))))
     names = F.array(*[F.lit(s) for s in shards])
-    lookup = (df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(text, ",")).alias("_slot", "_i"))
-              .select(F.col("_slot").cast("long"), F.get(names, F.col("_i").cast("int")).alias("_shard")))
-    out = df.drop(slot_col, shard_col)
-    return (out.withColumn("_slot", key_slot(F.col(key), len(table))).join(F.broadcast(lookup), "_slot")
-            .withColumnRenamed("_slot", slot_col).withColumnRenamed("_shard", shard_col)
-            .select(*out.columns, slot_col, shard_col))
+    slot, shard = free_name(df, "_slot"), free_name(df, "_shard")
+    lookup = (df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(text, ",")).alias("at", "i"))
+              .select(F.col("at").cast("long").alias(slot), F.get(names, F.col("i").cast("int")).alias(shard)))
+    kept = [c for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    out = df.withColumn(slot, key_slot(F.col(key), len(table))).select(*kept, slot)
+    return out.join(F.broadcast(lookup), slot).select(*kept, F.col(slot).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def sharding_sql(shards: list[str], size: int, source: str = "documents", key: str = "doc_id") -> str:

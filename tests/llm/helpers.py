@@ -4,7 +4,9 @@ import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns named like those that the operators add or use inside.
-CLASH = DOCS + ", fp string, _uid string, _fp string, slot string, shard string, length string, kept string, score string, _text_hash string"
+CLASHING = ("fp _uid _fp slot shard length kept score _text_hash _slot _shard _bad_id _bad_hash _h _r _line_doc _line_drops n_lines "
+            "segment item hash doc bucket block first path d h l").split()
+CLASH = DOCS + "".join(f", {c} string" for c in CLASHING)
 
 
 def prose(seed, n=60, words=400):
@@ -25,7 +27,7 @@ def rows():
 
 
 def clashing(spark):
-    return spark.createDataFrame([r + ("x",) * 9 for r in rows()], CLASH)
+    return spark.createDataFrame([r + ("x",) * len(CLASHING) for r in rows()], CLASH)
 
 
 def docs(spark):

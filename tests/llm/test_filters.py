@@ -62,24 +62,35 @@ def test_repetition_against_lists(spark):
 
 # ---- decontamination
 
-def slow_overlaps(doc, item, masks=decontam.MASKS):
-    """Rows (doc_word, item_word, n_words, n_same) by every diagonal."""
-    d, b = decontam.words_of(doc), decontam.words_of(item)
+def numbered(texts):
+    """Each text's words as numbers, equal for equal words."""
+    number = {}
+    return [np.array([number.setdefault(w, len(number)) for w in decontam.words_of(t)], dtype=np.int64) for t in texts]
+
+
+def diagonal_overlaps(d, b):
+    """Rows (doc_word, item_word, n_words, n_same) of word numbers, by every diagonal and without a mask."""
     if len(b) < decontam.MIN_ITEM_WORDS:
         return []
-    masks = [m for m in masks] + (["1" * len(b)] if len(b) < max(map(len, masks)) else [])
+    w = min(decontam.WINDOW, len(b))
+    # same[s, i]: is word i of the item that of the document, with the item's first word at place s - len(b)?
+    padded = np.concatenate([np.full(len(b), -1), d, np.full(len(b), -1)])
+    same = np.lib.stride_tricks.sliding_window_view(padded, len(b))[:len(d) + len(b)] == b
+    some = np.flatnonzero(100 * same.sum(axis=1) >= decontam.SAME_PERCENT * w)
     out = []
-    for shift in range(-len(b), len(d)):
-        same = {i: d[shift + i] == b[i] for i in range(len(b)) if 0 <= shift + i < len(d)}
-        if any(all(same.get(i + j, False) if c == "1" else i + j in same for j, c in enumerate(m)) for m in masks for i in same):
-            w = min(decontam.WINDOW, len(b))
-            cover = {i + j for i in same if all(i + j in same for j in range(w))
-                     and 100 * sum(same[i + j] for j in range(w)) >= decontam.SAME_PERCENT * w for j in range(w)}
-            if cover:
-                out.append((shift + min(cover), min(cover), len(cover), sum(same[i] for i in cover)))
+    for s in some.tolist():
+        shift = s - len(b)
+        lo, hi = max(0, -shift), min(len(b), len(d) - shift)
+        cover = {i + j for i in range(lo, hi - w + 1) if 100 * same[s, i:i + w].sum() >= decontam.SAME_PERCENT * w for j in range(w)}
+        if cover:
+            out.append((shift + min(cover), min(cover), len(cover), int(sum(same[s, i] for i in cover))))
     return out
 
 
+def slow_overlaps(doc, item):
+    return diagonal_overlaps(*numbered([doc, item]))
+
+
 def leaky(spark):
     rng = random.Random(4)
     items = [(i, helpers.prose(900 + i, n)) for i, n in enumerate((8, 10, 12, 16, 25, 60, 200))]

@@ -1,23 +1,23 @@
 from collections import Counter
 
 import corpus_pipeline
-from shelfwise.llm import decontam, langid, packing, repetition
+from shelfwise.llm import langid
 from shelfwise.llm.queries import TOKENIZER
 from tests.llm import helpers
 from tests.llm.test_dedup import roots, slow_fingerprint
-from tests.llm.test_filters import slow_measure, slow_overlaps
+from tests.llm.test_filters import diagonal_overlaps, numbered, slow_measure
 from tests.llm.test_tokens import check_packing, plain
 
-SF001 = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages_against_lists(spark):
     """Each stage on what the one before kept, against its plain form."""
     from tokenizers import Tokenizer
-    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, [docs]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept.append(stage(spark, kept[-1], SF001))
+        kept.append(stage(spark, kept[-1], SF))
         assert kept[-1].columns == columns, name
     kept[1:] = [spark.createDataFrame(k.collect(), docs.schema) for k in kept[1:]]
     rows = [[tuple(r) for r in k.select("doc_id", "text").collect()] for k in kept]
@@ -32,18 +32,14 @@ def test_stages_against_lists(spark):
     for (d, _), p in zip(rows[2], prints):
         first[root[p]] = min(d, first.get(root[p], d))
     assert sorted(d for d, _ in rows[3]) == sorted(first.values())
-    items = [r["text"] for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
-    words = [set(decontam.words_of(b)) for b in items]
-    leaks = set()
-    for d, t in rows[3]:
-        own = set(decontam.words_of(t))
-        if any(len(own & w) > 4 and slow_overlaps(t, b) for b, w in zip(items, words)):
-            leaks.add(d)
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    words = numbered([t for _, t in rows[3]] + items)
+    leaks = {d for (d, _), own in zip(rows[3], words) if any(diagonal_overlaps(own, b) for b in words[len(rows[3]):])}
     assert leaks and sorted(d for d, _ in rows[4]) == sorted(d for d, _ in rows[3] if d not in leaks)
 
     tok = Tokenizer.from_file(TOKENIZER)
     want = Counter((d, tuple(plain(tok, t) + [2])) for d, t in rows[4])
-    check_packing(corpus_pipeline.STAGES[-1][1](spark, kept[4], SF001).collect(), want, 1024)
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect(), want, 1024)
 
 
 def test_run_is_its_stages(spark):
