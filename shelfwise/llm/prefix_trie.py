@@ -218,8 +218,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["length", "h", "l", "ends"])
 
 
-def build(strings: DataFrame, shares: tuple[int, ...] = (1, 4, 16)) -> ZFastTrie:
-    """The trie of all ``strings``, inserted in batches of 1/16, 3/16 and 12/16 of them (by ``shares``)."""
+def build(strings: DataFrame, shares: tuple[int, ...] = (1, 8)) -> ZFastTrie:
+    """The trie of all ``strings``, inserted in batches that end at ``shares`` of the last share: 1/8 and 7/8 of them."""
     trie, low = ZFastTrie(strings.sparkSession), 0
     part = F.pmod(F.xxhash64("first"), F.lit(shares[-1]))
     for high in shares:
@@ -259,7 +259,7 @@ def expanded(trie: ZFastTrie, strings: DataFrame, convs: DataFrame) -> DataFrame
     steps = steps.select("x.d", "x.h", "x.l", F.least("own", "x.after").alias("once"),
                          F.when(F.col("x.conv_id") == F.col("first"), F.when(F.col("i") > 0, F.get("way", F.col("i") - 1)["conv_id"])).alias("above"))
     once = steps.groupBy(key).agg(F.sum("once").alias("once"), F.max("above").alias("above"))
-    stops = ends_digest(convs).withColumnRenamed("length", "d")
+    stops = written(ends_digest(convs).withColumnRenamed("length", "d"), "trie-stops")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     rows = nodes.select(*key, "parent", "tc", "edge").join(numbers, key).join(once, key).join(kids, key, "left").join(stops, key, "left")
     # The code points above each depth of the edge.
@@ -275,11 +275,11 @@ def expanded(trie: ZFastTrie, strings: DataFrame, convs: DataFrame) -> DataFrame
         F.when(~F.col("last"), F.lit(1).cast("long")).otherwise(F.coalesce("n_children", F.lit(0).cast("long"))).alias("n_children"), "n_leaves",
         ((F.col("n_convs") - 1) * on_edge + F.col("spent") - F.col("once")).alias("saved_tokens"),
         F.when(F.col("last"), F.coalesce("ends", none)).otherwise(none).alias("ends_sha256"))
-    root = (top.where("conv_id IS NOT NULL").withColumn("d", F.lit(0)).withColumn("h", F.lit(0).cast("long")).withColumn("l", F.lit(0).cast("long"))
-            .join(kids, key, "left").join(stops, key, "left")
-            .select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
-                    F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), "n_leaves", "saved_tokens",
-                    F.coalesce("ends", none).alias("ends_sha256")))
+    below = kids.where("d = 0").agg(F.max("n_children")).first()[0] or 0
+    turnless = stops.where("d = 0").agg(F.max("ends")).first()[0]
+    root = top.where("conv_id IS NOT NULL").select(
+        "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs",
+        F.lit(below).cast("long").alias("n_children"), "n_leaves", "saved_tokens", (F.lit(turnless) if turnless else none).alias("ends_sha256"))
     return rows.unionByName(root)
 
 
