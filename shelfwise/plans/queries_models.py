@@ -11,6 +11,7 @@ from shelfwise.operators import cf as CF
 from shelfwise.operators import evaluation as E
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import latent as LT
+from shelfwise.operators import neural as NN
 from shelfwise.operators import views as VW
 from shelfwise.operators.content import content_recommend, fit_content, item_vectors, profile_top_books, profiles_long, user_profiles
 from shelfwise.operators.encode import encode_items, hashed_tfidf_encode
@@ -30,6 +31,10 @@ def _latent(c):
     return c.memo("latent", lambda: LT.latent_train(c.interactions))
 
 
+def _neural(c):
+    return c.memo("neural", lambda: NN.neural_train(c.interactions))
+
+
 @register("model_info", sql("""
 SELECT (SELECT count(DISTINCT user_id) FROM store) AS n_users, (SELECT count(DISTINCT book_id) FROM store) AS n_items,
        (SELECT count(*) FROM store WHERE total <> 0) AS nnz, (SELECT count(DISTINCT book_id) FROM catalog) AS n_books,
@@ -199,6 +204,70 @@ def q_latent_evaluate(c):
     return LT.latent_evaluate(LT.latent_train(train), test, (5, 10))
 
 
+@register("neural_train")
+def q_neural_train(c):
+    """I6 with the network: RMSE on the held-out pairs after each round, the linear head's at round 0."""
+    rows = list(enumerate(float(x) for x in _neural(c).history))
+    return c.spark.createDataFrame(rows, "round int, rmse double")
+
+
+@register("neural_score")
+def q_neural_score(c):
+    """I7 with the network: score of every observed (user, book) pair."""
+    from shelfwise.operators.interactions import agg_strength
+    return _neural(c).predict(agg_strength(c.interactions)).select("user_id", "book_id", "strength", "prediction")
+
+
+@register("neural_recommend")
+def q_neural_recommend(c):
+    """I8 with the network: top-10 per user by branch and bound, training pairs excluded before the cut."""
+    return NN.neural_recommend(_neural(c), 10)
+
+
+@register("neural_bounds")
+def q_neural_bounds(c):
+    """I8 with the network: the numbers of pairs that the bounds let through and passed over."""
+    return NN.neural_recommend(_neural(c), 10, stats=True)[1]
+
+
+@register("neural_evaluate")
+def q_neural_evaluate(c):
+    """I9 with the network: MSE / RMSE beside the linear head's, hit rate and coverage on the temporal test split."""
+    split = E.temporal_split(c.interactions, 0.2)
+    train = split.where(F.col("split") == "train").drop("split")
+    test = split.where(F.col("split") == "test").drop("split")
+    return NN.neural_evaluate(NN.neural_train(train), test)
+
+
+@register("recommender_invariants", sql("""
+SELECT model, users, rows, CAST(0 AS BIGINT) AS seen_rows, CAST(0 AS BIGINT) AS rank_faults, CAST(0 AS BIGINT) AS order_faults
+FROM (VALUES ('als'), ('latent'), ('neural')) v(model), (
+  SELECT CAST(count(*) AS BIGINT) AS users, CAST(sum(n) AS BIGINT) AS rows FROM (
+    SELECT t.user_id, least(10, (SELECT count(DISTINCT book_id) FROM pairs WHERE s <> 0)
+                                - count(*) FILTER (WHERE t.book_id IN (SELECT book_id FROM pairs WHERE s <> 0))) AS n
+    FROM pairs t GROUP BY t.user_id HAVING bool_or(t.s <> 0)) x WHERE n > 0) y""".replace(
+    "pairs", "(SELECT user_id, book_id, sum(strength) AS s FROM inter GROUP BY user_id, book_id)"), "inter"))
+def q_recommender_invariants(c):
+    """I1/I2/I6-I8 by what must hold: a list for every user with as many books as are left, none seen, dense ranks, falling scores."""
+    store, items, profiles, seen = c.content
+    lists = {"als": CF.als_recommend(_cf(c), seen, 10), "latent": LT.latent_recommend(_latent(c), 10),
+             "neural": NN.neural_recommend(_neural(c), 10)}
+    out = None
+    for model, recs in lists.items():
+        recs = recs.checkpoint(eager=True)
+        known = recs.join(seen.select("user_id", "book_id"), ["user_id", "book_id"], "left_semi").count()
+        users = recs.groupBy("user_id").agg(
+            F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"),
+            F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("x"))  # ten rows at most
+        falls = F.size(F.filter(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.get("x", i)["score"] > F.get("x", i - 1)["score"]))
+        row = users.agg(F.count("*").alias("users"), F.sum("n").alias("rows"), F.lit(known).cast("bigint").alias("seen_rows"),
+                        F.sum(((F.col("n") != F.col("last")) | (F.col("n") != F.col("ranks"))).cast("bigint")).alias("rank_faults"),
+                        F.sum(F.when(F.col("n") > 1, falls).otherwise(0).cast("bigint")).alias("order_faults"))
+        row = row.select(F.lit(model).alias("model"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("cross_validate")
 def q_cross_validate(c):
     """5-fold cross-validation of the latent model."""
