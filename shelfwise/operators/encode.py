@@ -1,9 +1,11 @@
 """Item text -> vector encoders (I3) and the pluggable batch-model hook.
 
 The pre-trained sentence encoder is not available offline; the options are:
-the precomputed ``item_embeddings`` table, a built-in hashed TF-IDF encoder
-over the normalised document text, or any numpy batch model through
-``predict_batch_udf`` (Arrow batches, vectorised).
+the precomputed ``item_embeddings`` table, dense vectors learned from the
+catalogue's own texts (``textsvd``: randomised SVD of TF-IDF, whose projection
+is saved with a model and encodes new books), or any numpy batch model through
+``predict_batch_udf`` (Arrow batches, vectorised). ``hashed_tfidf_encode`` gives
+the plain hashed TF-IDF rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from shelfwise.functions.text import build_document
 from shelfwise.functions.vectors import l2_normalize
 from shelfwise.operators.content import item_vectors
+from shelfwise.operators.textsvd import fit_projection, project
 
 
 def hashed_tfidf_encode(books: DataFrame, num_features: int = 1 << 12) -> DataFrame:
@@ -35,13 +38,13 @@ def encode_items(books: DataFrame, item_embeddings: DataFrame | None = None, *,
     """(book_id, embedding) unit vectors of the catalogue's books, ready for ``user_profiles`` and the scorers.
 
     Form (a) joins a table of vectors, (c) runs a batch model over the built
-    documents, and without either (b) the built-in encoder is used.
+    documents, and without either (b) vectors are learned from the books' documents.
     """
     if item_embeddings is not None:
         return item_vectors(item_embeddings, books, normalize=True)
     if make_predict_fn is not None:
         return l2_normalize(model_encode(books, make_predict_fn, dim, batch_size), "embedding")
-    return hashed_tfidf_encode(books)
+    return project(books, fit_projection(books.select(build_document().alias("document"))))
 
 
 def model_encode(books: DataFrame, make_predict_fn, dim: int, batch_size: int = 32) -> DataFrame:

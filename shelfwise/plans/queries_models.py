@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import build_document
 from shelfwise.functions.vectors import dot, l2_normalize
 from shelfwise.operators import cf as CF
 from shelfwise.operators import evaluation as E
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import latent as LT
 from shelfwise.operators import neural as NN
+from shelfwise.operators import textsvd as SV
 from shelfwise.operators import views as VW
 from shelfwise.operators.content import content_recommend, fit_content, item_vectors, profile_top_books, profiles_long, user_profiles
 from shelfwise.operators.encode import encode_items, hashed_tfidf_encode
@@ -299,9 +301,55 @@ def q_content_encode_table(c):
         "book_id", F.col("pos").cast("bigint").alias("pos"), "value")
 
 
+def _projection(c):
+    return c.memo("projection", lambda: SV.fit_projection(c.books.select(build_document().alias("document"))))
+
+
+@register("content_encode_svd")
+def q_content_encode_svd(c):
+    """I3 form (b): dense unit vectors of the live books, learned from their texts, long form."""
+    v = SV.project(c.books, _projection(c))
+    return v.select("book_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "book_id", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
+@register("content_encode_model")
+def q_content_encode_model(c):
+    """I3 form (c) and U1: the same vectors by the saved projection, loaded by each worker for ``predict_batch_udf``, long form."""
+    base = scratch_path(c.spark, f"models-{uuid.uuid4().hex[:8]}")
+    path = TR.save_models(c.spark, base, {"projection": _projection(c).table(c.books)}, {"dim": _projection(c).dim})
+    v = SV.model_vectors(c.books, f"{path}/projection")
+    return v.select("book_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "book_id", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
+@register("content_encode_invariants", sql("""
+SELECT CAST(count(*) AS BIGINT) AS books, CAST(count(*) AS BIGINT) AS unit_vectors, CAST(count(*) AS BIGINT) AS same_by_model,
+       CAST(0 AS DOUBLE) AS orthogonality_gap, CAST(0 AS BIGINT) AS singular_faults
+FROM catalog""", "catalog"))
+def q_content_encode_invariants(c):
+    """I3/U1 by what must hold: a unit vector for each live book, the same from the saved model, an orthonormal projection, and
+    over all books again: no projected column shorter than its singular value, the first one equal to it, all together at most the rows' length."""
+    import numpy as np
+    projection = _projection(c)
+    base = scratch_path(c.spark, f"models-{uuid.uuid4().hex[:8]}")
+    path = TR.save_models(c.spark, base, {"projection": projection.table(c.books)}, {"dim": projection.dim})
+    one, two = SV.project(c.books, projection), SV.model_vectors(c.books, f"{path}/projection").withColumnRenamed("embedding", "other")
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    gap = F.aggregate(F.zip_with("embedding", "other", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    again = SV.column_lengths(c.books.select(build_document().alias("document")), projection)
+    faults = int((again < projection.singular * (1 - 1e-9)).sum()) + int(abs(again[0] / projection.singular[0] - 1) > 1e-6)
+    energy = float((again ** 2).sum())
+    flat = float(np.abs(projection.components.T @ projection.components - np.eye(projection.dim)).max())
+    return one.join(two, "book_id").agg(
+        F.count("*").alias("books"), F.sum((F.abs(length - 1) < 1e-9).cast("bigint")).alias("unit_vectors"),
+        F.sum((gap < 1e-9).cast("bigint")).alias("same_by_model"), F.lit(flat).alias("orthogonality_gap"),
+        (F.lit(faults) + F.when(F.lit(energy) <= F.count("*") * (1 + 1e-9), 0).otherwise(1)).cast("bigint").alias("singular_faults"))
+
+
 @register("content_recommend_encoded")
 def q_content_recommend_encoded(c):
-    """I3 form (b) to L1c: text -> vectors -> profiles -> the 10 best unseen books per user."""
+    """I3 form (b) to L1c: text -> learned dense vectors -> profiles -> the 10 best unseen books per user."""
     items = encode_items(c.books)
     store, _, _, seen = c.content
     return content_recommend(user_profiles(store, items), items, seen, 10)
