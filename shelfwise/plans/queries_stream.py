@@ -14,6 +14,8 @@ from shelfwise.plans.registry import register
 from shelfwise.session import scratch_path
 from shelfwise.sources.testdata import FEEDBACK_START
 from shelfwise.streaming import feedback as FB
+from shelfwise.streaming import keyed as KS
+from shelfwise.streaming.intake import parse_feedback
 
 _CUTOFF = f"TIMESTAMP '{FEEDBACK_START}'"
 
@@ -179,3 +181,58 @@ def q_feedback_stream_profiles(c):
 def q_feedback_stream_popularity(c):
     """Popularity with the streaming job's events; equals popularity_increment."""
     return FB.read_popularity(c.spark, _streamed(c), popularity(_fb(c).base))
+
+
+def _json_files(c, run: str) -> str:
+    """The feedback events as files of JSON lines, a day or more in each."""
+    events = c.src.feedback.select(*[F.col(x.name).cast(x.dataType) for x in FB.FEEDBACK_SCHEMA.fields])
+    lines = events.select(F.to_json(F.struct(*[F.col(f.name).cast("string") if f.name == "ts" else F.col(f.name) for f in FB.FEEDBACK_SCHEMA.fields]))
+                          .alias("value"), F.to_date("ts").alias("day"))
+    lines.repartition("day").select("value").write.text(f"{run}/source")
+    return f"{run}/source"
+
+
+@register("feedback_json_intake", sql("SELECT event_id, user_id, book_id, event, strength, reject_reason FROM fs", extra=_FB_BLOCKS))
+def q_feedback_json_intake(c):
+    """A6 as JSON lines: each line's event with its strength or the reason for its rejection; equals feedback_strength."""
+    source = _json_files(c, scratch_path(c.spark, f"intake-{uuid.uuid4().hex[:8]}"))
+    return FB.feedback_strength(parse_feedback(c.spark.read.text(source))).select(
+        "event_id", "user_id", "book_id", "event", "strength", "reject_reason")
+
+
+def _keyed(c) -> str:
+    """The table folder of the keyed job, run over JSON lines and stopped in the middle: a second run goes on from the checkpoint."""
+    f = _fb(c)
+    run = scratch_path(c.spark, f"keyed-{uuid.uuid4().hex[:8]}")
+    args = dict(files_per_trigger=2, base_details=FB.type_details(f.base), items=item_vectors(c.src.item_embeddings, c.live), json=True)
+    source, half = _json_files(c, run), f"{run}/half"
+    store, path = FB._fs(c.spark, source)
+    files = sorted(s.getPath().toString() for s in store.listStatus(path) if s.getPath().getName().startswith("part-"))
+    for part in (files[:len(files) // 2], files[len(files) // 2:]):
+        store.mkdirs(FB._fs(c.spark, half)[1])
+        for file in part:
+            store.rename(FB._fs(c.spark, file)[1], FB._fs(c.spark, f"{half}/{file.rsplit('/', 1)[1]}")[1])
+        for query in KS.keyed_stream(c.spark, half, f"{run}/table", f"{run}/checkpoint", **args):
+            query.awaitTermination()
+    return f"{run}/table"
+
+
+@register("feedback_keyed_stream", sql("SELECT * FROM nstore", extra=_FB_BLOCKS))
+def q_feedback_keyed_stream(c):
+    """J1/J2 with keyed state, over JSON lines and a restart in the middle; equals feedback_latest."""
+    return FB.apply_latest(FB.type_details(_fb(c).base), FB.read_latest(c.spark, _keyed(c)))
+
+
+@register("feedback_keyed_profiles", PROFILE_REFRESH)
+def q_feedback_keyed_profiles(c):
+    """J3 from sums kept by changes; equals profile_refresh."""
+    f = _fb(c)
+    items = item_vectors(c.src.item_embeddings, c.live)
+    start = KS.base_sums(FB.type_details(f.base), items)
+    return profiles_long(KS.read_keyed_profiles(c.spark, _keyed(c), start, user_profiles(interaction_store(f.base), items)))
+
+
+@register("feedback_keyed_popularity", POPULARITY_INCREMENT)
+def q_feedback_keyed_popularity(c):
+    """J4 from the keyed job's events; equals popularity_increment."""
+    return FB.read_popularity(c.spark, _keyed(c), popularity(_fb(c).base))

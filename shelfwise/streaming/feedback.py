@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from shelfwise.operators.content import user_profiles
 from shelfwise.operators.interactions import TYPES
 from shelfwise.operators.ranking import global_row_number
+from shelfwise.streaming.intake import parse_feedback
 
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -27,25 +28,32 @@ FEEDBACK_SCHEMA = T.StructType([
     T.StructField("rating_value", T.IntegerType()),
 ])
 
-# Event names accepted by the intake, and the rejection texts.
+# Event names accepted by the intake.
 EVENTS = ("rating", "favorite", "history")
-REJECT_EVENT = "event must be one of rating, favorite, history"
-REJECT_RANGE = "rating_value must be within 0-5"
-REJECT_RATING = "rating_value (1-5) is required for 'rating' event"
+# Why an event is rejected.
+REJECT_EVENT = "unknown_event"
+REJECT_RANGE = "rating_out_of_range"
+REJECT_RATING = "rating_missing"
 DEFAULT_BUFFER = 100
 
 
 def feedback_strength(events: DataFrame) -> DataFrame:
-    """(event_id, user_id, book_id, event, strength, reject_reason); rejects have NULL strength."""
+    """(event_id, user_id, book_id, event, strength, reject_reason); rejects have NULL strength.
+
+    Events of the JSON intake keep their line as ``raw``; what it found wrong comes before the rules here.
+    """
     v = F.col("rating_value")
     reason = (F.when(~F.col("event").isin(*EVENTS) | F.col("event").isNull(), F.lit(REJECT_EVENT))
               .when(v.isNotNull() & ((v < 0) | (v > 5)), F.lit(REJECT_RANGE))
               .when((F.col("event") == "rating") & (v.isNull() | (v < 1)), F.lit(REJECT_RATING)))
+    more = []
+    if "intake_reason" in events.columns:
+        reason, more = F.coalesce("intake_reason", reason), ["raw"]
     strength = (F.when(F.col("event") == "rating", v.cast("double"))
                 .when(F.col("event") == "favorite", F.when(v == 0, F.lit(0.0)).otherwise(F.lit(5.0)))
                 .otherwise(F.lit(1.0)))
     return events.select("event_id", "ts", "user_id", "book_id", "event",
-                         F.when(reason.isNull(), strength).alias("strength"), reason.alias("reject_reason"))
+                         F.when(reason.isNull(), strength).alias("strength"), reason.alias("reject_reason"), *more)
 
 
 def valid_events(scored: DataFrame) -> DataFrame:
@@ -226,19 +234,25 @@ def write_epoch(table: str, base_details: DataFrame | None = None, items: DataFr
     return write
 
 
+def feedback_source(spark: SparkSession, source_dir: str, files_per_trigger: int | None = None, json: bool = False) -> DataFrame:
+    """A stream of the feedback files in a folder, Parquet or JSON lines."""
+    src = spark.readStream
+    if files_per_trigger is not None:
+        src = src.option("maxFilesPerTrigger", files_per_trigger)
+    return parse_feedback(src.text(source_dir)) if json else src.schema(FEEDBACK_SCHEMA).parquet(source_dir)
+
+
 def feedback_stream(spark: SparkSession, source_dir: str, table: str, checkpoint: str,
                     files_per_trigger: int | None = None, available_now: bool = True,
-                    base_details: DataFrame | None = None, items: DataFrame | None = None):
+                    base_details: DataFrame | None = None, items: DataFrame | None = None, json: bool = False):
     """Stream feedback files -> validate -> change log, profiles and popularity in ``table``.
 
     The query keeps no state: a batch is reduced to its newest row per key and
     readers merge epochs. ``available_now`` processes everything present (the
     forced flush); otherwise the query keeps running on a processing-time trigger.
+    ``json`` reads JSON lines instead of Parquet.
     """
-    src = spark.readStream.schema(FEEDBACK_SCHEMA)
-    if files_per_trigger is not None:
-        src = src.option("maxFilesPerTrigger", files_per_trigger)
-    w = (src.parquet(source_dir).writeStream.foreachBatch(write_epoch(table, base_details, items))
+    w = (feedback_source(spark, source_dir, files_per_trigger, json).writeStream.foreachBatch(write_epoch(table, base_details, items))
          .option("checkpointLocation", checkpoint))
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
