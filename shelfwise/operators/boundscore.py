@@ -1,7 +1,8 @@
 """Exact top-k under any score that can bound itself over a box of items (branch and bound).
 
 Items are clustered and dealt to cells of bounded size; a cell has the least and
-greatest value of each coordinate of its items. Queries are dealt to groups and
+greatest value of each coordinate of its items, their centre and the radius
+around it. Queries are dealt to groups and
 stream cells past them, like in ``blockscore``. Before a cell is scored, the
 score's upper bound over its box is computed for all queries of a block at
 once, and only queries whose k-th best score so far doesn't exceed the bound
@@ -9,12 +10,13 @@ meet the cell's items. Cells come in the order of their bound for a middle
 query, so that the k-th best scores rise early.
 
 The score object has ``users(vectors)``, ``items(vectors)``, ``pairs(users,
-items)`` and ``bound(users, low, high)``, as ``neural.Head`` does.
+items)`` and ``bound(users, boxes)``, as ``neural.Head`` and ``Dot`` do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,46 @@ MAX_CLUSTERS = 1024
 USERS = 64                  # queries scored against a cell at once
 BOUND_CELLS = 64            # cells whose bounds are computed at once
 SLACK = 1e-9                # bounds are sums in another order than scores
+BOX = ("low", "high", "centre", "radius")
 SCHEMA = "lid bigint, rid bigint, score double, scored bigint, skipped bigint"
 
 
+class Boxes(NamedTuple):
+    """Cells' boxes and balls, a row each; a radius is a list of one number."""
+    low: np.ndarray
+    high: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, rows: slice = slice(None)) -> Boxes:
+        return cls(*(_lists(batch.column(c), np.float64)[1].reshape(batch.num_rows, -1)[rows] for c in BOX))
+
+    def part(self, rows: slice) -> Boxes:
+        return Boxes(*(x[rows] for x in self))
+
+
+class Dot:
+    """The dot product: at most query . centre + |query| * radius (Cauchy-Schwarz), and at most what the box allows."""
+
+    def users(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return p, np.linalg.norm(p, axis=1)
+
+    def items(self, q: np.ndarray) -> np.ndarray:
+        return q
+
+    def pairs(self, users: tuple[np.ndarray, np.ndarray], items: np.ndarray) -> np.ndarray:
+        return users[0] @ items.T
+
+    def bound(self, users: tuple[np.ndarray, np.ndarray], boxes: Boxes) -> np.ndarray:
+        p, norm = users
+        ball = p @ boxes.centre.T + norm[:, None] * boxes.radius[:, 0]
+        box = p @ ((boxes.low + boxes.high) / 2).T + np.abs(p) @ ((boxes.high - boxes.low) / 2).T
+        return np.minimum(ball, box)
+
+
 def item_cells(items: DataFrame, id_col: str, vec_col: str, cell_items: int = CELL_ITEMS, seed: int = 42) -> DataFrame:
-    """(cell, ids, vectors, low, high): items of a cluster, in cells of about ``cell_items``; ids ascend, vectors lie one after the other."""
+    """(cell, ids, vectors, low, high, centre, radius): items of a cluster, in cells of about ``cell_items``; ids ascend, vectors lie one after the other."""
     rows = items.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.withColumn("v", array_to_vector("vec")).checkpoint(eager=True)
     n = rows.count()
@@ -49,9 +86,11 @@ def item_cells(items: DataFrame, id_col: str, vec_col: str, cell_items: int = CE
     sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / cell_items).alias("slices"))
     rows = rows.join(F.broadcast(sizes), "cluster").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
     cells = rows.groupBy("cluster", "slice").agg(
-        F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("x"), Summarizer.min(F.col("v")).alias("low"), Summarizer.max(F.col("v")).alias("high"))
-    return cells.select(F.xxhash64("cluster", "slice").alias("cell"), F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vectors"),
-                        vector_to_array("low").alias("low"), vector_to_array("high").alias("high"))
+        F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("x"), Summarizer.min(F.col("v")).alias("low"), Summarizer.max(F.col("v")).alias("high"),
+        Summarizer.mean(F.col("v")).alias("centre"))
+    cells = cells.select(F.xxhash64("cluster", "slice").alias("cell"), "x", *[vector_to_array(c).alias(c) for c in BOX[:3]])
+    off = F.transform("x", lambda i: F.sqrt(F.aggregate(F.zip_with(i["vec"], "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)))
+    return cells.select("cell", F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vectors"), *BOX[:3], F.array(F.array_max(off)).alias("radius"))
 
 
 class _Task:
@@ -70,13 +109,13 @@ class _Task:
         """Takes in cells, in their order."""
         ptr, ids = _lists(batch.column("ids"), np.int64)
         vectors = _lists(batch.column("vectors"), np.float64)[1].reshape(-1, self.dim)
-        low, high = (_lists(batch.column(c), np.float64)[1].reshape(-1, self.dim) for c in ("low", "high"))
+        boxes = Boxes.of(batch)
         for first in range(0, batch.num_rows, BOUND_CELLS):
             some = slice(first, min(first + BOUND_CELLS, batch.num_rows))
             for a in range(0, len(self.ids), USERS):
                 rows = slice(a, min(a + USERS, len(self.ids)))
                 mine = tuple(x[rows] for x in self.users)
-                bound = self.score.bound(mine, low[some], high[some])
+                bound = self.score.bound(mine, boxes.part(some))
                 for c in range(bound.shape[1]):
                     at = slice(ptr[first + c], ptr[first + c + 1])
                     # Equal scores go to the smaller id, so a cell that only reaches the k-th best counts too.
@@ -162,17 +201,16 @@ def bounded_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame,
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            low, high = (_lists(x.column(c), np.float64)[1].reshape(x.num_rows, -1) for c in ("low", "high"))
-            bound = score.bound(order.value, low, high)[0] if x.num_rows else np.zeros(0)
+            bound = score.bound(order.value, Boxes.of(x))[0] if x.num_rows else np.zeros(0)
             yield x.append_column("first", pa.array(-bound, pa.float64()))
 
-    R = cells.mapInArrow(ordered, "cell bigint, ids array<bigint>, vectors array<double>, low array<double>, high array<double>, first double")
+    R = cells.mapInArrow(ordered, "cell bigint, ids array<bigint>, vectors array<double>, " + "".join(f"{c} array<double>, " for c in BOX) + "first double")
     groups = max(1, -(-size // GROUP_BYTES))
     # Few queries: their groups are cut further, as a split of the cells would hide the best ones from most tasks.
     groups = max(groups, min(n, spark.sparkContext.defaultParallelism))
-    L = L.select("id", "ids", "vectors", none.cast("array<double>").alias("low"), none.cast("array<double>").alias("high"), F.lit(0.0).alias("first"),
-                 F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("task"))
-    R = R.select(F.col("cell").alias("id"), "ids", "vectors", "low", "high", "first", F.lit(1).alias("side"),
+    L = L.select("id", "ids", "vectors", *[none.cast("array<double>").alias(c) for c in BOX], F.lit(0.0).alias("first"), F.lit(0).alias("side"),
+                 F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("task"))
+    R = R.select(F.col("cell").alias("id"), "ids", "vectors", *BOX, "first", F.lit(1).alias("side"),
                  F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("task"))
     rows = L.unionByName(R).repartitionById(groups, "task").sortWithinPartitions("task", "side", "first", "id")
     found = rows.mapInArrow(_task_fn(score, int(k)), SCHEMA).checkpoint(eager=True)
@@ -181,4 +219,4 @@ def bounded_topk(left: DataFrame, left_id: str, left_vec: str, right: DataFrame,
     return ranked.select(F.col("lid").alias(a), F.col("rank").alias(r), F.col("rid").alias(b), F.col("score").alias(s)), counts
 
 
-__all__ = ["bounded_topk", "item_cells"]
+__all__ = ["Boxes", "Dot", "bounded_topk", "item_cells"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import l2_normalize
 from shelfwise.operators.blockscore import block_topk, exact_topk
+from shelfwise.operators.boundscore import Dot, bounded_topk
 from shelfwise.operators.interactions import interaction_store, seen_pairs
 from shelfwise.operators.ranking import topk_per_key
 
@@ -46,11 +47,16 @@ def profiles_long(profiles: DataFrame) -> DataFrame:
         .select("user_id", F.col("pos").cast("bigint").alias("pos"), "value")
 
 
-def content_recommend(profiles: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10) -> DataFrame:
+def content_recommend(profiles: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10, pruned: bool = False) -> DataFrame:
     """Per user, the k best unseen items by profile . item (user_id, rank, book_id, score).
 
     All items are candidates; the user's seen items are removed before the cut.
+    ``pruned`` clusters the items first and passes over cells that can't reach a
+    list: the same rows, worth it for catalogues that cost far more than a k-means.
     """
+    if pruned:
+        return bounded_topk(profiles, "user_id", "profile", items, "book_id", "embedding", Dot(), k,
+                            exclude=seen.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))[0]
     return exact_topk(profiles, "user_id", "profile", items, "book_id", "embedding", k,
                       exclude=seen.select("user_id", "book_id"), out=("user_id", "rank", "book_id", "score"))
 
@@ -66,8 +72,13 @@ def user_item_scores(profiles: DataFrame, items: DataFrame, k: int) -> DataFrame
     return ranked.select(F.col("lid").alias("user_id"), "rank", F.col("rid").alias("book_id"), "score")
 
 
-def similar_items(items: DataFrame, k: int = 10, positive_only: bool = True) -> DataFrame:
-    """Per book, the k most similar other books by dot (score > 0 by default)."""
+def similar_items(items: DataFrame, k: int = 10, positive_only: bool = True, pruned: bool = False) -> DataFrame:
+    """Per book, the k most similar other books by dot (score > 0 by default); ``pruned`` as in ``content_recommend``."""
+    if pruned:
+        own = items.select("book_id", F.col("book_id").alias("other"))
+        found = bounded_topk(items, "book_id", "embedding", items, "book_id", "embedding", Dot(), k, exclude=own,
+                             out=("book_id", "rank", "similar_book_id", "score"))[0]
+        return found.where("score > 0") if positive_only else found
     return exact_topk(items, "book_id", "embedding", items, "book_id", "embedding", k,
                       exclude_same_id=True, min_score=0.0 if positive_only else None,
                       out=("book_id", "rank", "similar_book_id", "score"))

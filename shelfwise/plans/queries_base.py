@@ -174,6 +174,13 @@ def q_content_recommend(c):
     return C.content_recommend(profiles, items, seen, 10)
 
 
+@register("content_recommend_pruned", sql(_CONTENT_REC, "prof", "emb", "seen"))
+def q_content_recommend_pruned(c):
+    """L1c by clustered cells and bounds; equals content_recommend."""
+    store, items, profiles, seen = c.content
+    return C.content_recommend(profiles, items, seen, 10, pruned=True)
+
+
 @register("user_item_scores", sql("""
 SELECT user_id, CAST(rk AS BIGINT) AS rank, book_id, round(score, 6) AS score FROM (
   SELECT p.user_id, m.book_id, list_dot_product(p.p, m.e) AS score,
@@ -200,6 +207,12 @@ def q_similar_items(c):
     return C.similar_items(C.item_vectors(c.src.item_embeddings, c.live), 10)
 
 
+@register("similar_items_pruned", sql(_SIMILAR, "emb"))
+def q_similar_items_pruned(c):
+    """L2 by clustered cells and bounds; equals similar_items."""
+    return C.similar_items(C.item_vectors(c.src.item_embeddings, c.live), 10, pruned=True)
+
+
 @register("item_item_scores", sql("""
 SELECT book_id, CAST(rk AS BIGINT) AS rank, other_id, round(score, 6) AS score FROM (
   SELECT a.book_id, b.book_id AS other_id, list_dot_product(a.e, b.e) AS score,

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import neural as N
-from shelfwise.operators.boundscore import bounded_topk, item_cells
+from shelfwise.operators.boundscore import Boxes, Dot, bounded_topk, item_cells
+from shelfwise.operators.content import content_recommend, similar_items
 from shelfwise.operators.cf import CFModel
 from shelfwise.operators.latent import LatentModel
 
@@ -36,6 +37,20 @@ def test_gradient_against_differences():
         assert grad[i] == pytest.approx((loss(head.filled(up)) - loss(head.filled(down))) / 2e-6, rel=1e-3, abs=1e-6)
 
 
+def cells_of(groups):
+    centre = [g.mean(0) for g in groups]
+    radius = [[np.linalg.norm(g - c, axis=1).max()] for g, c in zip(groups, centre)]
+    return Boxes(np.array([g.min(0) for g in groups]), np.array([g.max(0) for g in groups]), np.array(centre), np.array(radius))
+
+
+def test_dot_bounds():
+    rng = np.random.default_rng(3)
+    p, groups = rng.normal(size=(30, 8)), [rng.normal(size=8) + rng.normal(size=(n, 8)) * s for n, s in ((1, 1), (9, 0.1), (40, 2))]
+    bound = Dot().bound(Dot().users(p), cells_of(groups))
+    best = np.array([(p @ g.T).max(1) for g in groups]).T
+    assert (bound >= best - 1e-12).all() and np.allclose(bound[:, 0], best[:, 0])
+
+
 def test_block_scores_and_bounds():
     rng = np.random.default_rng(2)
     head, p, q = random_head(6, rng), rng.normal(size=(20, 6)), rng.normal(size=(40, 6))
@@ -43,7 +58,7 @@ def test_block_scores_and_bounds():
     assert np.allclose(head.pairs(head.users(p), head.items(q)), full)
     for width in (40, 5, 1):
         boxes = [q[i:i + width] for i in range(0, 40, width)]
-        bound = head.bound(head.users(p), np.array([b.min(0) for b in boxes]), np.array([b.max(0) for b in boxes]))
+        bound = head.bound(head.users(p), cells_of(boxes))
         best = np.array([full[:, i:i + width].max(1) for i in range(0, 40, width)]).T
         assert (bound >= best - 1e-9).all()
         assert width > 1 or np.allclose(bound, best)  # of a point, the score itself
@@ -142,3 +157,19 @@ def test_rounds_need_a_clear_gain():
     nan = float("nan")
     assert N.chosen_rounds([2.0, 1.5, 1.6]) == 1 and N.chosen_rounds([2.0, 1.99, 1.995]) == 0
     assert N.chosen_rounds([2.0, 2.5]) == 0 and N.chosen_rounds([nan, nan]) == 0 and N.chosen_rounds([1.0]) == 0
+
+
+def test_pruned_lists_equal_the_block_scorers(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(10, 6))
+    items = centres[rng.integers(0, 10, 700)] + rng.normal(size=(700, 6)) * 0.05
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    books = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "book_id long, embedding array<double>").checkpoint()
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)))], "user_id long, profile array<double>").checkpoint()
+    seen = spark.createDataFrame([(u, int(b)) for u in range(0, 40, 3) for b in rng.choice(700, 50, replace=False)], "user_id long, book_id long")
+    rows = lambda df: sorted(tuple(x if not isinstance(x, float) else round(x, 9) for x in r) for r in df.collect())
+    assert rows(content_recommend(users, books, seen, 5, pruned=True)) == rows(content_recommend(users, books, seen, 5))
+    assert rows(similar_items(books, 4, pruned=True)) == rows(similar_items(books, 4))
+    _, counts = bounded_topk(users, "user_id", "profile", books, "book_id", "embedding", Dot(), 5, cell_items=32)
+    scored, skipped = counts.first()
+    assert scored + skipped == 40 * 700 and skipped > scored
