@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from shelfwise.functions.text import word_tokens
 from shelfwise.operators.blockscore import exact_topk
 from shelfwise.operators.ranking import unique_ids
+from shelfwise.operators.sparsetopk import sparse_topk
 from shelfwise.session import scratch_path
 
 
@@ -61,7 +62,13 @@ def tfidf_vectors(weights: DataFrame, docs: DataFrame) -> DataFrame:
                 .alias("tfidf")))
 
 
-def tfidf_similarity(vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Per book, the k most cosine-similar other books (book_id, rank, other_id, score)."""
+def tfidf_similarity(vectors: DataFrame, k: int = 10, lists: bool = False) -> DataFrame:
+    """Per book, the k most cosine-similar other books (book_id, rank, other_id, score).
+
+    ``lists`` goes by inverted lists (``sparsetopk``): the same rows, and far fewer
+    pairs where most terms are rare.
+    """
+    if lists:
+        return sparse_topk(vectors, "book_id", "tfidf", k, out=("book_id", "rank", "other_id", "score"))[0]
     return exact_topk(vectors, "book_id", "tfidf", vectors, "book_id", "tfidf", k,
                       exclude_same_id=True, kind="sparse", out=("book_id", "rank", "other_id", "score"))

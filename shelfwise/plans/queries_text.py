@@ -90,20 +90,30 @@ def q_tfidf_documents(c):
     return T.tfidf(docs)
 
 
-@register("tfidf_similarity", sql("""
+_TFIDF_SIMILAR = sql("""
 SELECT book_id, CAST(rk AS BIGINT) AS rank, other_id, round(score, 6) AS score FROM (
   SELECT a.book_id, b.book_id AS other_id, coalesce(s.score, 0) AS score,
          row_number() OVER (PARTITION BY a.book_id ORDER BY round(coalesce(s.score, 0), 12) DESC, b.book_id) AS rk
   FROM tdoc a JOIN tdoc b ON a.book_id <> b.book_id
   LEFT JOIN (SELECT x.book_id AS a, y.book_id AS b, sum(x.weight * y.weight) AS score
              FROM tfw x JOIN tfw y ON x.term = y.term GROUP BY 1, 2) s ON s.a = a.book_id AND s.b = b.book_id) t
-WHERE rk <= 10""", extra=_TFIDF_BLOCKS))
+WHERE rk <= 10""", extra=_TFIDF_BLOCKS)
+
+
+@register("tfidf_similarity", _TFIDF_SIMILAR)
 def q_tfidf_similarity(c):
     """10 most TF-IDF-cosine-similar other books per live book."""
     docs = T.corpus(c.books, ["genres_text", "title", "description"])
     return T.tfidf_similarity(T.tfidf_vectors(T.tfidf(docs), docs), 10)
 
 
+@register("tfidf_similarity_lists", _TFIDF_SIMILAR)
+def q_tfidf_similarity_lists(c):
+    """I5 by inverted lists; equals tfidf_similarity."""
+    docs = T.corpus(c.books, ["genres_text", "title", "description"])
+    return T.tfidf_similarity(T.tfidf_vectors(T.tfidf(docs), docs), 10, lists=True)
+
+
 _RMAP = {"rmap": ("SELECT book_id, avg(strength) AS avg_rating FROM inter GROUP BY book_id", ("inter",)),
          "rmap_r": ("SELECT book_id, avg(strength) AS avg_rating FROM inter WHERE type = 'rating' GROUP BY book_id",
                     ("inter",))}
