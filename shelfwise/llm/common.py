@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import ensure_checkpoint_dir
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Text that one step of a Python task holds as Python objects.
 STEP_BYTES = 1 << 20
 # Text that the word encoder takes at once: a larger step repeats more words.
@@ -36,6 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside lose their shuffle files when they end, not at some later collection of garbage.
+
+    For queries whose result is used once; the setting is put back afterwards.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of Arrow batches with about ``limit`` bytes of ``text`` each, one row at least."""
     for batch in batches:
