@@ -24,6 +24,8 @@ from shelfwise.llm.tokens import encoder
 
 # Pieces of one length that one task numbers.
 BUCKET_ROWS = 1_000
+# Buckets of a length that are summed up at once.
+GROUP_BUCKETS = 1_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -110,7 +112,7 @@ def _lookup(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[int,
     return {n: np.asarray(r, dtype=np.int64) for n, r in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS, group_buckets: int = GROUP_BUCKETS) -> DataFrame:
     """Adds sequence_id and offset to pieces with a column ``length`` of 1 to ``capacity``.
 
     Every row is placed once, repeated rows too; a bin's offsets have no gap. No
@@ -127,7 +129,12 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS
     buckets = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // bucket_rows))) for n in range(capacity + 1)])
     pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_uid"), F.get(buckets, F.col("length").cast("int")).cast("long")))
     sizes = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    # Pieces before a bucket, in two steps: a length with many buckets isn't summed up in one task.
+    sizes = sizes.withColumn("_group", F.floor(F.col("_bucket") / group_buckets))
+    groups = sizes.groupBy("length", "_group").agg(F.sum("_n").alias("_all"))
+    groups = groups.select("length", "_group", (F.sum("_all").over(Window.partitionBy("length").orderBy("_group")) - F.col("_all")).alias("_first"))
+    inner = F.sum("_n").over(Window.partitionBy("length", "_group").orderBy("_bucket")) - F.col("_n")
+    before = sizes.withColumn("_inner", inner).join(groups, ["length", "_group"]).select("length", "_bucket", (F.col("_first") + F.col("_inner")).alias("_before"))
     place = Window.partitionBy("length", "_bucket").orderBy("_uid")
     numbered = (pieces.withColumn("_row", F.row_number().over(place) - 1).join(before, ["length", "_bucket"])
                 .withColumn("_row", F.col("_row") + F.col("_before")))

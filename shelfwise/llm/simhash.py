@@ -182,7 +182,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, group_
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """The row with the least doc_id of each component, with all its columns; null ids come last, of equal ids one stays."""
+    """The row with the least doc_id of each component, with all its columns; null ids come last, of equal ids one stays.
+
+    A null or empty text is linked like any other. The numbers of the rows that
+    go are written first: where they are few, the planner needn't shuffle the texts.
+    """
     uid = free_name(docs, "_uid")
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")  # so that the numbers stay
     marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(uid).alias("u"), "text")
@@ -190,5 +194,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, g
     small = marked.select("fp", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "u").alias("id"))
     first = small.groupBy("fp").agg(F.min("id").alias("id"))
     roots = first.join(_groups(small, "fp", max_bits, group_limit), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stays = roots.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.u").alias(uid))
-    return rows.join(stays, uid, "left_semi").select(*docs.columns)
+    stays = roots.groupBy("root").agg(F.min("id").alias("id"))
+    stays = roots.select("fp", "root").join(stays, "root").select("fp", F.col("id.u").alias("stays"))
+    gone = written(marked.join(stays, "fp").where("u <> stays").select(F.col("u").alias(uid)), "simhash-gone")
+    return rows.join(gone, uid, "left_anti").select(*docs.columns)
