@@ -239,7 +239,10 @@ def identify(docs: DataFrame, modulus: int = 5, sample_per_lang: int = SAMPLE_PE
 
 
 def keep(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows whose language is known with at least that score, with all their columns; ``und`` goes."""
+    """The rows whose language is known with at least that score, with all their columns; ``und`` goes.
+
+    Null and empty texts, and those without a letter, are ``und``; repeated rows are judged alike, and ids play no part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

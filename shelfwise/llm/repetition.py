@@ -144,7 +144,10 @@ def measure(docs: DataFrame, ngram_shares: dict[int, int] = NGRAM_SHARES, line_s
 
 
 def keep(docs: DataFrame, ngram_shares: dict[int, int] = NGRAM_SHARES, line_share: int = LINE_SHARE) -> DataFrame:
-    """The rows of ``docs`` whose ``text`` the rules keep, with all their columns."""
+    """The rows of ``docs`` whose ``text`` the rules keep, with all their columns.
+
+    Null and empty texts have no words and go; repeated rows are judged alike, and ids play no part.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             kept = measure_texts(batch.column("text").to_pylist(), ngram_shares, line_share)["kept"]
