@@ -1,7 +1,11 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage calls one operator of ``shelfwise.llm`` on all that the stage before
-kept. Stages 1 to 4 return the columns of ``documents``.
+kept. Stages 1 to 4 return the columns of ``documents``, whatever other columns
+these have. Rows with a null or empty text, or one without a letter, go in the
+first stage. Of rows that repeat each other near-dedup leaves one; rows with a
+null doc_id come last there, and are judged by their texts elsewhere. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
