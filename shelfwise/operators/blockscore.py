@@ -13,9 +13,10 @@ masked before the cut, so no list comes back short and nothing is fetched in
 excess.
 
 Pair features are dense dot products (ARRAY<DOUBLE> columns) or sparse dot
-products (STRUCT<idx ARRAY<BIGINT>, val ARRAY<DOUBLE>> columns; binary tag
-sets give set-intersection sizes). Sparse products are computed on tiles of the
-vocabulary, so no (pair, term) row ever exists.
+products (STRUCT<idx ARRAY<BIGINT>, val ARRAY<DOUBLE>> columns, an index once
+in a row), computed on tiles of the vocabulary, or sizes of set intersections
+(ARRAY<STRING> columns), counted on bitmaps packed to 64-bit words. No (pair,
+term) row leaves a task.
 
 Ties are broken by the smaller item id everywhere, so the result equals a full
 sort by ``(key DESC, id ASC)``.
@@ -41,6 +42,9 @@ CHUNK = 1024                # query rows scored at once (dense features)
 SPARSE_CHUNK = 256          # query rows scored at once when a sparse feature is present
 COLUMNS = 4096              # items scored at once
 TILE_CELLS = 2_000_000      # cells of one sparse tile, either side
+SET_ROWS = 64               # query rows whose words meet those of the items at once
+LISTED = 512                # a term is counted by its lists if it joins fewer than one in this many pairs
+LISTED_STEP = 1 << 20       # pairs made from lists at once
 # Scores are rounded to this many decimals before ranking, so values that are
 # equal in exact arithmetic tie (and fall back to the id order) whatever the
 # summation order of the engine that computed them.
@@ -49,7 +53,7 @@ TIE_DECIMALS = 12
 
 @dataclass(frozen=True)
 class Feature:
-    """A pair feature: ``name`` = dot(left[lcol], right[rcol]); kind 'dense' or 'sparse'."""
+    """A pair feature: ``name`` = dot(left[lcol], right[rcol]), or the number of common members; kind 'dense', 'sparse' or 'set'."""
 
     name: str
     kind: str
@@ -81,8 +85,11 @@ class _Dense:
         out.m = np.concatenate([p.m for p in parts])
         return out
 
+    def items(self, col: pa.ListArray, dim: int) -> _Dense:
+        return _Dense(col, dim)
+
     def dot(self, a: int, b: int, other: _Dense, c: int, d: int) -> np.ndarray:
-        return self.m[a:b] @ other.m[c:d].T
+        return np.round(self.m[a:b] @ other.m[c:d].T, TIE_DECIMALS)
 
 
 class _Sparse:
@@ -100,6 +107,9 @@ class _Sparse:
         out.idx, out.val = (np.concatenate([getattr(p, n) for p in parts]) for n in ("idx", "val"))
         return out
 
+    def items(self, col: pa.StructArray, dim: int) -> _Sparse:
+        return _Sparse(col, dim)
+
     def _by_term(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, value) of some rows, by term."""
         p, q = self.ptr[a], self.ptr[b]
@@ -122,13 +132,104 @@ class _Sparse:
                 at = np.searchsorted(tile, idx[p:q])
                 hit = tile[at] == idx[p:q]
                 m = np.zeros((n, len(tile)))
-                np.add.at(m, (rows[p:q][hit], at[hit]), val[p:q][hit])
+                m[rows[p:q][hit], at[hit]] = val[p:q][hit]
                 sides.append(m)
             out += sides[0] @ sides[1].T
+        return np.round(out, TIE_DECIMALS)
+
+
+class _Sets:
+    """Sets of strings: row pointers and the members' numbers in the queries' dictionary, by row.
+
+    An item's members that no query of the task has are left out: they are common to no pair.
+    """
+
+    def __init__(self, col: pa.ListArray, dim: int):
+        lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+        self.ptr, self.names = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]), col.flatten()
+
+    @classmethod
+    def joined(cls, parts: list[_Sets]) -> _Sets:
+        out = cls.__new__(cls)
+        out.ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.ptr) for p in parts]), dtype=np.int64)])
+        coded = pa.concat_arrays([p.names for p in parts]).dictionary_encode()
+        out.names, out.idx, out.cache = coded.dictionary, coded.indices.to_numpy().astype(np.int64), {}
+        return out
+
+    def items(self, col: pa.ListArray, dim: int) -> _Sets:
+        out = _Sets(col, dim)
+        at = pc.index_in(out.names, value_set=self.names)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        out.ptr = np.concatenate([[0], np.cumsum(known, dtype=np.int64)])[out.ptr]
+        out.idx, out.cache = at.drop_null().to_numpy().astype(np.int64), {}
+        return out
+
+    def _by_term(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(members, where each member's rows begin and the last end, rows) of some rows; kept, as each block meets many."""
+        if (a, b) not in self.cache:
+            rows = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(self.ptr[a:b + 1]))
+            order = np.argsort(self.idx[self.ptr[a]:self.ptr[b]], kind="stable")
+            terms, first = np.unique(self.idx[self.ptr[a]:self.ptr[b]][order], return_index=True)
+            self.cache[a, b] = terms, np.append(first, len(order)), rows[order]
+        return self.cache[a, b]
+
+    def dot(self, a: int, b: int, other: _Sets, c: int, d: int) -> np.ndarray:
+        """Common members of each pair: words of 64 members for those in many pairs, lists of rows for the others."""
+        (lt, lp, lr), (rt, rp, rr) = self._by_term(a, b), other._by_term(c, d)
+        n, m = b - a, d - c
+        out = np.zeros((n, m), dtype=np.int32)
+        _, li, ri = np.intersect1d(lt, rt, assume_unique=True, return_indices=True)
+        lc, rc = lp[li + 1] - lp[li], rp[ri + 1] - rp[ri]
+        rare = lc * rc * LISTED < n * m
+        _count_words(out, (lp[li[~rare]], lc[~rare], lr), (rp[ri[~rare]], rc[~rare], rr))
+        _count_lists(out, (lp[li[rare]], lc[rare], lr), (rp[ri[rare]], rc[rare], rr))
         return out
 
 
-_KINDS = {"dense": _Dense, "sparse": _Sparse}
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each span, in a row."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _words(first: np.ndarray, size: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """A row of bits for each of n rows, one for each term, packed to 64-bit words."""
+    bits = np.zeros((n, -(-len(first) // 64) * 64), dtype=bool)
+    bits[rows[_spans(first, size)], np.repeat(np.arange(len(first)), size)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _count_words(out: np.ndarray, left: tuple, right: tuple) -> None:
+    """Adds the terms that both rows of a pair have, by AND and population count."""
+    n, m = out.shape
+    step = max(64, TILE_CELLS // max(n, m) // 64 * 64)
+    both, ones = np.empty((SET_ROWS, m), dtype=np.uint64), np.empty((SET_ROWS, m), dtype=np.uint8)
+    for t in range(0, len(left[0]), step):
+        x = _words(left[0][t:t + step], left[1][t:t + step], left[2], n)
+        y = np.ascontiguousarray(_words(right[0][t:t + step], right[1][t:t + step], right[2], m).T)
+        for i in range(0, n, SET_ROWS):
+            k = min(SET_ROWS, n - i)
+            for w in range(len(y)):
+                np.bitwise_and(x[i:i + k, w, None], y[w], out=both[:k])
+                np.bitwise_count(both[:k], out=ones[:k])
+                out[i:i + k] += ones[:k]
+
+
+def _count_lists(out: np.ndarray, left: tuple, right: tuple) -> None:
+    """Adds the terms that both rows of a pair have, from each term's rows on either side."""
+    (lf, lc, lr), (rf, rc, rr) = left, right
+    row, term = lr[_spans(lf, lc)], np.repeat(np.arange(len(lf)), lc)
+    made = np.concatenate([[0], np.cumsum(rc[term])])
+    flat, start = out.reshape(-1), 0
+    while start < len(row):
+        stop = max(start + 1, int(np.searchsorted(made, made[start] + LISTED_STEP, side="right")) - 1)
+        own = term[start:stop]
+        at = np.repeat(row[start:stop].astype(np.int64) * out.shape[1], rc[own]) + rr[_spans(rf[own], rc[own])]
+        np.add.at(flat, at, 1)
+        start = stop
+
+
+_KINDS = {"dense": _Dense, "sparse": _Sparse, "set": _Sets}
 
 
 def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -167,14 +268,14 @@ class _Task:
         order = np.argsort(batch.column("id").to_numpy(zero_copy_only=False), kind="stable")
         batch = batch.take(pa.array(order))
         rid = batch.column("id").to_numpy(zero_copy_only=False)
-        y = {f.name: _KINDS[f.kind](batch.column("f_" + f.name), dims[f.name]) for f in features}
+        y = {f.name: self.x[f.name].items(batch.column("f_" + f.name), dims[f.name]) for f in features}
         chunk = SPARSE_CHUNK if any(f.kind == "sparse" for f in features) else CHUNK
         for a in range(0, len(self.ids), chunk):
             b = min(len(self.ids), a + chunk)
             for c in range(0, len(rid), COLUMNS):
                 d = min(len(rid), c + COLUMNS)
                 lid, items = self.ids[a:b, None], rid[None, c:d]
-                found = {f.name: np.round(self.x[f.name].dot(a, b, y[f.name], c, d), TIE_DECIMALS) for f in features}
+                found = {f.name: self.x[f.name].dot(a, b, y[f.name], c, d) for f in features}
                 key = np.round(np.array(key_fn(found, lid, items), dtype=np.float64), TIE_DECIMALS)
                 if key.shape != (b - a, d - c):
                     key = np.broadcast_to(key, (b - a, d - c)).copy()
@@ -256,7 +357,13 @@ def _side(df: DataFrame, id_col: str, features: list[Feature], col: str) -> Data
 
 def _measure(df: DataFrame, features: list[Feature], skip: bool):
     """(rows, bytes, {dense feature: length}) of a side."""
-    size = lambda f: F.size("f_" + f.name) if f.kind == "dense" else F.size(F.col(f"f_{f.name}.idx")) * 2
+    def size(f: Feature) -> Column:
+        """8-byte units of a row's feature."""
+        c = F.col("f_" + f.name)
+        if f.kind == "set":
+            return F.size(c) * 2 + (F.octet_length(F.array_join(c, "")) / 8).cast("int")
+        return F.size(c["idx"]) * 2 if f.kind == "sparse" else F.size(c)
+
     width = sum((size(f) for f in features), F.lit(2)) + (F.coalesce(F.size("skip"), F.lit(0)) if skip else F.lit(0))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint") * 8).alias("bytes"),
                  *[g(size(f)).alias(f"{n}_{f.name}") for f in features for n, g in (("mn", F.min), ("mx", F.max))]).first()
@@ -294,8 +401,8 @@ def block_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
         L = L.checkpoint(eager=True)
         R = L if same else R.checkpoint(eager=True)
     schema = "lid bigint, rid bigint, score double" + "".join(f", {e} double" for e in emit)
-    n_r, _, dims = _measure(R, features, False)
-    n_l, l_bytes, l_dims = _measure(L, features, exclude is not None)
+    n_r, r_bytes, dims = _measure(R, features, False)
+    n_l, l_bytes, l_dims = (n_r, r_bytes, dims) if same else _measure(L, features, exclude is not None)
     if not n_r or not n_l:
         return spark.createDataFrame([], schema)
     if any(f.kind == "dense" and dims[f.name] != l_dims[f.name] for f in features):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.text import tag_tokens
 from shelfwise.operators.blockscore import Feature, block_pairs
 from shelfwise.operators.content import item_vectors
-from shelfwise.operators.ranking import topk_per_key, unique_ids
+from shelfwise.operators.ranking import topk_per_key
 from shelfwise.operators.tfidf import corpus, tfidf, tfidf_vectors
 
 # Candidate tag columns, in order of preference.
@@ -39,17 +39,6 @@ def tag_sets(books: DataFrame, columns) -> DataFrame:
     return books.select("book_id", F.array_distinct(tag_tokens(list(columns))).alias("tags"))
 
 
-def tag_vectors(tags: DataFrame) -> DataFrame:
-    """(book_id, tagv STRUCT<idx, val=1>) over exact unique tag ids."""
-    ids = unique_ids(tags.select(F.explode("tags").alias("tag")), "tag", "tix")
-    v = (tags.select("book_id", F.explode("tags").alias("tag")).join(ids, "tag")
-         .groupBy("book_id").agg(F.array_sort(F.collect_list("tix")).alias("ix")))
-    return (tags.select("book_id").join(v, "book_id", "left")
-            .select("book_id", F.struct(F.coalesce("ix", F.array().cast("array<bigint>")).alias("idx"),
-                                        F.transform(F.coalesce("ix", F.array().cast("array<bigint>")),
-                                                    lambda _: F.lit(1.0)).alias("val")).alias("tagv")))
-
-
 def mean_rating_all(interactions: DataFrame) -> DataFrame:
     """Mean per book over every event type (the hybrids' rating map).
 
@@ -88,12 +77,12 @@ def global_rating(rating_map: DataFrame) -> DataFrame:
 def rating_lookup(keys: DataFrame, key: str, rating_map: DataFrame) -> DataFrame:
     """Attach each key's rating, else (or when NaN) the global rating.
 
-    The global rating is one aggregate value, read once and inlined as a literal.
+    The global rating is a scalar subquery over the same map, so no job of its own is run for it.
     """
-    g = float(global_rating(rating_map).first()[0])
+    g = global_rating(rating_map).scalar()
     r = rating_map.select(F.col("book_id").alias(key), F.col("avg_rating").alias("_r"))
     return (keys.join(r, key, "left")
-            .withColumn("rating", F.when(F.col("_r").isNull() | F.isnan("_r"), F.lit(g)).otherwise(F.col("_r")))
+            .withColumn("rating", F.when(F.col("_r").isNull() | F.isnan("_r"), g).otherwise(F.col("_r")))
             .drop("_r"))
 
 
@@ -137,7 +126,7 @@ def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rat
         rating_map = rating_map_of(interactions, books, rating_source)
     head = max(limit, oversample)
     cols = list(tag_columns) if tag_columns else tag_columns_of(books)
-    tv = tag_vectors(tag_sets(books, cols))
+    tags = tag_sets(books, cols).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     if use_tfidf is None:
         use_tfidf = item_embeddings is None or not uses_embeddings(books, item_embeddings)
     if use_tfidf:
@@ -148,9 +137,9 @@ def diversity_recommend(books: DataFrame, item_embeddings: DataFrame | None, rat
         vec = books.select("book_id").join(
             item_vectors(item_embeddings, normalize=True), "book_id")
         sim = Feature("sim", "dense", "embedding", "embedding")
-    items = vec.join(tv, "book_id")
+    items = vec.join(tags, "book_id")
     cand = block_pairs(items, "book_id", items, "book_id", head,
-                       [sim, Feature("overlap", "sparse", "tagv", "tagv")], _head_key,
+                       [sim, Feature("overlap", "set", "tags", "tags")], _head_key,
                        emit=("sim", "overlap"), exclude_same_id=True)
     heads = topk_per_key(cand, "lid", [F.col("overlap").asc(), F.col("sim").asc(), F.col("rid").asc()], head, "hrank")
     rated = rating_lookup(heads, "rid", rating_map)
