@@ -32,9 +32,14 @@ from shelfwise.llm.common import ENCODE_BYTES, new_folder, shared_folder, steps,
 from shelfwise.llm.tokens import encoder
 
 MAGIC = b"SWTOKEN1"
-# Text that one file is planned for, and ids after which a task begins another file.
-SHARD_BYTES, SHARD_IDS = 8 << 20, 6_000_000
+# Text of one writing task at most (small inputs are dealt to TASKS_PER_CORE tasks), and ids after which it begins another file.
+TASK_BYTES, SHARD_IDS = 256 << 20, 6_000_000
+# Text that is worth a task of its own, and ids of one reading task at most.
+SMALL_BYTES, READ_IDS = 4 << 20, 64_000_000
+TASKS_PER_CORE = 8
 BLOCK_IDS = 1 << 18
+# Writing tasks whose files are numbered together.
+RUN_PARTS = 1024
 
 
 class WaveletMatrix:
@@ -208,20 +213,23 @@ class TokenFile:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
-                 shard_bytes: int = SHARD_BYTES, shard_ids: int = SHARD_IDS) -> DataFrame:
+                 shard_bytes: int = TASK_BYTES, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes all documents' ids in ascending doc_id order; a row per file: file, part, seq, n_docs, n_tokens.
 
     ``folder`` must be a new one that all tasks reach. A file is written under another
     name and then renamed, so a task that runs again finds its own file or none.
     Null ids come first; rows with the same id are in the order of their texts'
     hash and text. A null text is an empty one: its document is the end id.
-    Other columns are not read. No rows give no files.
+    Other columns are not read. No rows give no files. A task takes ``shard_bytes``
+    of text at most, but for one longer text, and writes a file for about
+    ``shard_ids`` ids.
     """
     new_folder(folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keys = ["doc_id", "_hash"]
-    dealt = (docs.withColumn("_hash", F.xxhash64("text")).repartitionByRange(size // shard_bytes + 1, *keys)
+    parts = max(size // shard_bytes, min(size // SMALL_BYTES, TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)) + 1
+    dealt = (docs.withColumn("_hash", F.xxhash64("text")).repartitionByRange(parts, *keys)
              .sortWithinPartitions(*keys, "text").select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +263,32 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     return written(dealt.mapInArrow(run, "file string, part long, seq long, n_docs long, n_tokens long"), "token-files")
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """file, first: the ids before each file in all.
+
+    Files are summed within runs of ``RUN_PARTS`` writing tasks; over the runs, a
+    row each, goes a scalar subquery, so no task takes all files.
+    """
+    files = files.withColumn("_run", F.col("part") - F.col("part") % RUN_PARTS)
+    runs = files.groupBy("_run").agg(F.sum("n_tokens").alias("_ids"))
+    every = runs.agg(F.collect_list(F.struct(F.col("_run").alias("at"), "_ids"))).scalar()
+    earlier = F.filter("_every", lambda r: r["at"] < F.col("_run"))
+    runs = runs.withColumn("_every", every).select("_run", F.aggregate(earlier, F.lit(0).cast("long"), lambda s, r: s + r["_ids"]).alias("_before"))
+    own = F.sum("n_tokens").over(Window.partitionBy("_run").orderBy("part", "seq"))
+    return (files.withColumn("_upto", own).join(runs, "_run")
+            .select("file", (F.col("_before") + F.col("_upto") - F.col("n_tokens")).alias("first")))
+
+
 def read_shards(files: DataFrame, folder: str) -> DataFrame:
     """A row for each document in the files: doc_id, start (ids before it in all), n_tokens, ids_crc32.
 
-    ``files`` is what ``write_shards`` returned; one row for each file, so its
-    running sum of ids is small.
+    ``files`` is what ``write_shards`` returned. A reading task gets files in a row,
+    of about ``READ_IDS`` ids.
     """
-    order = Window.orderBy("part", "seq")
-    files = files.withColumn("first", F.sum("n_tokens").over(order) - F.col("n_tokens")).select("file", "first")
+    n, total = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n = max(1, min(n, max(TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism, total // READ_IDS)))
+    task = F.least(F.floor(F.col("first") / F.lit(max(total, 1) / n)), F.lit(n - 1)).cast("int")
+    dealt = file_starts(files).repartitionById(n, task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -278,8 +304,7 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
                                        pa.array(lengths), pa.array(crc, pa.int64())],
                                       names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, files.count())
-    return (files.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:

@@ -169,3 +169,17 @@ def test_token_files_of_odd_rows(spark, tok):
         want = Counter((d, n, crc) for d, _, n, crc in files_of(rows, tok))
         assert Counter((r[0], r[2], r[3]) for r in got) == want
     assert wavelet.token_files(helpers.empty(spark), TOKENIZER).collect() == []
+
+
+def test_file_starts_in_runs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "RUN_PARTS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(f"f{p}-{s}", p, s, int(rng.integers(1, 1 << 40))) for p in range(0, 40, 2) for s in range(int(rng.integers(1, 4)))]
+    files = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "file string, part long, seq long, n_tokens long")
+    starts = wavelet.file_starts(files)
+    want, at = {}, 0
+    for name, *_, n in rows:
+        want[name], at = at, at + n
+    assert dict(map(tuple, starts.collect())) == want
+    plan = starts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_run" in line.split("],")[1] for line in plan.splitlines() if " Window [" in line)
