@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from shelfwise.session import ensure_checkpoint_dir
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# The C library's own call for that, where it has one; numpy's and Python's arrays come from it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 # Text that one step of a Python task holds as Python objects.
 STEP_BYTES = 1 << 20
 # Text that the word encoder takes at once: a larger step repeats more words.
@@ -65,7 +69,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         if start < batch.num_rows:
             yield batch.slice(start)
         del batch, sizes
-        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back, else a worker, which later stages use again, keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def new_folder(folder: str) -> str:

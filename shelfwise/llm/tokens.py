@@ -23,6 +23,9 @@ _NEWLINE = "\n"
 _SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _ALONE = f"^\n?[^{_SPACE}]((?s:.*)[^{_SPACE}])?$"
 
+# New parts that one call of the tokenizer takes: it needs some 100 bytes for each byte of text.
+LEARN_PARTS = 10_000
+
 
 class _Numbers:
     """Numbers of keys (64-bit hashes): a large sorted table and a small one for the newest."""
@@ -94,7 +97,7 @@ class TextEncoder:
         self._numbers = _Numbers(self._key)
 
     def _learn(self, keys: np.ndarray, new: pa.Array) -> np.ndarray:
-        """Encodes new parts by one call and returns their numbers; length -1 marks one that can't be encoded alone.
+        """Encodes new parts by few calls and returns their numbers; length -1 marks one that can't be encoded alone.
 
         A part without a newline in front has a space there.
         """
@@ -108,7 +111,9 @@ class TextEncoder:
             return numbers
         new = new.filter(alone)
         texts = pc.if_else(pc.starts_with(new, _NEWLINE), new, pc.binary_join_element_wise("", new, " "))
-        ids = self.plain(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py())
+        bounds = [*range(0, len(texts), LEARN_PARTS), len(texts)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), "")
+        ids = np.concatenate([self.plain(some.as_py()) for some in joined])
         sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
         last = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes), side="left") + 1
         first = np.concatenate([[0], last[:-1]])
