@@ -1,4 +1,4 @@
-"""Text functions as JVM-side column expressions (no Python UDFs).
+"""Text functions as JVM-side column expressions; only ``fold_diacritics`` needs Python.
 
 Character classes are spelled ``\\p{L}\\p{N}_`` rather than ``\\w`` so Java, RE2
 and Python agree on what a word character is (letters, numbers, underscore;
@@ -7,10 +7,9 @@ combining marks are not word characters).
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,58 +36,38 @@ def normalize_text(c) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
-@lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
-    """(letters, their bases, [(letter, several characters)], class of combining marks), from Unicode NFD at plan time.
+class _Folded(dict):
+    """A code point's form without diacritics, found when first asked for: its NFD minus marks of a combining class other than 0.
 
-    All code points but Hangul syllables, whose decomposition is a rule. Letters
-    without a canonical decomposition (such as U+0111) are left alone, as NFD
-    leaves them. A mark is combining if its class isn't 0: Thai and Devanagari
-    vowel signs, whose class is 0, stay.
+    Letters without a canonical decomposition (such as U+0111) are left alone,
+    as NFD leaves them, and so are signs that fall apart into marks only. A mark
+    is combining if its class isn't 0: Thai and Devanagari vowel signs, whose
+    class is 0, stay. As marks go, their order within a text doesn't matter, so
+    a text is folded code point by code point.
     """
-    src, dst, more, marks = [], [], [], []
-    for cp in range(0x80, sys.maxunicode + 1):
+
+    def __missing__(self, cp: int) -> str:
         ch = chr(cp)
-        if unicodedata.combining(ch):
-            if marks and marks[-1][1] == cp - 1:
-                marks[-1][1] = cp
-            else:
-                marks.append([cp, cp])
-        elif not _HANGUL[0] <= cp <= _HANGUL[1] and unicodedata.decomposition(ch)[:1] not in ("", "<"):
-            base = "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
-            if len(base) == 1 and base != ch:
-                src.append(ch)
-                dst.append(base)
-            elif len(base) > 1:
-                more.append((ch, base))
-    return "".join(src), "".join(dst), tuple(more), "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in marks)
-
-
-_HANGUL = (0xAC00, 0xD7A3)
-
-
-def _split_hangul(x: Column) -> Column:
-    """A Hangul syllable's letters, by the arithmetic of its code point."""
-    def letters(ch):
-        s = F.ascii(ch) - _HANGUL[0]
-        lead, vowel, tail = F.lit(0x1100) + F.floor(s / 588), F.lit(0x1161) + F.floor(s % 588 / 28), F.lit(0x11A7) + s % 28
-        code = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
-        return (F.when((s >= 0) & (s <= _HANGUL[1] - _HANGUL[0]),
-                       F.concat(code(lead), code(vowel), F.when(s % 28 > 0, code(tail)).otherwise("")))
-                .otherwise(ch))
-    return F.array_join(F.transform(F.split(x, ""), letters), "")
+        base = "".join(x for x in unicodedata.normalize("NFD", ch) if not unicodedata.combining(x))
+        self[cp] = base if base or unicodedata.combining(ch) else ch
+        return self[cp]
+
+
+_FOLDED = _Folded()
+
+
+def _fold(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else t.translate(_FOLDED) for t in texts.to_pylist()], pa.string())
 
 
 def fold_diacritics(c) -> Column:
-    """H2: drop diacritics (NFD minus marks of a combining class other than 0), in any script."""
-    src, dst, more, marks = _fold_table()
-    x = F.regexp_replace(F.translate(_c(c), src, dst), f"[{marks}]", "")
-    # Letters that fall apart into several are rare: looked for only in texts that have one.
-    letters = "".join(ch for ch, _ in more)
-    several = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.element_at(
-        F.create_map(*[F.lit(v) for pair in more for v in pair]), ch), ch)), "")
-    x = F.when(x.rlike(f"[{letters}]"), several).otherwise(x) if more else x
-    return F.when(x.rlike(f"[\\x{{{_HANGUL[0]:X}}}-\\x{{{_HANGUL[1]:X}}}]"), _split_hangul(x)).otherwise(x)
+    """H2: drop diacritics (NFD minus marks of a combining class other than 0), in any script.
+
+    Spark has no normalisation, and its regular expressions try a class of
+    thousands of letters one after the other; Python folds a batch of texts with
+    a lookup for each letter.
+    """
+    return F.arrow_udf(_fold, "string")(_c(c))
 
 
 def _keep(c) -> Column:

@@ -1,6 +1,7 @@
 """Rules without a query of their own: defaults, bounds, safe numbers, exclusions, persistence, readers."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -122,6 +123,17 @@ def test_fold_diacritics_in_many_scripts(spark):
         assert r.got == r.want
 
 
+def test_fold_diacritics_of_long_texts(spark):
+    # Eight million characters took over a minute when each met a class of all marks and one of all letters.
+    rows = [(i, "Tiếng Việt và cà phê, naïve café. plain words " * 2200) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(4).cache()
+    df.count()
+    start = time.perf_counter()
+    got = df.select(fold_diacritics("t").alias("f")).groupBy("f").count().collect()
+    assert time.perf_counter() - start < 12
+    assert [(r.f, r["count"]) for r in got] == [("Tieng Viet va ca phe, naive cafe. plain words " * 2200, 80)]
+
+
 def test_live_books_only(spark):
     import __spark_entry__ as Q
     src = testdata.load(spark, SF0001)
