@@ -173,3 +173,36 @@ def test_pruned_lists_equal_the_block_scorers(spark):
     _, counts = bounded_topk(users, "user_id", "profile", books, "book_id", "embedding", Dot(), 5, cell_items=32)
     scored, skipped = counts.first()
     assert scored + skipped == 40 * 700 and skipped > scored
+
+
+def test_centres_of_some_items_find_the_same_lists(spark, monkeypatch):
+    from shelfwise.operators import boundscore
+    monkeypatch.setattr(boundscore, "FIT_ROWS", 40)
+    X = np.random.default_rng(8).standard_normal((300, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    found, counts = bounded_topk(df, "id", "v", df, "id", "v", Dot(), 4, cell_items=16)
+    want = np.argsort(-np.round(X @ X.T, 12), axis=1, kind="stable")[:, :4]
+    assert {(r.lid, r.rank): r.rid for r in found.collect()} == {(i, j + 1): want[i, j] for i in range(300) for j in range(4)}
+    scored, skipped = counts.first()
+    assert scored + skipped == 300 * 300
+
+
+def test_cells_that_no_bound_rules_out_are_scored_fast():
+    """All pairs of random vectors: lists of one query after the other took over 10 s."""
+    import time
+
+    import pyarrow as pa
+
+    from shelfwise.operators import boundscore
+    X = np.random.default_rng(9).standard_normal((20000, 32))
+    lists = lambda rows: pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
+    own = pa.array([[i] for i in range(3000)], pa.list_(pa.int64()))
+    task = boundscore._Task(Dot(), 10, [pa.record_batch([pa.array(np.arange(3000)), own, lists(X[:3000])], names=["id", "ids", "vectors"])])
+    cells = X[:19968].reshape(-1, 128, 32)
+    centre = cells.mean(1)
+    far = np.sqrt(((cells - centre[:, None]) ** 2).sum(2)).max(1)
+    start = time.perf_counter()
+    task.see(pa.record_batch([pa.array(np.arange(19968).reshape(-1, 128).tolist()), lists(cells.reshape(len(cells), -1)), lists(cells.min(1)),
+                              lists(cells.max(1)), lists(centre), lists(far[:, None])], names=["ids", "vectors", *boundscore.BOX]))
+    assert time.perf_counter() - start < 5
+    assert task.scored + task.skipped == 3000 * 19968
