@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.blockscore import GROUP_BYTES, TIE_DECIMALS, Best, _lists, _Skip
+from shelfwise.operators.blockscore import GROUP_BYTES, TIE_DECIMALS, Best, _firsts, _lists, _Skip
 from shelfwise.operators.ranking import topk_per_key
 from shelfwise.session import ensure_checkpoint_dir
 
@@ -143,7 +143,7 @@ class _Task:
         row, col = np.divmod(hit, len(ids))
         key = np.round(found[row, col], TIE_DECIMALS)
         at = np.flatnonzero(np.isfinite(key) & (key >= floor[row]))
-        at = at[self.skip.allows(rows[row[at]], ids[col[at]])]
+        at = at[self.skip.allows(rows[row[at]], ids[col[at]], _firsts(ids)[col[at]])]
         self.best.offer(rows[row[at]], ids[col[at]], key[at], {})
 
     def rows(self) -> Iterator[pa.RecordBatch]:
