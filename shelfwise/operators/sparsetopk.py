@@ -12,8 +12,8 @@ For rows of non-negative term weights and their dot product:
 3. Candidates come from the inverted lists of those others only, and are scored
    in full from both rows' vectors.
 
-Rows whose other terms have lists longer than ``LIST_SHARE`` of all rows, added
-up, would meet a good part of all rows anyway: they go to the block scorer, which
+Rows whose other terms have lists longer than ``LIST_SHARE`` of all rows or
+``LIST_ROWS``, added up, would meet a good part of all rows anyway: they go to the block scorer, which
 makes no pairs. Lists that come short are filled with rows of score 0 in the
 order of their ids.
 """
@@ -33,6 +33,7 @@ from shelfwise.session import ensure_checkpoint_dir
 
 STRONG_TERMS = 8
 LIST_SHARE = 0.25
+LIST_ROWS = 2048            # and at most so many, else the pairs would grow with the square of the rows
 SLACK = 1e-9
 
 
@@ -88,7 +89,7 @@ def sparse_topk(vectors: DataFrame, id_col: str, vec_col: str, k: int, out=("lid
     needed = (flat.where("df > 1").withColumn("sum", F.sum(F.col("w") * F.col("top")).over(so_far)).join(bounds, "id", "left")
               .where(F.col("sum") * (1 + SLACK) + SLACK >= F.coalesce("low", F.lit(0.0))).select("id", "term", "df"))
     lengths = needed.groupBy("id").agg(F.sum("df").alias("length"))
-    many = lengths.where(F.col("length") > max(list_share * n, 64)).select("id").checkpoint(eager=True)
+    many = lengths.where(F.col("length") > max(min(list_share * n, LIST_ROWS), 64)).select("id").checkpoint(eager=True)
     needed = needed.join(many, "id", "left_anti")
 
     # 3. Candidates from their lists, scored in full.

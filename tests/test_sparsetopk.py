@@ -63,3 +63,15 @@ def test_common_terms_make_few_candidates(spark):
 def test_empty(spark):
     found, counts = sparse_topk(spark.createDataFrame([], VECTORS), "book_id", "v", 3)
     assert found.isEmpty()
+
+
+def test_pairs_do_not_grow_with_the_square_of_the_rows(spark, monkeypatch):
+    from shelfwise.operators import sparsetopk
+    monkeypatch.setattr(sparsetopk, "LIST_ROWS", 70)
+    rows = made_up(600, 40, 7)
+    df = spark.createDataFrame([(i, {"idx": a.tolist(), "val": v.tolist()}) for i, a, v in rows], VECTORS)
+    found, counts = sparse_topk(df, "book_id", "v", 3, list_share=10.0)
+    got = {(r["lid"], r["rank"]): r["rid"] for r in found.collect()}
+    assert got == {(i, j + 1): b for i, want in slow(rows, 3).items() for j, (_, b) in enumerate(want)}
+    _, pairs, dense = counts.first()
+    assert pairs <= 600 * 70 and dense > 0
