@@ -1,4 +1,4 @@
-"""Feedback with keyed state: the newest event of each (user, book, type) lives in the state store.
+"""Feedback with keyed state: the newest event of each (user, book, type) lives in the state store, by buckets of keys.
 
 A batch hands on only the keys that it touched, each with the strength before
 and after, so what follows costs as much as the change and never reads an
@@ -21,6 +21,8 @@ in the buckets of the users at hand alone. Epochs are written like those of
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -35,40 +37,53 @@ from shelfwise.functions.vectors import l2_normalize
 from shelfwise.streaming.feedback import _epochs, _fs, _numbers, feedback_source, feedback_strength, read_latest, valid_events
 
 BASE_BUCKETS = 64
+# Groups that the keys' state is kept in; a stream goes on with the number that it began with.
+KEY_BUCKETS = 1 << 12
 # Sums of weights below this are rounding: the user's weights are gone.
 LEAST_WEIGHT = 1e-9
 
-_KEYED = "user_id bigint, book_id bigint, type string, strength double, at string, event_id bigint, n_events bigint, old double"
-_STATE = "strength double, at string, event_id bigint"
+_KEYED = "user_id string, book_id string, type string, strength double, at string, event_id bigint, n_events bigint, old double"
+# A bucket's keys as JSON: [[user, book, type], [time, id, strength]] of each.
+_STATE = "keys string"
 _SUMS = "user_id bigint, w double, s array<double>"
 _TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _newest_of_key(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's events of a batch against its state: the newest by (time, id), the strength before, the number of events."""
-    kept = state.get if state.exists else None
-    best, n = (kept[1], kept[2], kept[0]) if kept else None, 0
+def _newest_of_bucket(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A bucket's keys in a batch against its state: each key's newest event by (time, id), the strength before, the number of events."""
+    kept = {tuple(k): tuple(event) for k, event in json.loads(state.get[0])} if state.exists else {}
+    best, count = {}, {}
     for part in parts:
-        n += len(part)
-        best = max([*zip(part["at"], part["event_id"], part["strength"]), *([best] if best else [])])
-    at, event_id, strength = best[0], int(best[1]), float(best[2])
-    state.update((strength, at, event_id))
-    yield pd.DataFrame({"user_id": [key[0]], "book_id": [key[1]], "type": [key[2]], "strength": [strength], "at": [at],
-                        "event_id": [event_id], "n_events": [n], "old": [kept[0] if kept else float("nan")]})
+        for k, event in zip(zip(part["user_id"], part["book_id"], part["type"]), zip(part["at"], part["event_id"].tolist(), part["strength"].tolist())):
+            best[k] = max(best.get(k, event), event)
+            count[k] = count.get(k, 0) + 1
+    rows = []
+    for k, event in best.items():
+        old = kept.get(k)
+        kept[k] = at, event_id, strength = event if old is None else max(event, old)
+        rows.append((*k, strength, at, event_id, count[k], math.nan if old is None else old[2]))
+    state.update((json.dumps([*kept.items()]),))
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _KEYED.split(", ")])
 
 
 def changed_keys(events: DataFrame) -> DataFrame:
     """The keys touched by each batch of a stream of events: (user_id, book_id, type, strength, at, event_id, n_events, old).
 
     ``old`` is null for a key seen for the first time. Times compare to the
-    microsecond; an event without one, or without an id, is the oldest.
+    microsecond; an event without one, or without an id, is the oldest. Keys lie
+    in the state by buckets, as a call for a group costs as much as many hundred
+    keys: a batch rewrites the buckets that it touches.
     """
+    keys = ("user_id", "book_id", "type")
     valid = valid_events(feedback_strength(events)).select(
         "user_id", "book_id", F.col("event").alias("type"), "strength",
         F.coalesce(F.date_format("ts", _TIME), F.lit("")).alias("at"), F.coalesce("event_id", F.lit(-1).cast("bigint")).alias("event_id"))
-    out = valid.groupBy("user_id", "book_id", "type").applyInPandasWithState(
-        _newest_of_key, _KEYED, _STATE, "update", GroupStateTimeout.NoTimeout)
-    return out.withColumn("old", F.when(~F.isnan("old"), F.col("old")))
+    # As text an id may be null and has all its digits in pandas.
+    rows = valid.select(*[F.col(c).cast("string") for c in keys], "strength", "at", "event_id",
+                        F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("bucket"))
+    out = rows.groupBy("bucket").applyInPandasWithState(_newest_of_bucket, _KEYED, _STATE, "update", GroupStateTimeout.NoTimeout)
+    old = F.when(~F.isnan("old"), F.col("old")).alias("old")
+    return out.select(*[F.col(c).cast("bigint") for c in keys[:2]], "type", "strength", "at", "event_id", "n_events", old)
 
 
 def write_base_strengths(table: str, base_details: DataFrame) -> None:

@@ -140,3 +140,19 @@ def test_weights_that_are_gone_leave_the_base_profile(spark):
     profiles = user_profiles(log.select("user_id", "book_id", F.col("strength").alias("total")), items)
     got = {r["user_id"]: r["profile"] for r in KS.read_keyed_profiles(spark, table, KS.base_sums(log, items), profiles).collect()}
     assert got == {5: [1.0, 0.0]}  # user 9's book has no vector, user 6 wasn't touched
+
+
+def test_state_is_kept_by_buckets_of_keys(spark, monkeypatch):
+    """As many groups as buckets, however many keys; each key still has its own newest event."""
+    monkeypatch.setattr(KS, "KEY_BUCKETS", 3)
+    base, source, all_ = folder(spark, "keyed"), folder(spark, "lines"), events(200, 5)
+    for e in all_:
+        e["user_id"] += (1 << 60) + 1  # more digits than a double has
+    for part in (all_[:120], all_[120:]):
+        write_lines(spark, source, [json.dumps(e) for e in part])
+        queries = KS.keyed_stream(spark, source, f"{base}/table", f"{base}/checkpoint", json=True)
+        for q in queries:
+            q.awaitTermination()
+        assert queries[0].lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    got = {(r["user_id"], r["book_id"], r["type"]): r["strength"] for r in FB.read_latest(spark, f"{base}/table").collect()}
+    assert got == newest(all_) and len(got) > 3
