@@ -67,3 +67,25 @@ def test_grid_equals_fits_of_their_own(spark, monkeypatch):
             errors.append(math.sqrt(model.predict(test).agg(F.avg((F.col("strength") - F.col("prediction")) ** 2)).first()[0]))
         assert r["avg_score"] == pytest.approx(sum(errors) / 2, abs=1e-6)
     assert [r["is_best"] for r in got] == [got[0]["avg_score"] <= got[1]["avg_score"], got[0]["avg_score"] > got[1]["avg_score"]]
+
+
+def test_folds_metrics_are_made_fold_by_fold(spark):
+    rows = [(u, (u * 7 + j * 3) % 20, float(1 + (u + j) % 5), "rating", f"2024-01-{1 + (u + j) % 28:02d} 10:00:00") for u in range(20) for j in range(6)]
+    log = spark.createDataFrame(rows, "user_id long, book_id long, strength double, type string, ts string").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")).checkpoint()
+    out = LT.cross_validate(log, n_splits=2, rank=2, max_iter=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan  # else all folds' joins run at once, at the end
+    found = {(r["fold"], r["metric"]): r["value"] for r in out.collect()}
+    assert {m for _, m in found} == {"mse", "rmse", "hit_rate@10", "coverage@10"} and len(found) == 8
+
+
+def test_predictions_join_no_factors(spark, pairs):
+    cf, m = pairs
+    model = LT.LatentModel(cf, [0.5, 0.1, 0.2, 0.3] * 3, 0.7, m.select("user_id", "book_id"))
+    out = model.predict(m)
+    assert out.columns == ["book_id", "user_id", "strength", "prediction"] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    u, v = ({r[0]: np.array(r["features"]) for r in x.collect()} for x in (cf.users, cf.items))
+    h = np.array([0.5, 0.1, 0.2, 0.3])
+    assert all(r.prediction == pytest.approx((u[r.user_id] * v[r.book_id]) @ h + u[r.user_id] @ h + v[r.book_id] @ h + 0.7) for r in out.collect())
+    assert out.count() == 270
